@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, shards, url_rules
+from . import decontam, near_dup, packing, shards, url_rules
 
 QUERIES = {
     "op4_url_filters": url_rules.query,
+    "op6_near_duplicates": near_dup.query,
     "op8_decontamination": decontam.query,
     "op9_packing": packing.query,
     "op10_sharding": shards.query,
