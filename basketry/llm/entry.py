@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, near_dup, packing, shards, url_rules
+from . import decontam, line_quality, near_dup, packing, shards, url_rules
 
 QUERIES = {
     "op4_url_filters": url_rules.query,
+    "op5_quality_rules": line_quality.query,
     "op6_near_duplicates": near_dup.query,
     "op8_decontamination": decontam.query,
     "op9_packing": packing.query,
     "op10_sharding": shards.query,
 }
-SQL = {"op4_url_filters": url_rules.SQL}
+SQL = {"op4_url_filters": url_rules.SQL, "op5_quality_rules": line_quality.SQL}
