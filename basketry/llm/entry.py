@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, line_quality, near_dup, packing, shards, suffix_dedup, url_rules
+from . import decontam, fuzzy_lines, line_quality, near_dup, packing, shards, suffix_dedup, url_rules
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
     "op4_url_filters": url_rules.query,
     "op5_quality_rules": line_quality.query,
     "op6_near_duplicates": near_dup.query,
+    "op7_fuzzy_line_dedup": fuzzy_lines.query,
     "op8_decontamination": decontam.query,
     "op9_packing": packing.query,
     "op10_sharding": shards.query,

@@ -125,10 +125,14 @@ def spanning_links(ids: list, sketches: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
-def _compare(percent: int):
+def _stored(members: bytes) -> np.ndarray:
+    return np.frombuffer(members, _U)
+
+
+def _compare(percent: int, decode):
     def run(keys: tuple, group: pa.Table) -> pa.Table:
         ids = group.column("rep").to_pylist()
-        sets = [np.frombuffer(b, _U) for b in group.column("members").to_pylist()]
+        sets = [decode(b) for b in group.column("members").to_pylist()]
         links = spanning_links(ids, _sketch_array(group.column("sketch")), sets, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
@@ -145,37 +149,21 @@ def _sets(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row of docs its set's size, the least id that links reach, and whether it is that one.
-
-    A set holds a text's distinct k-word shingles (lower-cased A-Z; with fewer words the whole sequence). Equal sets
-    become one representative. Each tree branches a representative by minwise tokens that its path chooses; a node
-    with at most NODE_ROWS of them is compared exhaustively, sketches first and then full sets. A larger node is dealt
-    into blocks that all hold its least member: copies of one text then become one component at once, and a node whose
-    members are all connected is done. Other large nodes branch on; what is large after LEVELS is compared block by
-    block with nothing left out. Links are confirmed on full sets and joined by distributed union.
+def connect(nodes: DataFrame, sets: DataFrame, percent: int, decode=_stored) -> DataFrame:
+    """Labels (id, component) of what true links among the members of each node connect.
 
-    Null or empty texts have no shingles and no links. Rows with a null id form no component (null) and are kept.
-    Repeated rows share a component and a verdict. Ids are integers; an empty table gives no rows.
+    nodes(node, rep, n) has each node's members and their number, sets(rep, sketch, members) their sets. Nodes of at
+    most NODE_ROWS are compared exhaustively, alike ones once. A larger node is dealt into blocks that all hold its
+    least member, so that copies of one text become one component at once; nodes whose members are all connected are
+    done. Others branch on by tokens that their path chooses; what is large after LEVELS is compared block by block,
+    with nothing left out.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    flat = materialise(rows.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_hash binary, sketch binary"), "sketches")
-    reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    reps = materialise(reps, "reps")
-    nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    nodes = materialise(nodes.join(sizes, "node"), "shared-nodes")
-    involved = nodes.select("rep").distinct().join(reps.select("rep", "sketch"), "rep")
-    sets = rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "sketch", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary")
-    sets = materialise(sets, "sets")
 
     def compare(cells: DataFrame) -> DataFrame:
         full = cells.join(sets, "rep").select("cell", "rep", "sketch", "members")
-        return materialise(full.groupBy("cell").applyInArrow(_compare(percent), "a long, b long"), "found")
+        return materialise(full.groupBy("cell").applyInArrow(_compare(percent, decode), "a long, b long"), "found")
 
-    links, labels = None, None
+    links = None
     for level in range(LEVELS + 1):
         small = nodes.filter(F.col("n") <= NODE_ROWS).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps"))  # at most NODE_ROWS
         cells = small.filter(F.size("reps") > 1).groupBy("reps").agg(F.min("node").alias("cell")).select(F.col("cell").cast("string"), F.explode("reps").alias("rep"))
@@ -197,12 +185,39 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
         labels = materialise(components(links), "labels")
         seen = big.join(labels, big["rep"] == labels["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
         open_nodes = seen.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("node")
-        rest = big.select("node", "rep").join(open_nodes, "node").join(reps.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
+        rest = big.select("node", "rep").join(open_nodes, "node").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
         nodes = materialise(rest.mapInArrow(_next_level, "node long, rep long"), "nodes").distinct()
         nodes = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "shared-nodes")
         if nodes.isEmpty():
             break
-    labels = components(links)
+    return components(links)
+
+
+def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int = TREES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """For each row of docs its set's size, the least id that links reach, and whether it is that one.
+
+    A set holds a text's distinct k-word shingles (lower-cased A-Z; with fewer words the whole sequence). Equal sets
+    become one representative. Each tree branches a representative by minwise tokens that its path chooses, two levels
+    at once and further where nodes stay large (connect): nodes are compared exhaustively, sketches first and then full
+    sets. Links are confirmed on full sets and joined by distributed union.
+
+    Null or empty texts have no shingles and no links. Rows with a null id form no component (null) and are kept.
+    Repeated rows share a component and a verdict. Ids are integers; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    prepare(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    flat = materialise(rows.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_hash binary, sketch binary"), "sketches")
+    reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    reps = materialise(reps, "reps")
+    nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
+    sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    nodes = materialise(nodes.join(sizes, "node"), "shared-nodes")
+    involved = nodes.select("rep").distinct().join(reps.select("rep", "sketch"), "rep")
+    sets = rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "sketch", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary")
+    sets = materialise(sets, "sets")
+
+    labels = connect(nodes, sets, percent)
     classes = reps.select("set_hash", "rep").join(labels, F.col("rep") == labels["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = flat.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(classes, "set_hash", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
