@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -48,6 +49,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
+
+    The cleaner follows the driver's garbage collector, which may not run for half an hour; an operator with several
+    written steps calls this between them, so that only one step's shuffle files stand on disk.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_materialised(spark: SparkSession) -> int:
     """Deletes the tables that materialise() has written; for callers whose results are all stored."""
     paths = _written.pop(id(spark), [])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import BLOCK_BYTES, materialise, partitions, prepare, table, utf8
+from .runtime import BLOCK_BYTES, materialise, partitions, prepare, release, table, utf8
 from .textscan import _BYTE, mix, powers
 
 _U = np.uint64
@@ -104,86 +104,90 @@ def pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[Pieces]:
         yield Pieces(held, length)
 
 
-def _take(p: Pieces, chosen: np.ndarray) -> dict[str, bytes]:
-    t = p.text[chosen]
-    return {"ids": p.ids[t].tobytes(), "ties": p.ties[t].tobytes(), "first": p.first[chosen].astype(np.uint32).tobytes()}
+FOUND = "bucket int, around boolean, grams binary, dealt binary"
+#: Times that a k-gram may stand in a block until its texts' places are told without waiting for other blocks.
+LOCAL_GRAMS = 8
 
 
-FOUND = "bucket int, fps binary, dealt int, ids binary, ties binary, first binary"
+def _short(gram: np.ndarray) -> np.ndarray:
+    """32 bits of a k-gram's hash, others than those that choose its bucket. Two that agree by chance cost a comparison, no more."""
+    return (gram & _U(0xFFFFFFFF)).astype(np.uint32)
+
+
+def _bucket(gram: np.ndarray, n: int) -> np.ndarray:
+    return ((gram >> _U(34)) % _U(n)).astype(np.int64)
 
 
 def _fingerprints(n: int, length: int):
-    """For each bucket of fingerprints those of the block's runs; of what repeats within the block only one, and the rest as found."""
+    """For each bucket the block's k-grams and where their texts are dealt to, each pair at most twice. Of a k-gram that
+    stands in the block very often only two go there, with no place (-1), and its places go around."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("dealt", pa.int32()), ("ids", pa.binary()), ("ties", pa.binary()), ("first", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("around", pa.bool_()), ("grams", pa.binary()), ("dealt", pa.binary())])
         for p in pieces(batches, length):
             if not len(p.gram):
                 continue
-            order = np.argsort(p.gram, kind="stable")
-            sorted_ = p.gram[order]
-            new = np.append(True, sorted_[1:] != sorted_[:-1])
-            many = np.zeros(len(new), bool)
-            many[:-1] |= ~new[1:]
-            many |= ~new
+            dealt = p.dealt[p.text].astype(np.int32)
+            order = np.lexsort((dealt, p.gram))
+            gram, dealt = p.gram[order], dealt[order]
+            new = np.append(True, gram[1:] != gram[:-1])
+            often = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1] > LOCAL_GRAMS
+            pair = new | np.append(True, dealt[1:] != dealt[:-1])
+            second = np.append(False, ~pair[1:] & pair[:-1])
             rows = []
-            known = order[many]
-            for d in np.unique(p.dealt[p.text[known]]):
-                rows.append({"bucket": int(d) % n, "fps": None, "dealt": int(d), **_take(p, known[p.dealt[p.text[known]] == d])})
-            for flag, chosen in ((0, order[~many]), (-1, order[many & new])):  # -1: others' repeats only
-                bucket = ((p.gram[chosen] >> _U(40)) % _U(n)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(n + 1))
-                for k in range(n):
-                    own = chosen[by[cut[k] : cut[k + 1]]]
-                    if len(own):
-                        if flag:
-                            rows.append({"bucket": k, "fps": p.gram[own].tobytes(), "dealt": -1, "ids": None, "ties": None, "first": None})
-                        else:
-                            rows.append({"bucket": k, "fps": p.gram[own].tobytes(), "dealt": 0, **_take(p, own), "where": p.dealt[p.text[own]].astype(np.int32).tobytes()})
-            for r in rows:  # where a text is dealt to follows its first starts
-                if "where" in r:
-                    r["first"] += r.pop("where")
+            around = often & pair
+            if around.any():
+                bucket = _bucket(gram[around], n)
+                rows.append({"bucket": int(dealt[around][0]), "around": True, "grams": (bucket.astype(_U) << _U(32) | _short(gram[around])).tobytes(), "dealt": dealt[around].tobytes()})
+            sent = np.concatenate([np.flatnonzero(~often & (pair | second)), np.flatnonzero(often & new), np.flatnonzero(often & new)])
+            place = np.where(often[sent], -1, dealt[sent]).astype(np.int32)
+            bucket = _bucket(gram[sent], n)
+            by = np.argsort(bucket, kind="stable")
+            cut = np.searchsorted(bucket[by], np.arange(n + 1))
+            kind = np.int16 if n < 1 << 15 else np.int32
+            for k in range(n):
+                own = by[cut[k] : cut[k + 1]]
+                if len(own):
+                    rows.append({"bucket": k, "around": False, "grams": _short(gram[sent[own]]).tobytes(), "dealt": place[own].astype(kind).tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run
 
 
-WANTED = "dealt int, kind int, id long, tie long, text string, ids binary, ties binary, first binary"
+WANTED = "dealt int, kind int, id long, tie long, text string, grams binary"
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs whose fingerprint stands in two blocks or more, by where their text is dealt to."""
-    schema = pa.schema([("dealt", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("tie", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("ties", pa.binary()), ("first", pa.binary())])
-
-    def rows(where, ids, ties, first):
-        order = np.argsort(where, kind="stable")
-        where, ids, ties, first = where[order], ids[order], ties[order], first[order]
-        cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])).tolist() + [len(where)]
-        out = [{"dealt": int(where[i]), "kind": 0, "ids": ids[i:j].tobytes(), "ties": ties[i:j].tobytes(), "first": first[i:j].tobytes()} for i, j in zip(cut, cut[1:], strict=False) if j > i]
-        return pa.RecordBatch.from_pylist(out, schema=schema)
-
-    fps, ids, ties, first, where, bare = [], [], [], [], [], []
+    """k-grams (bucket and 32 bits) that stand twice or more, by where texts with them are dealt to."""
+    schema = pa.schema([("dealt", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("tie", pa.int64()), ("text", pa.string()), ("grams", pa.binary())])
+
+    def rows(dealt, grams):
+        order = np.lexsort((grams, dealt))
+        dealt, grams = dealt[order], grams[order]
+        new = np.append(True, (dealt[1:] != dealt[:-1]) | (grams[1:] != grams[:-1]))
+        dealt, grams = dealt[new], grams[new]
+        cut = np.flatnonzero(np.append(True, dealt[1:] != dealt[:-1])).tolist() + [len(dealt)]
+        return pa.RecordBatch.from_pylist([{"dealt": int(dealt[i]), "kind": 0, "grams": grams[i:j].tobytes()} for i, j in zip(cut, cut[1:], strict=False)], schema=schema)
+
+    held: dict[int, list] = {}
     for batch in batches:
         for r in batch.to_pylist():
-            if r["fps"] is None:
-                got = [np.frombuffer(r[c], t) for c, t in (("ids", np.int64), ("ties", np.int64), ("first", np.uint32))]
-                yield rows(np.full(len(got[0]), r["dealt"], np.int32), *got)
-            elif r["dealt"] < 0:
-                bare.append(np.frombuffer(r["fps"], _U))
+            if r["around"]:
+                yield rows(np.frombuffer(r["dealt"], np.int32), np.frombuffer(r["grams"], _U))
             else:
-                fps.append(np.frombuffer(r["fps"], _U))
-                n = len(fps[-1])
-                ids.append(np.frombuffer(r["ids"], np.int64))
-                ties.append(np.frombuffer(r["ties"], np.int64))
-                first.append(np.frombuffer(r["first"][: 4 * n], np.uint32))
-                where.append(np.frombuffer(r["first"][4 * n :], np.int32))
-    if fps:
-        fps = np.concatenate(fps)
-        values, counts = np.unique(np.concatenate([fps, *bare]), return_counts=True)
-        hit = counts[np.searchsorted(values, fps)] > 1
-        if hit.any():
-            yield rows(*(np.concatenate(x)[hit] for x in (where, ids, ties, first)))
+                grams = np.frombuffer(r["grams"], np.uint32)
+                place = np.frombuffer(r["dealt"], np.int16 if len(r["dealt"]) == 2 * len(grams) else np.int32)
+                held.setdefault(r["bucket"], []).append((grams, place))
+    for bucket, parts in held.items():
+        grams, place = (np.concatenate([x[i] for x in parts]) for i in (0, 1))
+        order = np.argsort(grams, kind="stable")
+        grams, place = grams[order], place[order].astype(np.int32)
+        many = np.zeros(len(grams), bool)
+        many[1:] |= grams[1:] == grams[:-1]
+        many[:-1] |= grams[1:] == grams[:-1]
+        many &= place >= 0
+        if many.any():
+            yield rows(place[many], grams[many].astype(_U) | _U(bucket << 32))
 
 
 RUNS = "part int, n int, keys binary, shared binary, sizes binary, rights binary, ids binary, ties binary, first binary, dealt binary, last binary, probes array<binary>"
@@ -322,26 +326,28 @@ def _split_by_text(ids, ties, *more) -> Iterator[tuple]:
             yield (int(ids[i]), int(ties[i])), [m[i:j] for m in more]
 
 
-def _sorted_runs(length: int):
-    """Rows come by dealt, the wanted runs before the texts. Each block gives its sorted run, and marks for what it repeats itself."""
+def _sorted_runs(n: int, length: int):
+    """Rows come by dealt, the repeated k-grams before the texts. Each block gives its sorted run, and marks for what it repeats itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[int, dict[tuple[int, int], list[np.ndarray]]] = {}
+        wanted: dict[int, list[np.ndarray]] = {}
 
         def take(dealt: int, kind: int, part: pa.RecordBatch) -> None:
-            own = wanted.setdefault(dealt, {})
-            for r in part.select(["ids", "ties", "first"]).to_pylist():
-                for text, (first,) in _split_by_text(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ties"], np.int64), np.frombuffer(r["first"], np.uint32)):
-                    own.setdefault(text, []).append(first)
+            wanted.setdefault(dealt, []).extend(np.frombuffer(g, _U) for g in part.column("grams").to_pylist())
 
         for p in pieces(_by_dealt(batches, take), length):
             chosen = np.zeros(len(p.first), bool)
-            cut = np.searchsorted(p.text, np.arange(len(p.ids) + 1))
-            for t in range(len(p.ids)):
-                found = wanted.get(int(p.dealt[t]), {}).get((int(p.ids[t]), int(p.ties[t])))
-                if found and cut[t + 1] > cut[t]:
-                    own = p.first[cut[t] : cut[t + 1]]
-                    chosen[cut[t] : cut[t + 1]] = np.isin(own, found[0] if len(found) == 1 else np.concatenate(found))
+            if len(p.gram):
+                dealt = p.dealt[p.text]
+                full = _bucket(p.gram, n).astype(_U) << _U(32) | _short(p.gram)
+                for d in np.unique(dealt):
+                    if found := wanted.get(int(d)):
+                        if len(found) > 1:
+                            found = wanted[int(d)] = [np.unique(np.concatenate(found))]
+                        own = np.flatnonzero(dealt == d)
+                        at = np.searchsorted(found[0], full[own])
+                        at[at == len(found[0])] = 0
+                        chosen[own] = found[0][at] == full[own]
             for d in [d for d in wanted if d != p.dealt[-1]]:
                 del wanted[d]
             chosen = np.flatnonzero(chosen)
@@ -511,6 +517,18 @@ def _apply(length: int):
 _LAST_ID = (1 << 63) - 1
 
 
+def _block_runs(rows: DataFrame, n: int, length: int) -> DataFrame:
+    wanted = rows.mapInArrow(_fingerprints(n, length), FOUND).repartition(n, "bucket").mapInArrow(_repeated, WANTED)
+    texts = rows.select("dealt", F.lit(2).alias("kind"), "id", "tie", "text", F.lit(None).cast("binary").alias("grams"))
+    both = wanted.unionByName(texts).repartition(n, "dealt").sortWithinPartitions("dealt", "kind")
+    return materialise(both.mapInArrow(_sorted_runs(n, length), RUNS), "suffix-runs")
+
+
+def _merged_runs(entries: DataFrame, splitters: list[bytes], n: int, length: int) -> DataFrame:
+    parts = entries.drop("probes", "last").withColumns({"last": F.lit(None).cast("binary"), "probes": F.lit(None).cast("array<binary>")}).mapInArrow(_cut(splitters), RUNS)
+    return materialise(parts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merge(length), MERGED), "suffix-merged")
+
+
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of docs the byte spans covered by strings of length bytes that also start earlier, and what is left.
 
@@ -526,19 +544,16 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     rows = rows.withColumn("dealt", F.pmod(F.xxhash64("id", "tie"), F.lit(n)).cast("int"))
-    sent = rows.mapInArrow(_fingerprints(n, length), FOUND).repartition(n, "bucket")
-    wanted = sent.mapInArrow(_repeated, WANTED)
-    texts = rows.select("dealt", F.lit(2).alias("kind"), "id", "tie", "text", *(F.lit(None).cast("binary").alias(c) for c in ("ids", "ties", "first")))
-    both = wanted.unionByName(texts).repartition(n, "dealt").sortWithinPartitions("dealt", "kind")
-    runs = materialise(both.mapInArrow(_sorted_runs(length), RUNS), "suffix-runs")
+    runs = _block_runs(rows, n, length)
+    release(spark)
     entries = runs.filter("n > 0")
     probes = entries.select(F.posexplode("probes").alias("nth", "key"), "n")
     m = entries.agg(F.sum(F.size("probes"))).first()[0] or 0
     drawn = probes.filter(F.expr("(xxhash64(key, nth, n) & 1073741823) / 1073741824.0D") < F.lit(n * SAMPLE_PER_PART / max(m, 1))).select("key").collect()  # about SAMPLE_PER_PART for each part
     drawn = sorted(bytes(r[0]) for r in drawn)
     splitters = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
-    parts = entries.drop("probes", "last").withColumns({"last": F.lit(None).cast("binary"), "probes": F.lit(None).cast("array<binary>")}).mapInArrow(_cut(splitters), RUNS)
-    merged = materialise(parts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merge(length), MERGED), "suffix-merged")
+    merged = _merged_runs(entries, splitters, n, length)
+    release(spark)
     edge = merged.filter("kind = 1").select("dealt", "window", "id", "tie", "at")
     first = edge.groupBy("window").agg(F.min(F.struct("id", "tie", "at")).alias("earliest"), F.count("*").alias("n")).filter("n > 1").drop("n")
     late = edge.join(first, "window").filter(F.struct("id", "tie", "at") != F.col("earliest"))
