@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontam, fuzzy_lines, line_quality, near_dup, packing, shards, suffix_dedup, url_rules
+from . import decontam, fuzzy_lines, line_quality, near_dup, packing, pii, shards, suffix_dedup, url_rules
 
 QUERIES = {
     "op1_suffix_array_dedup": suffix_dedup.query,
+    "op2_pii_disclosure": pii.query,
     "op4_url_filters": url_rules.query,
     "op5_quality_rules": line_quality.query,
     "op6_near_duplicates": near_dup.query,
