@@ -212,7 +212,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = nodes.select(F.col("rep").alias("line")).distinct().join(first, "line")
     wanted = wanted.groupBy("first.id", "first.tie").agg(F.collect_list(F.struct("line", "first.nth")).alias("wanted"))
     sets = rows.join(wanted, ["id", "tie"]).select("id", "tie", "wanted", "text").dropDuplicates(["id", "tie"]).select("wanted", "text").mapInArrow(_wanted_lines, "rep long, sketch binary, members binary")
-    labels = connect(nodes, materialise(sets, "line-sets"), PERCENT, line_set)
+    sets = materialise(sets, "line-sets")
+    labels = connect(nodes, sets.select("rep", "sketch"), lambda involved: sets.select("rep", "members"), PERCENT, line_set)
     classes = first.join(labels, first["line"] == labels["id"], "left").filter("times > 1 or component is not null")
     classes = classes.select("line", F.coalesce("component", "line").alias("component"), "first")
     keeper = classes.groupBy("component").agg(F.min("first").alias("keeper"))

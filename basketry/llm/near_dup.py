@@ -22,7 +22,7 @@ _FACTORS = mix(np.arange(1, TOKENS + 1, dtype=_U)) | _U(1)
 #: with a chance of 0.946 (similarity 0.8) or 0.971 (0.85), in four trees with over 0.99999.
 TREES = 4
 #: Documents of a node that are compared exhaustively, and levels that larger nodes are branched over.
-NODE_ROWS, LEVELS = 200, 10
+NODE_ROWS, LEVELS = 400, 4
 #: Pairs whose shared minwise tokens lie so far below the threshold (5 to 6 standard deviations) aren't looked at further.
 MARGIN = 0.25
 
@@ -144,29 +144,55 @@ def _sets(k: int):
         for block in blocks(batches):
             values, bounds = sets_of(block.column("text"), k)
             members = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(block.num_rows)], pa.binary())
-            yield from pa.table({"rep": block.column("rep").combine_chunks(), "sketch": block.column("sketch").combine_chunks(), "members": members}).to_batches(max_chunksize=500)
+            yield from pa.table({"rep": block.column("rep").combine_chunks(), "members": members}).to_batches(max_chunksize=500)
 
     return run
 
 
-def connect(nodes: DataFrame, sets: DataFrame, percent: int, decode=_stored) -> DataFrame:
+def _tighten(percent: int, margin: float = MARGIN):
+    """Of a cell's members those whose sketches come near the threshold, as groups that share no such pair."""
+
+    def run(keys: tuple, group: pa.Table) -> pa.Table:
+        ids, rows = group.column("rep").to_numpy(), _sketch_array(group.column("sketch"))
+        ids, first = np.unique(ids, return_index=True)
+        rows = rows[first]
+        label = np.arange(len(ids))
+        for i in range(len(ids) - 1):
+            rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            near = rest[(rows[rest] == rows[i]).mean(1) >= percent / 100 - margin]
+            if len(near):
+                label[np.isin(label, label[near])] = label[i]
+        groups = [ids[label == g].tolist() for g in np.unique(label[np.bincount(label, minlength=len(ids))[label] > 1])]
+        return pa.table({"reps": pa.array(groups, pa.list_(pa.int64()))})
+
+    return run
+
+
+def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_stored) -> DataFrame:
     """Labels (id, component) of what true links among the members of each node connect.
 
-    nodes(node, rep, n) has each node's members and their number, sets(rep, sketch, members) their sets. Nodes of at
-    most NODE_ROWS are compared exhaustively, alike ones once. A larger node is dealt into blocks that all hold its
-    least member, so that copies of one text become one component at once; nodes whose members are all connected are
-    done. Others branch on by tokens that their path chooses; what is large after LEVELS is compared block by block,
+    nodes(node, rep, n) has each node's members and their number, sketches(rep, sketch) all members' minwise tokens;
+    load(involved) gives sets(rep, members) for a frame of reps. Nodes of at most NODE_ROWS are compared exhaustively:
+    by sketches first, which leaves tight groups, each once however many nodes have it, and then by full sets. A larger
+    node is dealt into blocks that all hold its least member, so that copies of one text become one component at once.
+    If then at most NODE_ROWS of its members lie outside its largest component, those meet every block, and the node
+    is done. Others branch on by tokens that their path chooses; what is large after LEVELS is compared block by block,
     with nothing left out.
     """
-
-    def compare(cells: DataFrame) -> DataFrame:
-        full = cells.join(sets, "rep").select("cell", "rep", "sketch", "members")
+    sets = None
+
+    def compare(cells: DataFrame, others: DataFrame) -> DataFrame:
+        nonlocal sets
+        tight = cells.join(sketches, "rep").select("cell", "rep", "sketch").groupBy("cell").applyInArrow(_tighten(percent), "reps array<long>")
+        tight = materialise(tight.groupBy("reps").agg(F.lit(1)).select(F.xxhash64("reps").alias("cell"), F.explode("reps").alias("rep")), "tight")
+        if sets is None:
+            sets = load(tight.select("rep").union(others.select("rep")).distinct())
+        full = tight.join(sets, "rep").join(sketches, "rep").select("cell", "rep", "sketch", "members")
         return materialise(full.groupBy("cell").applyInArrow(_compare(percent, decode), "a long, b long"), "found")
 
-    links = None
+    links, carried = None, None
     for level in range(LEVELS + 1):
-        small = nodes.filter(F.col("n") <= NODE_ROWS).groupBy("node").agg(F.sort_array(F.collect_set("rep")).alias("reps"))  # at most NODE_ROWS
-        cells = small.filter(F.size("reps") > 1).groupBy("reps").agg(F.min("node").alias("cell")).select(F.col("cell").cast("string"), F.explode("reps").alias("rep"))
+        small = nodes.filter(F.col("n") <= NODE_ROWS).select(F.col("node").cast("string").alias("cell"), "rep")
         big = nodes.filter(F.col("n") > NODE_ROWS)
         heads = big.groupBy("node").agg(F.min("rep").alias("head"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of"), F.max("n").alias("n"))
         heads = materialise(heads.groupBy("of", "n", "head").agg(F.min("node").alias("node")), "heads")  # each set of members once
@@ -178,17 +204,24 @@ def connect(nodes: DataFrame, sets: DataFrame, percent: int, decode=_stored) ->
         else:  # every block against every block
             block = big.withColumn("block", F.pmod(F.xxhash64("rep", "node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
             dealt = block.select(F.concat_ws("/", "node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "rep").distinct()
-        found = compare(cells.union(dealt))
+        cells = small.union(dealt) if carried is None else small.union(dealt).union(carried)
+        found = compare(cells, big)
         links = found if links is None else links.union(found)
         if level == LEVELS or heads.isEmpty():
             break
         labels = materialise(components(links), "labels")
         seen = big.join(labels, big["rep"] == labels["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
-        open_nodes = seen.groupBy("node").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("node")
-        rest = big.select("node", "rep").join(open_nodes, "node").join(sets.select("rep", "sketch"), "rep").select("node", "rep", "sketch")
-        nodes = materialise(rest.mapInArrow(_next_level, "node long, rep long"), "nodes").distinct()
+        seen = materialise(seen, "seen")
+        of = seen.groupBy("node", "component").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("component", "c").alias("main"), F.max("c").alias("inside"), F.sum("c").alias("n"))
+        rest = seen.join(of.filter(F.col("n") > F.col("inside")), "node").withColumn("outside", F.col("n") - F.col("inside"))
+        parts = F.ceil(F.col("inside") / NODE_ROWS).cast("long")
+        few = rest.filter(F.col("outside") <= NODE_ROWS)
+        block = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep", "node"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
+        carried = few.select("node", "rep", F.explode(block).alias("block")).select(F.concat_ws("/", F.lit("few"), "node", "block").alias("cell"), "rep")
+        many = rest.filter(F.col("outside") > NODE_ROWS).select("node", "rep").join(sketches, "rep").select("node", "rep", "sketch")
+        nodes = materialise(many.mapInArrow(_next_level, "node long, rep long"), "nodes").distinct()
         nodes = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "shared-nodes")
-        if nodes.isEmpty():
+        if nodes.isEmpty() and rest.isEmpty():
             break
     return components(links)
 
@@ -213,11 +246,10 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
     sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
     nodes = materialise(nodes.join(sizes, "node"), "shared-nodes")
-    involved = nodes.select("rep").distinct().join(reps.select("rep", "sketch"), "rep")
-    sets = rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "sketch", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary")
-    sets = materialise(sets, "sets")
+    def load(involved: DataFrame) -> DataFrame:
+        return materialise(rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "text").mapInArrow(_sets(k), "rep long, members binary"), "sets")
 
-    labels = connect(nodes, sets, percent)
+    labels = connect(nodes, reps.select("rep", "sketch"), load, percent)
     classes = reps.select("set_hash", "rep").join(labels, F.col("rep") == labels["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = flat.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(classes, "set_hash", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
