@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dup import connect, sketch
+from .near_dup import _with_sizes, connect, sketch
 from .runtime import blocks, materialise, partitions, prepare, table, utf8
 from .textscan import _BASE, mix, powers, word_bounds
 
@@ -205,7 +205,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text").select("id", "tie", "text")
     met = rows.select("text").mapInArrow(_band_keys(n), "bucket int, around boolean, keys binary, reps binary").repartition(n, "bucket")
     nodes = materialise(met.mapInArrow(_shared_keys, "node long, rep long"), "line-nodes").distinct()
-    nodes = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "line-nodes")
+    nodes = materialise(_with_sizes(nodes), "line-nodes")
     places = materialise(rows.mapInArrow(_occurrences, "line long, id long, tie long, nth int"), "line-places")
     first = places.groupBy("line").agg(F.min(F.struct("id", "tie", "nth")).alias("first"), F.count("*").alias("times"))
     first = materialise(first, "line-classes")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .runtime import blocks, materialise, prepare, table, utf8
+from .runtime import blocks, materialise, partitions, prepare, table, utf8
 from .textscan import LOWER, WHITE, mix, per_text_unique, shingles, span_hashes, word_bounds
 
 _U = np.uint64
@@ -129,12 +129,35 @@ def _stored(members: bytes) -> np.ndarray:
     return np.frombuffer(members, _U)
 
 
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell, as one table for each cell; a cell has at most twice NODE_ROWS rows."""
+    held: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell = batch.column("cell").to_numpy(zero_copy_only=False)
+        cut = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for i, j in zip(cut, cut[1:], strict=False):
+            if held and cell[i] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+            now = cell[i]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _compare(percent: int, decode):
-    def run(keys: tuple, group: pa.Table) -> pa.Table:
-        ids = group.column("rep").to_pylist()
-        sets = [decode(b) for b in group.column("members").to_pylist()]
-        links = spanning_links(ids, _sketch_array(group.column("sketch")), sets, percent)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for group in _cells(batches):
+            if group.num_rows > 1:
+                sets = [decode(x) for x in group.column("members").to_pylist()]
+                for x, y in spanning_links(group.column("rep").to_pylist(), _sketch_array(group.column("sketch")), sets, percent):
+                    a.append(x)
+                    b.append(y)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -152,22 +175,42 @@ def _sets(k: int):
 def _tighten(percent: int, margin: float = MARGIN):
     """Of a cell's members those whose sketches come near the threshold, as groups that share no such pair."""
 
-    def run(keys: tuple, group: pa.Table) -> pa.Table:
-        ids, rows = group.column("rep").to_numpy(), _sketch_array(group.column("sketch"))
-        ids, first = np.unique(ids, return_index=True)
-        rows = rows[first]
+    def groups_of(group: pa.Table) -> list[list[int]]:
+        ids, first = np.unique(group.column("rep").to_numpy(), return_index=True)
+        if len(ids) < 2:
+            return []
+        rows = _sketch_array(group.column("sketch"))[first]
         label = np.arange(len(ids))
         for i in range(len(ids) - 1):
             rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+            if not len(rest):
+                continue
             near = rest[(rows[rest] == rows[i]).mean(1) >= percent / 100 - margin]
             if len(near):
                 label[np.isin(label, label[near])] = label[i]
-        groups = [ids[label == g].tolist() for g in np.unique(label[np.bincount(label, minlength=len(ids))[label] > 1])]
-        return pa.table({"reps": pa.array(groups, pa.list_(pa.int64()))})
+        return [ids[label == g].tolist() for g in np.flatnonzero(np.bincount(label) > 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list[int]] = []
+        for group in _cells(batches):
+            out.extend(groups_of(group))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_pydict({"reps": pa.array(out, pa.list_(pa.int64()))})
+                out = []
+        yield pa.RecordBatch.from_pydict({"reps": pa.array(out, pa.list_(pa.int64()))})
 
     return run
 
 
+def _sorted_by_cell(cells: DataFrame) -> DataFrame:
+    return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
+
+
+def _with_sizes(nodes: DataFrame) -> DataFrame:
+    """nodes(node, rep) that have two members or more, with their number; the join is one that hot nodes are split over."""
+    return nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")), "node").filter("n > 1")
+
+
 def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_stored) -> DataFrame:
     """Labels (id, component) of what true links among the members of each node connect.
 
@@ -183,12 +226,12 @@ def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_s
 
     def compare(cells: DataFrame, others: DataFrame) -> DataFrame:
         nonlocal sets
-        tight = cells.join(sketches, "rep").select("cell", "rep", "sketch").groupBy("cell").applyInArrow(_tighten(percent), "reps array<long>")
+        tight = _sorted_by_cell(cells.join(sketches, "rep").select("cell", "rep", "sketch")).mapInArrow(_tighten(percent), "reps array<long>")
         tight = materialise(tight.groupBy("reps").agg(F.lit(1)).select(F.xxhash64("reps").alias("cell"), F.explode("reps").alias("rep")), "tight")
         if sets is None:
             sets = load(tight.select("rep").union(others.select("rep")).distinct())
         full = tight.join(sets, "rep").join(sketches, "rep").select("cell", "rep", "sketch", "members")
-        return materialise(full.groupBy("cell").applyInArrow(_compare(percent, decode), "a long, b long"), "found")
+        return materialise(_sorted_by_cell(full).mapInArrow(_compare(percent, decode), "a long, b long"), "found")
 
     links, carried = None, None
     for level in range(LEVELS + 1):
@@ -220,7 +263,7 @@ def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_s
         carried = few.select("node", "rep", F.explode(block).alias("block")).select(F.concat_ws("/", F.lit("few"), "node", "block").alias("cell"), "rep")
         many = rest.filter(F.col("outside") > NODE_ROWS).select("node", "rep").join(sketches, "rep").select("node", "rep", "sketch")
         nodes = materialise(many.mapInArrow(_next_level, "node long, rep long"), "nodes").distinct()
-        nodes = materialise(nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1"), "node"), "shared-nodes")
+        nodes = materialise(_with_sizes(nodes), "shared-nodes")
         if nodes.isEmpty() and rest.isEmpty():
             break
     return components(links)
@@ -244,8 +287,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
     reps = materialise(reps, "reps")
     nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
-    sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-    nodes = materialise(nodes.join(sizes, "node"), "shared-nodes")
+    nodes = materialise(_with_sizes(nodes), "shared-nodes")
     def load(involved: DataFrame) -> DataFrame:
         return materialise(rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "text").mapInArrow(_sets(k), "rep long, members binary"), "sets")
 
