@@ -373,6 +373,18 @@ def _sorted_runs(n: int, length: int):
     return run
 
 
+def choose_splitters(drawn: list[bytes], n: int) -> list[bytes]:
+    """Quantiles of a sorted sample, cut to an anchor's k-gram; an anchor that takes several is cut through by whole keys."""
+    out: list[bytes] = []
+    for key in (drawn[k * len(drawn) // n] for k in range(1, n if drawn else 0)):
+        short = key[:GRAM]
+        if not out or short > out[-1][:GRAM]:
+            out.append(short)
+        elif key > out[-1]:
+            out.append(key)
+    return out
+
+
 def _cut(splitters: list[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -390,9 +402,11 @@ MERGED = "kind int, dealt int, ids binary, ties binary, first binary, last binar
 _MERGED = pa.schema([("kind", pa.int32()), ("dealt", pa.int32()), *((c, pa.binary()) for c in ("ids", "ties", "first", "last", "window")), *((c, pa.int64()) for c in ("id", "tie", "at"))])
 
 
-def _merge(length: int):
+def _merge(length: int, splitters: list[bytes]):
     """Merges the runs of a part. Of equal entries all but the earliest are marked; windows of different entries with one
-    anchor are compared; what may go on in another part is handed on (kind 1)."""
+    anchor are compared. Splitters of GRAM bytes keep an anchor's entries in one part; where a longer one cuts through
+    them, their windows are handed on (kind 1)."""
+    through = [len(s) > GRAM for s in splitters]
 
     def windows_of(group: list[tuple], best: dict, marks: list[tuple]) -> None:
         for key, right, i, tie, first, dealt, reach in group:
@@ -420,10 +434,11 @@ def _merge(length: int):
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=_MERGED)
 
-        def part(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        def part(k: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+            below, above = k > 0 and through[k - 1], k < len(through) and through[k]
             best: dict = {}
             group: list[tuple] = []  # of one anchor: the last ones, whose reach isn't known yet, and those to be compared
-            held, opened, at_edge, n = None, 0, True, 0
+            held, opened, at_edge, n = None, 0, below, 0
             for known, key, right, i, tie, first, dealt in loser_tree([front_decode(r) for r in rows]):
                 if held is not None and known == len(key) == len(held[0]) and right == held[1]:
                     marks.append((i, tie, first, first + len(key) - length, dealt))
@@ -449,9 +464,11 @@ def _merge(length: int):
                 if len(marks) + len(handed) > 100_000:
                     yield from out()
             if held is not None:
-                group.append((*held[:6], held[1]))
-                windows_of(group, best, marks)
-                hand_on(best)
+                group.append((*held[:6], held[1] if above or (at_edge and opened == 1) else min(held[6], held[1])))
+                if opened > 1 or at_edge or above:
+                    windows_of(group, best, marks)
+                if at_edge or above:
+                    hand_on(best)
             yield from out()
 
         rows, now = [], None
@@ -459,11 +476,11 @@ def _merge(length: int):
             for r in batch.to_pylist():
                 if r["part"] != now:
                     if rows:
-                        yield from part(rows)
+                        yield from part(now, rows)
                     rows, now = [], r["part"]
                 rows.append(r)
         if rows:
-            yield from part(rows)
+            yield from part(now, rows)
 
     return run
 
@@ -526,7 +543,7 @@ def _block_runs(rows: DataFrame, n: int, length: int) -> DataFrame:
 
 def _merged_runs(entries: DataFrame, splitters: list[bytes], n: int, length: int) -> DataFrame:
     parts = entries.drop("probes", "last").withColumns({"last": F.lit(None).cast("binary"), "probes": F.lit(None).cast("array<binary>")}).mapInArrow(_cut(splitters), RUNS)
-    return materialise(parts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merge(length), MERGED), "suffix-merged")
+    return materialise(parts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_merge(length, splitters), MERGED), "suffix-merged")
 
 
 def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -551,7 +568,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     m = entries.agg(F.sum(F.size("probes"))).first()[0] or 0
     drawn = probes.filter(F.expr("(xxhash64(key, nth, n) & 1073741823) / 1073741824.0D") < F.lit(n * SAMPLE_PER_PART / max(m, 1))).select("key").collect()  # about SAMPLE_PER_PART for each part
     drawn = sorted(bytes(r[0]) for r in drawn)
-    splitters = sorted({drawn[k * len(drawn) // n] for k in range(1, n)}) if drawn else []
+    splitters = choose_splitters(drawn, n)
     merged = _merged_runs(entries, splitters, n, length)
     release(spark)
     edge = merged.filter("kind = 1").select("dealt", "window", "id", "tie", "at")
