@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .lexicon import Brands, Modifiers, Singular
 
@@ -18,7 +19,7 @@ PARENTHESISED_QUANTITY = r"\(\s*[\d./\s]*\s*(?:oz|ounce|ounces|lb|lbs|pound|poun
 LEADING_QUANTITY = r"^\s*\d[\d\s./-]*\s*(?:-\s*)?(?:lb|lbs|pound|pounds|oz|ounce|ounces|inch|inches)\b\.?\s*"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _repair(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
@@ -29,7 +30,7 @@ def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action="ignore")
 
@@ -156,7 +157,7 @@ def display_name(identifier: Column, overrides: dict[str, str] | None = None) ->
 
 
 def split_arguments(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def percentage(share: Column, digits: int = 2) -> Column:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.lexicon import Gate
 
@@ -59,7 +60,7 @@ def null95(base: list[float], n: int, trials: int = TRIALS, seed: int = SEED) ->
     return float(bits[min(trials - 1, math.ceil(QUANTILE * trials) - 1)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _null95(base: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([null95(list(b), int(k)) for b, k in zip(base, n, strict=True)])
 
