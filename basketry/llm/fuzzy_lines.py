@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import _with_sizes, connect, sketch
-from .runtime import blocks, materialise, partitions, prepare, table, utf8
+from .runtime import blocks, discard, materialise, partitions, prepare, release, table, utf8
 from .textscan import _BASE, mix, powers, word_bounds
 
 _U = np.uint64
@@ -95,20 +95,27 @@ def shingle_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out, bounds
 
 
-def line_set(members: bytes) -> np.ndarray:
-    """The sorted distinct shingle hashes of one normalised line (UTF-8)."""
-    points = np.frombuffer(members.decode("utf-8").encode("utf-32-le"), np.uint32)
-    return np.unique(shingle_hashes(points, np.array([0]), np.array([len(points)]))[0])
+def line_sets(members: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of normalised lines (UTF-8), all at once."""
+    texts = [m.decode("utf-8") for m in members]
+    ends = np.cumsum([len(t) for t in texts])
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    values, bounds = shingle_hashes(points, np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64))
+    return [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(len(texts))] if texts else []
 
 
-def _band_keys(n: int):
+def _scan(n: int):
+    """Of each block where its lines stand (bucket -1), and for each bucket the band keys of its distinct lines."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("bucket", pa.int32()), ("around", pa.bool_()), ("keys", pa.binary()), ("reps", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("around", pa.bool_()), *((c, pa.binary()) for c in ("keys", "reps", "ids", "ties", "nth"))])
         for block in blocks(batches):
             lines = Lines(block.column("text"))
             if not len(lines.hash):
                 continue
             reps, chosen = np.unique(lines.hash, return_index=True)
+            ids, ties = (block.column(c).to_numpy() for c in ("id", "tie"))
+            yield pa.RecordBatch.from_pylist([{"bucket": -1, "reps": lines.hash.tobytes(), "ids": ids[lines.text].astype(np.int64).tobytes(), "ties": ties[lines.text].tobytes(), "nth": lines.number.astype(np.int32).tobytes()}], schema=schema)
             values, bounds = lines.shingles(chosen)
             values = (values >> _U(32)).astype(np.uint32)
             rows = []
@@ -166,10 +173,10 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches):
-        lines = Lines(block.column("text"))
-        ids, ties = (block.column(c).to_numpy() for c in ("id", "tie"))
-        yield from pa.table({"line": lines.hash.view(np.int64), "id": ids[lines.text], "tie": ties[lines.text], "nth": lines.number.astype(np.int32)}).to_batches(max_chunksize=100_000)
+    for batch in batches:
+        for r in batch.to_pylist():
+            columns = {"line": (r["reps"], np.int64), "id": (r["ids"], np.int64), "tie": (r["ties"], np.int64), "nth": (r["nth"], np.int32)}
+            yield pa.RecordBatch.from_pydict({k: np.frombuffer(x, kind) for k, (x, kind) in columns.items()})
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +187,7 @@ def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             for w in wanted:
                 reps.append(w["line"])
                 members.append(normal(own[w["nth"]]).encode())
-        sets = [line_set(m) for m in members]
+        sets = line_sets(members)
         sketches = sketch(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))) if sets else []
         yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(members, pa.binary())], names=["rep", "sketch", "members"])
 
@@ -203,17 +210,21 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prepare(spark)
     n = partitions(spark)
     rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text").select("id", "tie", "text")
-    met = rows.select("text").mapInArrow(_band_keys(n), "bucket int, around boolean, keys binary, reps binary").repartition(n, "bucket")
+    scanned = materialise(rows.mapInArrow(_scan(n), "bucket int, around boolean, keys binary, reps binary, ids binary, ties binary, nth binary"), "line-scan")
+    met = scanned.filter("bucket >= 0").select("bucket", "around", "keys", "reps").repartition(n, "bucket")
     nodes = materialise(met.mapInArrow(_shared_keys, "node long, rep long"), "line-nodes").distinct()
     nodes = materialise(_with_sizes(nodes), "line-nodes")
-    places = materialise(rows.mapInArrow(_occurrences, "line long, id long, tie long, nth int"), "line-places")
+    places = materialise(scanned.filter("bucket < 0").select("reps", "ids", "ties", "nth").mapInArrow(_occurrences, "line long, id long, tie long, nth int"), "line-places")
+    discard(scanned)
+    del met, scanned
+    release(spark)
     first = places.groupBy("line").agg(F.min(F.struct("id", "tie", "nth")).alias("first"), F.count("*").alias("times"))
     first = materialise(first, "line-classes")
     wanted = nodes.select(F.col("rep").alias("line")).distinct().join(first, "line")
     wanted = wanted.groupBy("first.id", "first.tie").agg(F.collect_list(F.struct("line", "first.nth")).alias("wanted"))
     sets = rows.join(wanted, ["id", "tie"]).select("id", "tie", "wanted", "text").dropDuplicates(["id", "tie"]).select("wanted", "text").mapInArrow(_wanted_lines, "rep long, sketch binary, members binary")
     sets = materialise(sets, "line-sets")
-    labels = connect(nodes, sets.select("rep", "sketch"), lambda involved: sets.select("rep", "members"), PERCENT, line_set)
+    labels = connect(nodes, sets.select("rep", "sketch"), lambda involved: sets.select("rep", "members"), PERCENT, line_sets)
     classes = first.join(labels, first["line"] == labels["id"], "left").filter("times > 1 or component is not null")
     classes = classes.select("line", F.coalesce("component", "line").alias("component"), "first")
     keeper = classes.groupBy("component").agg(F.min("first").alias("keeper"))

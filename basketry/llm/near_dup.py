@@ -125,8 +125,8 @@ def spanning_links(ids: list, sketches: np.ndarray, sets: list[np.ndarray], perc
     return links
 
 
-def _stored(members: bytes) -> np.ndarray:
-    return np.frombuffer(members, _U)
+def _stored(members: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, _U) for x in members]
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -148,16 +148,39 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+#: Rows of small cells whose sets are decoded at once.
+DECODE_ROWS = 1_000
+
+
 def _compare(percent: int, decode):
+    def links_of(groups: list[pa.Table]) -> Iterator[tuple]:
+        rows = pa.concat_tables(groups)
+        ids, sketches = rows.column("rep").to_pylist(), _sketch_array(rows.column("sketch"))
+        sets = decode(rows.column("members").to_pylist())
+        at = 0
+        for g in groups:
+            upto = at + g.num_rows
+            if g.num_rows == 2:  # most cells
+                if ids[at] != ids[at + 1] and similar(sets[at], sets[at + 1], percent):
+                    yield ids[at], ids[at + 1]
+            else:
+                yield from spanning_links(ids[at:upto], sketches[at:upto], sets[at:upto], percent)
+            at = upto
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = [], []
+        found: list[tuple] = []
+        held: list[pa.Table] = []
+        n = 0
         for group in _cells(batches):
             if group.num_rows > 1:
-                sets = [decode(x) for x in group.column("members").to_pylist()]
-                for x, y in spanning_links(group.column("rep").to_pylist(), _sketch_array(group.column("sketch")), sets, percent):
-                    a.append(x)
-                    b.append(y)
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                held.append(group)
+                n += group.num_rows
+            if n >= DECODE_ROWS:
+                found.extend(links_of(held))
+                held, n = [], 0
+        if held:
+            found.extend(links_of(held))
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
     return run
 
@@ -176,6 +199,9 @@ def _tighten(percent: int, margin: float = MARGIN):
     """Of a cell's members those whose sketches come near the threshold, as groups that share no such pair."""
 
     def groups_of(group: pa.Table) -> list[list[int]]:
+        if group.num_rows == 2:  # most cells
+            (x, y), (p, q) = group.column("rep").to_pylist(), (np.frombuffer(b, np.uint16) for b in group.column("sketch").to_pylist())
+            return [sorted((x, y))] if x != y and np.count_nonzero(p == q) >= (percent / 100 - margin) * TOKENS else []
         ids, first = np.unique(group.column("rep").to_numpy(), return_index=True)
         if len(ids) < 2:
             return []
@@ -235,11 +261,12 @@ def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_s
 
     links, carried = None, None
     for level in range(LEVELS + 1):
-        small = nodes.filter(F.col("n") <= NODE_ROWS).select(F.col("node").cast("string").alias("cell"), "rep")
-        big = nodes.filter(F.col("n") > NODE_ROWS)
-        heads = big.groupBy("node").agg(F.min("rep").alias("head"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of"), F.max("n").alias("n"))
+        heads = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of"), F.max("n").alias("n"))
         heads = materialise(heads.groupBy("of", "n", "head").agg(F.min("node").alias("node")), "heads")  # each set of members once
-        big = big.join(heads.select("node", "head"), "node")
+        once = nodes.join(heads.select("node", "head"), "node")
+        small = once.filter(F.col("n") <= NODE_ROWS).select(F.col("node").cast("string").alias("cell"), "rep")
+        big = once.filter(F.col("n") > NODE_ROWS)
+        any_big = not heads.filter(F.col("n") > NODE_ROWS).isEmpty()
         parts = F.ceil(F.col("n") / NODE_ROWS).cast("long")
         if level < LEVELS:
             dealt = big.select(F.concat_ws("/", "node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("cell"), "rep", "head")
@@ -250,7 +277,7 @@ def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_s
         cells = small.union(dealt) if carried is None else small.union(dealt).union(carried)
         found = compare(cells, big)
         links = found if links is None else links.union(found)
-        if level == LEVELS or heads.isEmpty():
+        if level == LEVELS or not any_big:
             break
         labels = materialise(components(links), "labels")
         seen = big.join(labels, big["rep"] == labels["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))

@@ -18,6 +18,7 @@ BLOCK_BYTES = 4 << 20
 BATCH_ROWS = 1_000
 
 _written: dict[int, list[str]] = {}
+_path_of: dict[int, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +47,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.setdefault(id(spark), []).append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[id(out)] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table that materialise() returned as df, once nothing that is still to run reads it."""
+    path = _path_of.pop(id(df))
+    _written[id(df.sparkSession)].remove(path)
+    _delete(df.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -62,10 +77,8 @@ def release(spark: SparkSession) -> None:
 def drop_materialised(spark: SparkSession) -> int:
     """Deletes the tables that materialise() has written; for callers whose results are all stored."""
     paths = _written.pop(id(spark), [])
-    jvm = spark.sparkContext._jvm
     for path in paths:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _delete(spark, path)
     return len(paths)
 
 
