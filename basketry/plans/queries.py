@@ -387,9 +387,9 @@ def _(s, d):
     return _nb_tops(s, d).withColumn("confidence", R("confidence", 6))
 
 
-@query("linear_logits", "SELECT basket_id, label, round(logit, 6) AS logit FROM logit", SCORE)
+@query("linear_logits", "SELECT basket_id, label, CASE WHEN round(logit, 6) = 0 THEN 0 ELSE round(logit, 6) END AS logit FROM logit", SCORE)
 def _(s, d):
-    return _logits(s, d).withColumn("logit", R("logit", 6))
+    return _logits(s, d).withColumn("logit", F.when(R("logit", 6) == 0, 0.0).otherwise(R("logit", 6)))  # no negative zero
 
 
 @query("softmax_blend", "SELECT basket_id, label, round(share, 6) AS share FROM share", SCORE)
@@ -461,7 +461,7 @@ def _corpus(s, d):
     return n.select(T.slug(F.col("item")).alias("id"), F.col("item").alias("name"), "mentions", F.array(F.upper(_noun(F.col("item")))).alias("aliases"))
 
 
-@query("search_ranked", """SELECT id, tier, mentions FROM (SELECT replace(item, ' ', '_') AS id, count(*) AS mentions, CASE WHEN starts_with(item, 'bl') THEN 0 WHEN starts_with(split_part(item, ' ', 2), 'bl') THEN 1 WHEN contains(item, 'bl') THEN 2 END AS tier FROM mentions GROUP BY item)
+@query("search_ranked", """SELECT id, tier::BIGINT AS tier, mentions FROM (SELECT replace(item, ' ', '_') AS id, count(*) AS mentions, CASE WHEN starts_with(item, 'bl') THEN 0 WHEN starts_with(split_part(item, ' ', 2), 'bl') THEN 1 WHEN contains(item, 'bl') THEN 2 END AS tier FROM mentions GROUP BY item)
   WHERE tier IS NOT NULL ORDER BY tier, mentions DESC, id LIMIT 8""")
 def _(s, d):
     return search.search(_corpus(s, d), "  BL ")
