@@ -129,12 +129,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     pairs = pairs.select("id", "tie", "entity", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
     entities = pairs.select("entity", "tie").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     joint = pairs.filter("term is not null").select("entity", "term", "tie").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_texts)
-    joint = materialise(joint, "pii-joint")
+    total = F.broadcast(found.select("tie").distinct().agg(F.count("*").alias("total")))  # one row
+    beside_any = pairs.filter("term is not null").select("term", "tie").distinct().groupBy("term").agg(F.count("*").alias("at_least"))
+    # Texts with the term beside any entity are no more than n(t); where they are too many already, the share can't be reached.
+    most = F.col("n_te") * F.pow(F.col("total") / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
+    joint = joint.join(beside_any, "term").join(entities, "entity").join(total).filter(F.col("at_least") <= most)
+    joint = materialise(joint.select("entity", "term", "n_te", "n_e", "total"), "pii-joint")
     candidates = joint.select("term").distinct()
     terms = rows.select("tie", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     counts = terms.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = F.broadcast(found.select("tie").distinct().agg(F.count("*").alias("total")))  # one row
-    scored = joint.join(counts, "term").join(entities, "entity").join(total)
+    scored = joint.join(counts, "term")
     share = F.try_divide(F.log(F.col("total") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))), F.log(F.col("total") / F.col("n_e")))
     telling = scored.withColumn("share", share).filter(F.col("share") >= disclosure).select("entity", "term", "share")
     spans = pairs.join(telling, ["entity", "term"]).groupBy("id", "tie", "start", "end").agg(F.max("share").alias("share"))
