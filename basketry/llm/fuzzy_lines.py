@@ -22,6 +22,8 @@ BANDS, TOKENS_OF_BAND = 10, 4
 _MASKS = (mix(np.arange(1001, 1001 + BANDS * TOKENS_OF_BAND, dtype=_U)) >> _U(32)).astype(np.uint32)
 #: Lines with one key in a block beyond which only the least is sent to meet other blocks' and the rest go around.
 LOCAL_KEYS = 64
+#: Bytes of text that are scanned at once: arrays that stay in a core's cache and needn't be mapped anew.
+SCAN_BYTES = 1 << 20
 _LAST_ID = (1 << 63) - 1
 _LINE_WHITE = re.compile(r"[ \t\x0b\f\r]+")
 
@@ -109,7 +111,7 @@ def _scan(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("bucket", pa.int32()), ("around", pa.bool_()), *((c, pa.binary()) for c in ("keys", "reps", "ids", "ties", "nth"))])
-        for block in blocks(batches):
+        for block in blocks(batches, limit=SCAN_BYTES):
             lines = Lines(block.column("text"))
             if not len(lines.hash):
                 continue
@@ -144,6 +146,15 @@ def _scan(n: int):
     return run
 
 
+def _beside_equal(key: np.ndarray) -> np.ndarray:
+    """Where sorted keys have an equal one beside them."""
+    out = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, reps = [], []
 
@@ -160,13 +171,16 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 reps.append(rep)
     if keys:
         key, rep = np.concatenate(keys), np.concatenate(reps)
+        order = np.argsort(key)
+        key = key[order]
+        at = np.flatnonzero(_beside_equal(key))  # few, which alone need an order by line too
+        key, rep = key[at], rep[order[at]]
         order = np.lexsort((rep, key))
         key, rep = key[order], rep[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (rep[1:] != rep[:-1]))
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (rep[1:] != rep[:-1])
         key, rep = key[new], rep[new]
-        shared = np.zeros(len(key), bool)
-        shared[1:] |= key[1:] == key[:-1]
-        shared[:-1] |= key[1:] == key[:-1]
+        shared = _beside_equal(key)
         key, rep = key[shared], rep[shared]
         for i in range(0, len(key), 100_000):
             yield rows(key[i : i + 100_000], rep[i : i + 100_000])

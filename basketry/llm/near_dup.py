@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -195,17 +196,43 @@ def _sets(k: int):
     return run
 
 
+#: Rows of whole cells that are taken up at once.
+CHUNK_ROWS = 20_000
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by cell, as tables of whole cells with the bounds of these cells."""
+
+    def bounds_of(rows: pa.Table) -> np.ndarray:
+        cell = rows.column("cell").combine_chunks()
+        changed = pc.not_equal(cell.slice(1), cell.slice(0, len(cell) - 1)).to_numpy(zero_copy_only=False)
+        return np.concatenate(([0], np.flatnonzero(changed) + 1, [len(cell)]))
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += batch.num_rows
+        if n >= CHUNK_ROWS:
+            rows = pa.Table.from_batches(held)
+            bounds = bounds_of(rows)
+            if len(bounds) > 2:  # the last cell may go on
+                yield rows.slice(0, bounds[-2]), bounds[:-1]
+                rows = rows.slice(bounds[-2])
+            held, n = rows.combine_chunks().to_batches(), rows.num_rows
+    if held:
+        rows = pa.Table.from_batches(held)
+        yield rows, bounds_of(rows)
+
+
 def _tighten(percent: int, margin: float = MARGIN):
     """Of a cell's members those whose sketches come near the threshold, as groups that share no such pair."""
 
-    def groups_of(group: pa.Table) -> list[list[int]]:
-        if group.num_rows == 2:  # most cells
-            (x, y), (p, q) = group.column("rep").to_pylist(), (np.frombuffer(b, np.uint16) for b in group.column("sketch").to_pylist())
-            return [sorted((x, y))] if x != y and np.count_nonzero(p == q) >= (percent / 100 - margin) * TOKENS else []
-        ids, first = np.unique(group.column("rep").to_numpy(), return_index=True)
-        if len(ids) < 2:
-            return []
-        rows = _sketch_array(group.column("sketch"))[first]
+    def groups_of(ids: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+        ids, first = np.unique(ids, return_index=True)
+        rows = rows[first]
         label = np.arange(len(ids))
         for i in range(len(ids) - 1):
             rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
@@ -214,16 +241,21 @@ def _tighten(percent: int, margin: float = MARGIN):
             near = rest[(rows[rest] == rows[i]).mean(1) >= percent / 100 - margin]
             if len(near):
                 label[np.isin(label, label[near])] = label[i]
-        return [ids[label == g].tolist() for g in np.flatnonzero(np.bincount(label) > 1)]
+        return [ids[label == g] for g in np.flatnonzero(np.bincount(label) > 1)] if len(ids) > 1 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list[int]] = []
-        for group in _cells(batches):
-            out.extend(groups_of(group))
-            if len(out) >= 10_000:
-                yield pa.RecordBatch.from_pydict({"reps": pa.array(out, pa.list_(pa.int64()))})
-                out = []
-        yield pa.RecordBatch.from_pydict({"reps": pa.array(out, pa.list_(pa.int64()))})
+        for table_, bounds in _chunks(batches):
+            ids, rows = table_.column("rep").to_numpy(), _sketch_array(table_.column("sketch"))
+            sizes = np.diff(bounds)
+            two = bounds[:-1][sizes == 2]  # most cells
+            near = (ids[two] != ids[two + 1]) & ((rows[two] == rows[two + 1]).mean(1) >= percent / 100 - margin)
+            pairs = np.sort(np.stack([ids[two[near]], ids[two[near] + 1]], axis=1), axis=1)
+            found = [*pairs]
+            for k in np.flatnonzero(sizes > 2):
+                found.extend(groups_of(ids[bounds[k] : bounds[k + 1]], rows[bounds[k] : bounds[k + 1]]))
+            ends = np.concatenate(([0], np.cumsum([len(g) for g in found]))).astype(np.int32)
+            flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["reps"])
 
     return run
 
