@@ -112,8 +112,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     entity's information content log(N / n(e)) is the share of e that t discloses. Where it reaches the threshold, with
     min_texts texts at least, the term beside that entity is a span too. Equal texts count once in all counts.
 
-    Counting is partial before each exchange, and only terms that stand beside an entity in min_texts texts are counted
-    over the corpus. Null texts are empty; null ids stay null; repeated rows get equal results; an empty table gives no
+    Counting is partial before each exchange. Null texts are empty; null ids stay null; repeated rows get equal results; an empty table gives no
     rows; other columns aren't read.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -135,9 +134,10 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     most = F.col("n_te") * F.pow(F.col("total") / F.col("n_e"), F.lit(1 - disclosure)) * (1 + 1e-9)
     joint = joint.join(beside_any, "term").join(entities, "entity").join(total).filter(F.col("at_least") <= most)
     joint = materialise(joint.select("entity", "term", "n_te", "n_e", "total"), "pii-joint")
-    candidates = joint.select("term").distinct()
-    terms = rows.select("tie", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = terms.join(candidates, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    # Each of a text's c copies counts 1 / c, so that terms are added up before the exchange and no (term, text) pair is sent.
+    copies = materialise(found.groupBy("tie").agg(F.count("*").alias("c")).filter("c > 1"), "pii-copies")
+    terms = rows.select("tie", "text").join(copies, "tie", "left").select(F.lit(1.0) / F.coalesce("c", F.lit(1)), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))))).toDF("part", "term")
+    counts = terms.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t"))
     scored = joint.join(counts, "term")
     share = F.try_divide(F.log(F.col("total") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))), F.log(F.col("total") / F.col("n_e")))
     telling = scored.withColumn("share", share).filter(F.col("share") >= disclosure).select("entity", "term", "share")

@@ -1,6 +1,8 @@
 """Each operator against a plain version of what it computes, and over odd rows."""
 
 import hashlib
+import math
+import random
 import re
 from collections import Counter
 
@@ -89,6 +91,43 @@ def test_pii_base(spark, docs):
         assert r["spans"].split(",")[: len(want)] == (want or [""])[: len(want)]
 
 
+def test_pii_shares_against_plain_counts(spark):
+    rng = random.Random(5)
+    people = [f"user{i}@mail.org" for i in range(6)]
+    texts = []
+    for _ in range(120):
+        p = rng.randrange(len(people))
+        words = [rng.choice(["alpha", "beta", "gamma", "delta", "Über", "omega"]) for _ in range(12)]
+        words[rng.randrange(12)] = people[p]
+        words.insert(0, rng.choice([f"nick{p}", "common"]))
+        texts.append(" ".join(words))
+    texts += [texts[0]] * 40 + [texts[1]] * 3 + ["nick0 alone", "", None]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), disclosure=0.5, min_texts=2).collect()
+    distinct = {t or "" for t in texts}
+    has_term, has_entity, near = {}, {}, {}
+    for t in distinct:
+        for w in {x.lower() for x in re.findall(r"[^\W_]{3,}", t)}:
+            has_term.setdefault(w, set()).add(t)
+        for m in re.finditer(r"user\d@mail\.org", t):
+            has_entity.setdefault(m[0], set()).add(t)
+            before, after = t[: m.start()].split(), t[m.end() :].split()
+            for w in before[-3:] + after[:3]:
+                near.setdefault((m[0], w.lower()), set()).add(t)
+    share = {}
+    for (e, w), at in near.items():
+        n_e = len(has_entity[e])
+        if len(at) >= 2:
+            share[e, w] = math.log(len(distinct) * len(at) / (len(has_term[w]) * n_e)) / math.log(len(distinct) / n_e)
+    assert any(x >= 0.5 for x in share.values())
+    for r in found:
+        t = texts[r["doc_id"]] or ""
+        got = {t[s["start"] : s["end"]].lower() for s in r["term"]}
+        want = set()
+        for m in re.finditer(r"user\d@mail\.org", t):
+            want |= {w.lower() for w in t[: m.start()].split()[-3:] + t[m.end() :].split()[:3] if share.get((m[0], w.lower()), 0) >= 0.5}
+        assert got == want
+
+
 def test_pii_terms(spark):
     rows = [(i, f"note {i} about zorblat contact zed@corp.example the {WORDS[i]} thing") for i in range(4)] + [(10 + i, f"plain the note about {WORDS[i]} contact thing {i}") for i in range(12)]
     found = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
