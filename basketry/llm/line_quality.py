@@ -9,7 +9,7 @@ from .runtime import materialise, table
 
 #: A line stands out on a host when more than MIN_DOCUMENTS distinct texts, and more than this share of the host's, have it.
 MIN_DOCUMENTS, HOST_SHARE = 20, 0.01
-#: ... and when it has different neighbours in at least this share of them; copies of one text repeat the neighbours too.
+#: ... and when at least this share of them are no near-copies of each other.
 CONTEXT_SHARE = 0.5
 #: A document is depleted when lines were removed and less than this share of its words is left.
 LEAST_LEFT = 0.2
@@ -45,25 +45,28 @@ def line_frequency(docs: DataFrame, host_col: str = "source", text_col: str = "t
     """(host, text key, hashes): for each distinct text of a host its normalised lines that are boilerplate there.
 
     Copies of a text on a host count as one document, and are reduced to one before lines are exploded, so that a
-    group of copies is summed on its way. Lines are counted for each host with partial sums; only lines beyond both
-    limits are looked at again, for the neighbours they have.
+    group of copies is summed on its way. Lines are counted for each host with partial sums; a line beyond both limits
+    is common, wherever it stands in a block. A common line stays only where more than 1 - context_share of its texts
+    are near-copies, which are left to near-duplicate removal: they hold less than LEAST_LEFT of their words outside
+    common lines, and agree in the common line of least hash.
     """
     keyed = _text_key(docs, text_col, host_col)
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _has_word)
-    texts = keyed.select("_host", "_k1", "_k2", F.transform(lines, lambda x: F.xxhash64(_normal(x))).alias("h"))
+    texts = keyed.select("_host", "_k1", "_k2", F.transform(F.transform(lines, _normal), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))).alias("h"))
     texts = materialise(texts.groupBy("_host", "_k1", "_k2").agg(F.first("h").alias("h")), "line-hashes")
-    counts = texts.select("_host", F.explode(F.array_distinct("h")).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
+    counts = texts.select("_host", F.explode(F.array_distinct("h.line")).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
     hosts = texts.groupBy("_host").agg(F.count("*").alias("texts"))
-    common = materialise(counts.join(hosts, "_host").filter(F.col("n") > F.col("texts") * host_share).select("_host", "line", "n"), "common-lines")
-    places = texts.select("_host", "_k1", "_k2", F.posexplode("h").alias("at", "line"), "h")
-    places = places.withColumns({"prev": F.when(F.col("at") > 0, F.get("h", F.col("at") - 1)), "next": F.get("h", F.col("at") + 1)}).drop("h", "at")
-    places = materialise(places.join(common, ["_host", "line"]), "common-places")
-
-    def contexts(side: str) -> DataFrame:
-        return places.select("_host", "line", "n", side).distinct().groupBy("_host", "line", "n").agg(F.count("*").alias("c"))
-
-    spread = contexts("prev").union(contexts("next")).groupBy("_host", "line", "n").agg(F.max("c").alias("c")).filter(F.col("c") >= F.col("n") * context_share)
-    return places.join(spread.select("_host", "line"), ["_host", "line"]).groupBy("_host", "_k1", "_k2").agg(F.collect_set("line").alias("drop"))
+    common = materialise(counts.join(hosts, "_host").filter(F.col("n") > F.col("texts") * host_share).select("_host", "line"), "common-lines")
+    all_words = F.aggregate("h.words", F.lit(0).cast("long"), lambda acc, n: acc + n)
+    places = texts.select("_host", "_k1", "_k2", all_words.alias("all"), F.explode("h").alias("h")).select("_host", "_k1", "_k2", "all", "h.line", "h.words").join(common, ["_host", "line"])
+    places = places.groupBy("_host", "_k1", "_k2", "all").agg(F.sum("words").alias("common"), F.min("line").alias("least"), F.collect_set("line").alias("lines"))
+    copy = F.when(F.col("all") - F.col("common") < F.col("all") * LEAST_LEFT, F.col("least"))
+    places = materialise(places.select("_host", "_k1", "_k2", copy.alias("copy"), "lines"), "common-places")
+    groups = places.select("_host", "copy", F.explode("lines").alias("line")).groupBy("_host", "line", "copy").agg(F.count("*").alias("c"))
+    near = F.coalesce(F.max(F.when(F.col("copy").isNotNull(), F.col("c"))), F.lit(0))
+    gone = groups.groupBy("_host", "line").agg(F.sum("c").alias("n"), near.alias("near")).filter(F.col("n") - F.col("near") >= F.col("n") * context_share)
+    own = places.select("_host", "_k1", "_k2", F.explode("lines").alias("line"))
+    return own.join(gone.select("_host", "line"), ["_host", "line"]).groupBy("_host", "_k1", "_k2").agg(F.collect_set("line").alias("drop"))
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", least_left: float = LEAST_LEFT, **limits) -> DataFrame:
@@ -101,7 +104,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
         }
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_words", "_hashes", "_sorted", "_at", "_lines")
-    out = out.join(drops, ["_host", "_k1", "_k2"], "left")
+    out = out.join(drops.hint("merge"), ["_host", "_k1", "_k2"], "left")  # texts are exchanged at every size, so that disk grows in proportion
     clean = F.array_join(F.filter(F.split(full, "\n"), lambda x: ~F.coalesce(F.array_contains("drop", F.xxhash64(_normal(x))), F.lit(False)) | ~_has_word(x)), "\n")
     out = out.withColumn("clean_text", F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(clean))
     left = F.when(F.col("drop").isNotNull(), F.size(_words(F.col("clean_text"))))

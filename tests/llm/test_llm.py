@@ -186,6 +186,20 @@ def test_quality_boilerplate(spark):
     assert got[0]["kept"] and menu not in got[0]["clean_text"] and not got[100]["kept"] and got[101]["kept"] and got[102]["kept"]
 
 
+def test_quality_removes_blocks_of_lines_and_leaves_near_copies(spark):
+    r = np.random.default_rng(6)
+    own = lambda n: " ".join(WORDS[i] + str(int(r.integers(10**6))) for i in r.integers(0, 20, n))
+    footer = [" ".join(f"{part}{i}" for i in range(15)) for part in ("Imprint", "Cookies", "Licence", "Contact")]
+    block = "\n".join(footer)
+    rows = [(i, f"{own(60)}\n{block}", "h") for i in range(40)] + [(100 + i, f"{own(5)}\n{block}", "h") for i in range(5)]
+    base = [own(8) for _ in range(20)]
+    rows += [(200 + i, "\n".join([*base[: i % 20], own(8), *base[i % 20 + 1 :]]), "copies") for i in range(60)]
+    got = {r["doc_id"]: r for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[i]["kept"] and not any(x in got[i]["clean_text"] for x in footer) for i in range(40))
+    assert not any(got[100 + i]["kept"] for i in range(5))
+    assert all(got[i]["kept"] and got[i]["clean_text"] == t for i, t, host in rows if host == "copies")
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for d, t in rows:
