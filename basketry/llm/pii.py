@@ -19,6 +19,10 @@ PATTERNS = {
 HINTS = {"email": "@", "phone": "+"}
 KINDS = ("email", "ip", "card", "phone")
 TERM = r"[\p{L}\p{N}]{3,}"
+#: ... and no part of a longer run that reaches into a span, in a text whose spans are each one NUL.
+FREE_TERM = r"(?<![\p{L}\p{N}\x00])[\p{L}\p{N}]{3,}+(?!\x00)"
+#: Terms in more than this share of the texts are set aside before texts are joined with telling terms (unless they tell).
+HOT_SHARE = 0.01
 #: Terms on each side of an entity, and the characters they are looked for in.
 SIDE_TERMS, SIDE_CHARS = 3, 80
 #: A term discloses an entity when it tells this share of the entity's information content, seen in so many distinct texts.
@@ -26,6 +30,7 @@ DISCLOSURE, MIN_TEXTS = 0.8, 3
 #: Above this share a term is removed, below it is replaced by a general word.
 REMOVAL = 0.95
 _SPAN = "array<struct<start:int,end:int,value:string>>"
+_TERMS = "array<struct<start:int,end:int,share:double>>"
 _LAST_ID = (1 << 63) - 1
 
 
@@ -103,7 +108,68 @@ def _marked(kind: str):
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS) -> DataFrame:
+def _blanked(text, spans):
+    """The text with each span replaced by a NUL."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc, s):
+        cut = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("\0"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(cut).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _occurrences(text, shares):
+    """Spans (start, end, share) of the terms of a text that are keys of the map shares."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    both = F.zip_with(found, F.slice(F.split(text, TERM, -1), 1, F.size(found)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_TERMS})").alias("out"))
+
+    def add(acc, x):
+        begin, share = acc["at"] + x["g"], F.try_element_at(shares, F.lower(x["m"]))
+        end = begin + F.length(x["m"])
+        return F.struct(end.alias("at"), F.when(share.isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), share.alias("share"))))).alias("out"))
+
+    return F.aggregate(both, start, add, lambda acc: acc["out"])
+
+
+def _find_in_whole_texts(rows: DataFrame, found: DataFrame, disclosure: float, min_texts: int) -> DataFrame:
+    """What find() gives with whole_texts.
+
+    A text's entities and terms are paired only for entities in min_texts texts or more, as no other can reach n(t,e),
+    and pairs are added up before the exchange.
+    """
+    entities = F.array_distinct(F.transform("tagged", lambda s: s["entity"]))
+    free = F.array_distinct(F.regexp_extract_all(F.lower(_blanked(F.col("text"), F.col("spans"))), F.lit(FREE_TERM), F.lit(0)))
+    found = found.withColumn("entities", entities)
+    found = materialise(found.select("doc_id", "id", "tie", *KINDS, "entities", F.when(F.size("entities") > 0, free).alias("terms")), "pii-base")
+    total = found.select("tie").distinct().agg(F.count("*").alias("total"))  # one row
+    holders = materialise(found.filter(F.size("entities") > 0).groupBy("tie").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-holders")
+    held = holders.select("tie", F.explode("entities").alias("entity"))
+    frequent = materialise(held.groupBy("entity").agg(F.count("*").alias("n_e")).filter(F.col("n_e") >= min_texts), "pii-entities")
+    own = held.join(frequent, "entity").groupBy("tie").agg(F.collect_list("entity").alias("entities"))
+    pairs = holders.select("tie", "terms").join(own, "tie").select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term"))
+    joint = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= min_texts)
+    joint = materialise(joint.join(frequent, "entity"), "pii-joint")
+    # Each of a text's c copies counts 1 / c, so that terms are added up before the exchange and no (term, text) pair is sent.
+    copies = materialise(found.groupBy("tie").agg(F.count("*").alias("c")).filter("c > 1"), "pii-copies")
+    terms = rows.select("tie", "text").join(copies, "tie", "left").select(F.lit(1.0) / F.coalesce("c", F.lit(1)), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))))).toDF("part", "term")
+    counts = terms.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_t")).filter(F.col("n_t") >= min_texts)
+    counts = materialise(counts.join(F.broadcast(total)), "pii-terms")
+    share = F.try_divide(F.log(F.col("total") * F.col("n_te") / (F.col("n_t") * F.col("n_e"))), F.log(F.col("total") / F.col("n_e")))
+    scored = joint.join(counts, "term").withColumn("share", share).filter(F.col("share") >= disclosure)
+    telling = materialise(scored.groupBy("term").agg(F.max("share").alias("share")), "pii-telling")
+    # At most 1 / HOT_SHARE times the terms of a text, however many texts there are.
+    hot = counts.filter(F.col("n_t") > F.col("total") * HOT_SHARE).select("term").join(telling.select("term"), "term", "left_anti")
+    standing = rows.select("id", "tie", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(F.broadcast(hot), "term", "left_anti")
+    shares = standing.join(telling, "term").groupBy("id", "tie").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
+    spans = rows.select("id", "tie", "text").join(shares, ["id", "tie"]).select("id", "tie", _occurrences(F.col("text"), F.col("shares")).alias("term")).groupBy("id", "tie").agg(F.first("term").alias("term"))
+    out = found.drop("entities", "terms").join(spans, ["id", "tie"], "left").withColumn("term", F.coalesce("term", F.expr(f"cast(array() as {_TERMS})")))
+    base = F.concat(*KINDS)
+    return out.withColumn("term", F.filter("term", lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS, whole_texts: bool = False) -> DataFrame:
     """One row for each of docs: id, tie, the spans of each kind, and term spans with the share of information they disclose.
 
     Protected entities are the values of the base kinds. A term is a run of three or more letters or digits. Over the
@@ -112,6 +178,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     entity's information content log(N / n(e)) is the share of e that t discloses. Where it reaches the threshold, with
     min_texts texts at least, the term beside that entity is a span too. Equal texts count once in all counts.
 
+    With whole_texts, as in the registered query and in sanitise(), n(t,e) counts the texts with e that have t
+    anywhere outside the base spans, and each occurrence of a telling term is a span, in texts without the entity too.
+
     Counting is partial before each exchange. Null texts are empty; null ids stay null; repeated rows get equal results; an empty table gives no
     rows; other columns aren't read.
     """
@@ -121,6 +190,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     all_spans = F.concat(*KINDS)
     tagged = F.concat(*map(_tagged, KINDS))
     found = found.withColumns({"spans": all_spans, "tagged": tagged})
+    if whole_texts:
+        return _find_in_whole_texts(rows, found, disclosure, min_texts)
     left, right = _side_terms(F.col("text"), F.col("spans"), True), _side_terms(F.col("text"), F.col("spans"), False)
     beside = F.transform("tagged", lambda s: F.struct(s["entity"].alias("entity"), F.concat(left(s), right(s)).alias("terms")))
     found = materialise(found.select("doc_id", "id", "tie", *KINDS, beside.alias("beside")), "pii-base")
@@ -158,7 +229,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """docs with each base span replaced by its kind in brackets, telling terms by [TERM] or, above REMOVAL, by nothing."""
-    found = find(docs, id_col, text_col, **limits)
+    found = find(docs, id_col, text_col, **{"whole_texts": True, **limits})
     marks = F.concat(*map(_marked, (*KINDS, "term")))
     found = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.array_sort(marks).alias("_marks")).dropDuplicates(["_id", "_tie"])
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -174,4 +245,4 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
 
 def query(spark, sf_dir):
-    return digest(find(table(spark, sf_dir, "documents")))
+    return digest(find(table(spark, sf_dir, "documents"), whole_texts=True))
