@@ -357,14 +357,15 @@ def _sorted_runs(n: int, length: int):
             chosen = chosen[np.lexsort((p.first[chosen], p.ties[t], p.ids[t]))]
             t = p.text[chosen]
             data = p.data.tobytes()
-            seen, again, items = set(), [], []
+            seen, again, items = {}, [], []
             for a, b, at, i, tie, first, last, dealt in zip(*(c.tolist() for c in (p.a[chosen], p.b[chosen] + length, p.at[chosen], p.ids[t], p.ties[t], p.first[chosen], p.last[chosen], p.dealt[t])), strict=True):
                 key = data[at:b] + data[a:at][::-1]
                 mark = (key, b - at)
                 if mark in seen:
-                    again.append((i, tie, first, last, dealt))
+                    if seen[mark] != (i, tie, first):  # else the same place of a repeated row
+                        again.append((i, tie, first, last, dealt))
                 else:
-                    seen.add(mark)
+                    seen[mark] = i, tie, first
                     items.append((key, b - at, i, tie, first, dealt))
             items.sort()
             out = [front_code(-1, items)] + [{"part": d, "n": 0, **m} for d, m in _marks(again)]
@@ -415,7 +416,7 @@ def _merge(length: int, splitters: list[bytes]):
                 w = text[o : o + length]
                 now = (i, tie, first + o, dealt)
                 held = best.setdefault(w, now)
-                if held is not now:
+                if held != now:
                     if now < held:
                         best[w], now = now, held
                     marks.append((*now[:3], now[2], now[3]))
@@ -441,7 +442,8 @@ def _merge(length: int, splitters: list[bytes]):
             held, opened, at_edge, n = None, 0, below, 0
             for known, key, right, i, tie, first, dealt in loser_tree([front_decode(r) for r in rows]):
                 if held is not None and known == len(key) == len(held[0]) and right == held[1]:
-                    marks.append((i, tie, first, first + len(key) - length, dealt))
+                    if (i, tie, first) != held[2:5]:  # else the same place of a repeated row
+                        marks.append((i, tie, first, first + len(key) - length, dealt))
                     continue
                 if held is not None:
                     reach = max(held[6], known) if not (at_edge and opened == 1) else held[1]
