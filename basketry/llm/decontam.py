@@ -73,6 +73,21 @@ def _within(values: np.ndarray, allowed: np.ndarray) -> np.ndarray:
     return allowed[at] == values
 
 
+def _near(lists: list[np.ndarray], gap: int, word_bounds_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each place of the first term from which the others follow in order, at most gap words between two, in the same
+    document, and the furthest place of the last term. From the last term on, places from which the rest can be reached
+    are kept; a later one of them never ends earlier, so the last within reach counts."""
+    begin = finish = lists[-1]
+    for own in reversed(lists[:-1]):
+        if not len(begin):
+            break
+        upto = np.minimum(own + 1 + gap, word_bounds_[np.searchsorted(word_bounds_, own, side="right")] - 1)
+        at = np.searchsorted(begin, upto, side="right") - 1
+        ok = (at >= 0) & (begin[at] > own)
+        begin, finish = own[ok], finish[at[ok]]
+    return begin, finish
+
+
 def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, word_bounds_: np.ndarray, p: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each window that occurs: its number, and where its occurrences begin and end.
 
@@ -88,14 +103,7 @@ def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, w
             continue
         lists = [postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) for t in place] if p.gap else None
         if p.gap:
-            begin = finish = lists[0]
-            for later in lists[1:]:
-                nxt = np.searchsorted(later, finish, side="right")
-                ok = nxt < len(later)
-                begin, nxt = begin[ok], nxt[ok]
-                step = later[nxt] - finish[ok]
-                finish = later[nxt][step <= 1 + p.gap]
-                begin = begin[step <= 1 + p.gap]
+            begin, finish = _near(lists, p.gap, word_bounds_)
         else:
             order = np.argsort(sizes, kind="stable")
             t = place[order[0]]
