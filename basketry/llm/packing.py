@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -156,36 +157,37 @@ def _trade(a: Bin, b: Bin, capacity: int) -> tuple[Bin, Bin] | None:
     return tuple(sorted([*_without(a, *give), *take], reverse=True)), tuple(sorted([*_without(b, *take), *give], reverse=True))
 
 
-def local_search(bins: dict[Bin, int], capacity: int, steps: int = 200_000) -> dict[Bin, int]:
-    """Trades between underfull bins for as long as the squared fill rises; equal bins trade all at once.
+def local_search(bins: dict[Bin, int], capacity: int) -> dict[Bin, int]:
+    """Trades between underfull bins until none raises the squared fill; equal bins trade all at once.
 
-    The sum of squares is bounded and rises by at least one with each trade, so it ends; steps bounds the pairs tried.
+    The sum of squares is bounded and rises by at least one with each trade, so it ends. After the first sweep only
+    pairs with a bin that has come up since are tried.
     """
     bins = dict(bins)
-    tried: set[tuple[Bin, Bin]] = set()
-    changed = True
-    while changed and steps > 0:
-        changed = False
+    fresh = set(bins)
+    while fresh:
         under = sorted((b for b in bins if sum(b) < capacity), key=lambda b: (sum(b), b))
+        new = [b in fresh for b in under]
+        places = [i for i, x in enumerate(new) if x]
+        fresh = set()
         for i, a in enumerate(under):
-            for b in under[i:]:
-                if steps <= 0:
-                    break
-                if bins.get(a, 0) < 1 + (a == b) or not bins.get(b, 0) or (a, b) in tried:
+            for j in range(i, len(under)) if new[i] else places[bisect_left(places, i) :]:
+                b = under[j]
+                if bins.get(a, 0) < 1 + (a == b) or not bins.get(b, 0):
                     continue
-                steps -= 1
                 traded = _trade(a, b, capacity)
                 if traded is None:
-                    tried.add((a, b))
                     continue
                 times = bins[a] // 2 if a == b else min(bins[a], bins[b])
                 for old in (a, b):
                     bins[old] -= times
-                for new in traded:
-                    if new:
-                        bins[new] = bins.get(new, 0) + times
-                bins = {k: v for k, v in bins.items() if v}
-                changed = True
+                for made in traded:
+                    if made:
+                        bins[made] = bins.get(made, 0) + times
+                        fresh.add(made)
+                for old in (a, b):
+                    if not bins.get(old, 1):
+                        del bins[old]
     return bins
 
 
