@@ -362,10 +362,10 @@ def _sorted_runs(n: int, length: int):
                 key = data[at:b] + data[a:at][::-1]
                 mark = (key, b - at)
                 if mark in seen:
-                    if seen[mark] != (i, tie, first):  # else the same place of a repeated row
+                    if items[seen[mark]][2:5] != (i, tie, first):  # else the same place of a repeated row
                         again.append((i, tie, first, last, dealt))
                 else:
-                    seen[mark] = i, tie, first
+                    seen[mark] = len(items)
                     items.append((key, b - at, i, tie, first, dealt))
             items.sort()
             out = [front_code(-1, items)] + [{"part": d, "n": 0, **m} for d, m in _marks(again)]
