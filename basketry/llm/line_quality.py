@@ -9,7 +9,7 @@ from .runtime import materialise, table
 
 #: A line stands out on a host when more than MIN_DOCUMENTS distinct texts, and more than this share of the host's, have it.
 MIN_DOCUMENTS, HOST_SHARE = 20, 0.01
-#: ... and when at least this share of them are no near-copies of each other.
+#: ... and when at least this share of them are no near-copies of each other (0: whatever they are).
 CONTEXT_SHARE = 0.5
 #: A document is depleted when lines were removed and less than this share of its words is left.
 LEAST_LEFT = 0.2
@@ -28,6 +28,16 @@ def _has_word(line):
     return line.rlike(WORD)
 
 
+def _key(line):
+    """60 bits of a line's MD5: a number that SQL can give as well."""
+    return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
+
+
+def _let(value, f):
+    """f(value), with the value worked out once however often f names it and wherever the optimizer moves the whole."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _text_key(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
     """Columns host and k1, k2: rows alike in them have the same host and text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -37,8 +47,35 @@ def _text_key(df: DataFrame, text_col: str, host_col: str) -> DataFrame:
 def repeated_words(words):
     """How many words lie in a window of three words that occurs twice or more: windows by hash, sorted only in texts
     that have an equal pair, then the gaps between their starts, at most three each, are summed."""
-    hashes = F.slice(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), 1, F.greatest(F.size(words) - 2, F.lit(0)))
-    return hashes
+    none = F.lit(0).cast("long")
+
+    def of_places(at):
+        return F.aggregate(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3)))), none, lambda a, x: a + x)
+
+    def of_sorted(s):
+        twice = F.filter(s, lambda x, i: F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
+        return _let(F.array_sort(F.transform(twice, lambda x: x["i"])), of_places)
+
+    def of_hashes(h):
+        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(h)) < F.size(h), _let(ordered, of_sorted)).otherwise(none)
+
+    hashes = F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+    return _let(F.slice(hashes, 1, F.greatest(F.size(words) - 2, F.lit(0))), of_hashes)
+
+
+def _word_counts(text):
+    """n_words, n_repeat_words and base_failed of a text, as one struct."""
+
+    def judged(n, r):
+        return F.struct(n.alias("n_words"), r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"))
+
+    return _let(_words(text), lambda w: _let(repeated_words(w), lambda r: judged(F.size(w).cast("long"), r)))
+
+
+def _line_counts(text):
+    """How many lines with a word equal an earlier one."""
+    return _let(F.filter(F.split(text, "\n"), _has_word), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long"))
 
 
 def line_frequency(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, host_share: float = HOST_SHARE, context_share: float = CONTEXT_SHARE) -> DataFrame:
@@ -52,7 +89,7 @@ def line_frequency(docs: DataFrame, host_col: str = "source", text_col: str = "t
     """
     keyed = _text_key(docs, text_col, host_col)
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), _has_word)
-    texts = keyed.select("_host", "_k1", "_k2", F.transform(F.transform(lines, _normal), lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))).alias("h"))
+    texts = keyed.select("_host", "_k1", "_k2", F.transform(F.transform(lines, _normal), lambda x: F.struct(_key(x).alias("line"), (F.length(x) - F.length(F.translate(x, " ", "")) + 1).alias("words"))).alias("h"))
     texts = materialise(texts.groupBy("_host", "_k1", "_k2").agg(F.first("h").alias("h")), "line-hashes")
     counts = texts.select("_host", F.explode(F.array_distinct("h.line")).alias("line")).groupBy("_host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > min_documents)
     hosts = texts.groupBy("_host").agg(F.count("*").alias("texts"))
@@ -83,29 +120,19 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     own = docs.columns
     drops = line_frequency(docs, host_col, text_col, **limits)
     full = F.coalesce(F.col(text_col), F.lit(""))
-    out = _text_key(docs, text_col, host_col).withColumn("_words", _words(full))
-    out = out.withColumn("_hashes", repeated_words(F.col("_words")))
-    sorted_ = F.when(F.size(F.array_distinct("_hashes")) < F.size("_hashes"), F.array_sort(F.transform("_hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    out = out.withColumn("_sorted", sorted_)
-    s = F.col("_sorted")
-    twice = F.filter(s, lambda x, i: (F.coalesce(F.get(s, i - 1)["h"] == x["h"], F.lit(False))) | (F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False))))
-    out = out.withColumn("_at", F.array_sort(F.transform(twice, lambda x: x["i"])))
-    at = F.col("_at")
-    gaps = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3))))
-    lines = F.filter(F.split(full, "\n"), _has_word)
-    out = out.withColumn("_lines", lines)
+    out = _text_key(docs, text_col, host_col).withColumn("_counts", _word_counts(full))
     out = out.withColumns(
         {
-            "n_words": F.size("_words").cast("long"),
+            "n_words": F.col("_counts.n_words"),
             "word_chars": F.length(F.translate(full, " \t\n\x0b\f\r", "")).cast("long"),
             "n_symbols": (F.length(full) - F.length(F.translate(full, "#*$%&|<>", ""))).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": F.coalesce(F.aggregate(gaps, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long"),
+            "n_dup_lines": _line_counts(full),
+            "n_repeat_words": F.col("_counts.n_repeat_words"),
+            "base_failed": F.col("_counts.base_failed"),
         }
-    )
-    out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))).drop("_words", "_hashes", "_sorted", "_at", "_lines")
+    ).drop("_counts")
     out = out.join(drops.hint("merge"), ["_host", "_k1", "_k2"], "left")  # texts are exchanged at every size, so that disk grows in proportion
-    clean = F.array_join(F.filter(F.split(full, "\n"), lambda x: ~F.coalesce(F.array_contains("drop", F.xxhash64(_normal(x))), F.lit(False)) | ~_has_word(x)), "\n")
+    clean = F.array_join(F.filter(F.split(full, "\n"), lambda x: ~F.coalesce(F.array_contains("drop", _key(_normal(x))), F.lit(False)) | ~_has_word(x)), "\n")
     out = out.withColumn("clean_text", F.when(F.col("drop").isNull(), F.col(text_col)).otherwise(clean))
     left = F.when(F.col("drop").isNotNull(), F.size(_words(F.col("clean_text"))))
     depleted = F.coalesce(left < least_left * F.col("n_words"), F.lit(False))
@@ -131,13 +158,16 @@ twice AS (SELECT doc_id, a, b, c FROM win WHERE c IS NOT NULL GROUP BY ALL HAVIN
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT w.doc_id, w.i + k AS i FROM win w JOIN twice USING (doc_id, a, b, c), range(3) r(k)) GROUP BY doc_id),
 texts AS (SELECT DISTINCT host, text, list_transform(lines, lambda x: trim(regexp_replace(lower(x), '[\\x20\\x09-\\x0D]+', ' ', 'g'))) AS lines FROM d),
 hosts AS (SELECT host, count(*) AS texts FROM texts GROUP BY host),
-places AS (SELECT host, text, unnest(lines) AS line, generate_subscripts(lines, 1) AS i, lines FROM texts),
+places AS (SELECT host, text, line, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words FROM (SELECT host, text, unnest(lines) AS line FROM texts)),
 counts AS (SELECT host, line, count(DISTINCT text) AS n FROM places GROUP BY ALL HAVING count(DISTINCT text) > {MIN_DOCUMENTS}),
 common AS (SELECT c.* FROM counts c JOIN hosts USING (host) WHERE c.n > hosts.texts * {HOST_SHARE}),
-ctx AS (SELECT host, line, n, count(DISTINCT coalesce('x' || lines[i - 1], '')) AS a, count(DISTINCT coalesce('x' || lines[i + 1], '')) AS b
-        FROM places JOIN common USING (host, line) GROUP BY ALL),
-gone AS (SELECT host, line FROM ctx WHERE greatest(a, b) >= n * {CONTEXT_SHARE}),
-removed AS (SELECT host, text, sum(len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'))) AS n FROM places JOIN gone USING (host, line) GROUP BY ALL),
+whole AS (SELECT host, text, sum(words) AS all_words FROM places GROUP BY ALL),
+own AS (SELECT host, text, line, sum(words) AS words FROM places JOIN common USING (host, line) GROUP BY ALL),
+copies AS (SELECT host, text, CASE WHEN all_words - sum(words) < all_words * {LEAST_LEFT} THEN min(('0x' || substr(md5(line), 1, 15))::BIGINT) END AS copy
+           FROM own JOIN whole USING (host, text) GROUP BY host, text, all_words),
+parts AS (SELECT host, line, copy, count(*) AS c FROM own JOIN copies USING (host, text) GROUP BY ALL),
+gone AS (SELECT host, line FROM parts GROUP BY ALL HAVING sum(c) - coalesce(max(c) FILTER (copy IS NOT NULL), 0) >= sum(c) * {CONTEXT_SHARE}),
+removed AS (SELECT host, text, sum(words) AS n FROM own JOIN gone USING (host, line) GROUP BY ALL),
 base AS (SELECT d.doc_id, d.host, d.text, len(d.words)::BIGINT AS n_words,
   length(translate(d.text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
   (length(d.text) - length(translate(d.text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
