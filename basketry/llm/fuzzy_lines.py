@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near_dup import _with_sizes, connect, sketch
+from .near_dup import connect, sketch
 from .runtime import blocks, discard, materialise, partitions, prepare, release, table, utf8
 from .textscan import _BASE, mix, powers, word_bounds
 
@@ -226,8 +226,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "doc_id", "text").select("id", "tie", "text")
     scanned = materialise(rows.mapInArrow(_scan(n), "bucket int, around boolean, keys binary, reps binary, ids binary, ties binary, nth binary"), "line-scan")
     met = scanned.filter("bucket >= 0").select("bucket", "around", "keys", "reps").repartition(n, "bucket")
-    nodes = materialise(met.mapInArrow(_shared_keys, "node long, rep long"), "line-nodes").distinct()
-    nodes = materialise(_with_sizes(nodes), "line-nodes")
+    nodes = materialise(met.mapInArrow(_shared_keys, "node long, rep long").distinct(), "line-nodes")
     places = materialise(scanned.filter("bucket < 0").select("reps", "ids", "ties", "nth").mapInArrow(_occurrences, "line long, id long, tie long, nth int"), "line-places")
     discard(scanned)
     del met, scanned
@@ -238,7 +237,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = wanted.groupBy("first.id", "first.tie").agg(F.collect_list(F.struct("line", "first.nth")).alias("wanted"))
     sets = rows.join(wanted, ["id", "tie"]).select("id", "tie", "wanted", "text").dropDuplicates(["id", "tie"]).select("wanted", "text").mapInArrow(_wanted_lines, "rep long, sketch binary, members binary")
     sets = materialise(sets, "line-sets")
-    labels = connect(nodes, sets.select("rep", "sketch"), lambda involved: sets.select("rep", "members"), PERCENT, line_sets)
+    labels = connect(nodes, sets.select("rep", "sketch", (8 * F.octet_length("members")).cast("long").alias("bytes")), lambda involved: sets, PERCENT, line_sets)
     classes = first.join(labels, first["line"] == labels["id"], "left").filter("times > 1 or component is not null")
     classes = classes.select("line", F.coalesce("component", "line").alias("component"), "first")
     keeper = classes.groupBy("component").agg(F.min("first").alias("keeper"))

@@ -23,7 +23,9 @@ _FACTORS = mix(np.arange(1, TOKENS + 1, dtype=_U)) | _U(1)
 #: with a chance of 0.946 (similarity 0.8) or 0.971 (0.85), in four trees with over 0.99999.
 TREES = 4
 #: Documents of a node that are compared exhaustively, and levels that larger nodes are branched over.
-NODE_ROWS, LEVELS = 400, 4
+NODE_ROWS, LEVELS = 4_000, 8
+#: Bytes of full sets that are compared at once; a group of members with more is compared in pairs of blocks.
+CELL_BYTES = 32 << 20
 #: Pairs whose shared minwise tokens lie so far below the threshold (5 to 6 standard deviations) aren't looked at further.
 MARGIN = 0.25
 
@@ -106,6 +108,18 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def similar_to(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets (not empty) are similar to this one."""
+    if len(others) < 3:
+        return np.array([similar(one, x, percent) for x in others], bool)
+    sizes = np.array([len(x) for x in others])
+    values = np.concatenate(others)
+    at = np.searchsorted(one, values)
+    at[at == len(one)] = 0
+    shared = np.add.reduceat((one[at] == values).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return 100 * shared >= percent * (len(one) + sizes - shared)
+
+
 def spanning_links(ids: list, sketches: np.ndarray, sets: list[np.ndarray], percent: int, margin: float = MARGIN) -> list[tuple]:
     """Links that connect what the true links among these sets connect: a pair that is connected already isn't confirmed again."""
     order = np.argsort(np.array(ids))
@@ -117,12 +131,15 @@ def spanning_links(ids: list, sketches: np.ndarray, sets: list[np.ndarray], perc
         rest = rest[(label[rest] != label[i])]
         if not len(rest):
             continue
-        near = (sketches[rest] == sketches[i]).mean(1) >= percent / 100 - margin
-        near &= 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
-        for j in rest[near]:
-            if label[j] != label[i] and similar(sets[i], sets[j], percent):
-                links.append((ids[i], ids[j]))
-                label[label == label[j]] = label[i]
+        near = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
+        rest = rest[near]
+        rest = rest[(sketches[rest] == sketches[i]).mean(1) >= percent / 100 - margin]
+        if not len(rest):
+            continue
+        linked = rest[similar_to(sets[i], [sets[j] for j in rest], percent)]
+        _, one_of_each = np.unique(label[linked], return_index=True)
+        links.extend((ids[i], ids[j]) for j in linked[one_of_each])
+        label[np.isin(label, label[linked])] = label[i]
     return links
 
 
@@ -131,7 +148,7 @@ def _stored(members: list[bytes]) -> list[np.ndarray]:
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by cell, as one table for each cell; a cell has at most twice NODE_ROWS rows."""
+    """Rows sorted by cell, as one table for each cell; a cell's sets have CELL_BYTES, or are two that are longer."""
     held: list[pa.RecordBatch] = []
     now = None
     for batch in batches:
@@ -149,8 +166,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-#: Rows of small cells whose sets are decoded at once.
-DECODE_ROWS = 1_000
+#: Rows of small cells whose sets are decoded at once, and their bytes.
+DECODE_ROWS, DECODE_BYTES = 4_000, 4 << 20
 
 
 def _compare(percent: int, decode):
@@ -171,14 +188,14 @@ def _compare(percent: int, decode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         held: list[pa.Table] = []
-        n = 0
+        n = size = 0
         for group in _cells(batches):
             if group.num_rows > 1:
                 held.append(group)
-                n += group.num_rows
-            if n >= DECODE_ROWS:
+                n, size = n + group.num_rows, size + group.nbytes
+            if n >= DECODE_ROWS or size >= DECODE_BYTES:
                 found.extend(links_of(held))
-                held, n = [], 0
+                held, n, size = [], 0, 0
         if held:
             found.extend(links_of(held))
         yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
@@ -191,7 +208,8 @@ def _sets(k: int):
         for block in blocks(batches):
             values, bounds = sets_of(block.column("text"), k)
             members = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(block.num_rows)], pa.binary())
-            yield from pa.table({"rep": block.column("rep").combine_chunks(), "members": members}).to_batches(max_chunksize=500)
+            sketches = pa.array([x.tobytes() for x in sketch(values, bounds)], pa.binary())
+            yield from pa.table({"rep": block.column("rep").combine_chunks(), "sketch": sketches, "members": members}).to_batches(max_chunksize=500)
 
     return run
 
@@ -227,12 +245,24 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield rows, bounds_of(rows)
 
 
+def _in_blocks(group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """The group, or if its sets have more than CELL_BYTES every two blocks of it."""
+    block = (np.cumsum(size) - size) // (CELL_BYTES // 2)
+    parts = [group[block == k] for k in np.unique(block)]
+    if len(parts) < 3:
+        yield group
+        return
+    for i in range(len(parts)):
+        for j in range(i):
+            yield np.sort(np.concatenate([parts[i], parts[j]]))
+
+
 def _tighten(percent: int, margin: float = MARGIN):
     """Of a cell's members those whose sketches come near the threshold, as groups that share no such pair."""
 
-    def groups_of(ids: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    def groups_of(ids: np.ndarray, rows: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         ids, first = np.unique(ids, return_index=True)
-        rows = rows[first]
+        rows, size = rows[first], size[first]
         label = np.arange(len(ids))
         for i in range(len(ids) - 1):
             rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
@@ -241,18 +271,20 @@ def _tighten(percent: int, margin: float = MARGIN):
             near = rest[(rows[rest] == rows[i]).mean(1) >= percent / 100 - margin]
             if len(near):
                 label[np.isin(label, label[near])] = label[i]
-        return [ids[label == g] for g in np.flatnonzero(np.bincount(label) > 1)] if len(ids) > 1 else []
+        for g in np.flatnonzero(np.bincount(label) > 1):
+            yield from _in_blocks(ids[label == g], size[label == g])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table_, bounds in _chunks(batches):
-            ids, rows = table_.column("rep").to_numpy(), _sketch_array(table_.column("sketch"))
+            ids, rows, size = table_.column("rep").to_numpy(), _sketch_array(table_.column("sketch")), table_.column("bytes").to_numpy()
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]  # most cells
             near = (ids[two] != ids[two + 1]) & ((rows[two] == rows[two + 1]).mean(1) >= percent / 100 - margin)
             pairs = np.sort(np.stack([ids[two[near]], ids[two[near] + 1]], axis=1), axis=1)
             found = [*pairs]
             for k in np.flatnonzero(sizes > 2):
-                found.extend(groups_of(ids[bounds[k] : bounds[k + 1]], rows[bounds[k] : bounds[k + 1]]))
+                own = slice(bounds[k], bounds[k + 1])
+                found.extend(groups_of(ids[own], rows[own], size[own]))
             ends = np.concatenate(([0], np.cumsum([len(g) for g in found]))).astype(np.int32)
             flat = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["reps"])
@@ -264,66 +296,63 @@ def _sorted_by_cell(cells: DataFrame) -> DataFrame:
     return cells.repartition(partitions(cells.sparkSession), "cell").sortWithinPartitions("cell")
 
 
-def _with_sizes(nodes: DataFrame) -> DataFrame:
-    """nodes(node, rep) that have two members or more, with their number; the join is one that hot nodes are split over."""
-    return nodes.join(nodes.groupBy("node").agg(F.count("*").alias("n")), "node").filter("n > 1")
-
-
 def connect(nodes: DataFrame, sketches: DataFrame, load, percent: int, decode=_stored) -> DataFrame:
     """Labels (id, component) of what true links among the members of each node connect.
 
-    nodes(node, rep, n) has each node's members and their number, sketches(rep, sketch) all members' minwise tokens;
-    load(involved) gives sets(rep, members) for a frame of reps. Nodes of at most NODE_ROWS are compared exhaustively:
-    by sketches first, which leaves tight groups, each once however many nodes have it, and then by full sets. A larger
-    node is dealt into blocks that all hold its least member, so that copies of one text become one component at once.
-    If then at most NODE_ROWS of its members lie outside its largest component, those meet every block, and the node
-    is done. Others branch on by tokens that their path chooses; what is large after LEVELS is compared block by block,
-    with nothing left out.
+    nodes(node, rep) has each node's members, sketches(rep, sketch, bytes) all members' minwise tokens and the size of
+    their full sets; load(involved) gives sets(rep, sketch, members) for a frame of reps. Nodes of at most NODE_ROWS
+    are compared exhaustively: by sketches first, which leaves tight groups, each once however many nodes have it, and
+    then by full sets. A larger node is dealt into blocks that all hold its least member, so that copies of one text
+    become one component at once. Where then at most NODE_ROWS of its members lie outside its largest component, those
+    meet every block, and the node is done. Others branch on by tokens that their path chooses, a level at a time; of
+    what is large after LEVELS all members outside the largest component meet every block, so that nothing is left out.
     """
     sets = None
 
     def compare(cells: DataFrame, others: DataFrame) -> DataFrame:
         nonlocal sets
-        tight = _sorted_by_cell(cells.join(sketches, "rep").select("cell", "rep", "sketch")).mapInArrow(_tighten(percent), "reps array<long>")
+        tight = _sorted_by_cell(cells.join(sketches, "rep").select("cell", "rep", "sketch", "bytes")).mapInArrow(_tighten(percent), "reps array<long>")
         tight = materialise(tight.groupBy("reps").agg(F.lit(1)).select(F.xxhash64("reps").alias("cell"), F.explode("reps").alias("rep")), "tight")
         if sets is None:
             sets = load(tight.select("rep").union(others.select("rep")).distinct())
-        full = tight.join(sets, "rep").join(sketches, "rep").select("cell", "rep", "sketch", "members")
+        full = tight.join(sets, "rep").select("cell", "rep", "sketch", "members")
         return materialise(_sorted_by_cell(full).mapInArrow(_compare(percent, decode), "a long, b long"), "found")
 
+    def blocks_of(n):
+        return F.ceil(n / NODE_ROWS).cast("long")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
     links, carried = None, None
-    for level in range(LEVELS + 1):
-        heads = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of"), F.max("n").alias("n"))
-        heads = materialise(heads.groupBy("of", "n", "head").agg(F.min("node").alias("node")), "heads")  # each set of members once
-        once = nodes.join(heads.select("node", "head"), "node")
-        small = once.filter(F.col("n") <= NODE_ROWS).select(F.col("node").cast("string").alias("cell"), "rep")
+    for level in range(LEVELS + 2):
+        heads = nodes.groupBy("node").agg(F.min("rep").alias("head"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("of"), F.count("*").alias("n")).filter("n > 1")
+        heads = heads.groupBy("of", "n", "head").agg(F.min("node").alias("node"))  # each set of members once
+        once = materialise(nodes.join(heads.select("node", "head", "n"), "node"), "shared-nodes")
         big = once.filter(F.col("n") > NODE_ROWS)
-        any_big = not heads.filter(F.col("n") > NODE_ROWS).isEmpty()
-        parts = F.ceil(F.col("n") / NODE_ROWS).cast("long")
-        if level < LEVELS:
-            dealt = big.select(F.concat_ws("/", "node", F.pmod(F.xxhash64("rep", "node"), parts)).alias("cell"), "rep", "head")
-            dealt = dealt.filter("rep != head").select("cell", "rep").union(dealt.select("cell", F.col("head").alias("rep")).distinct())
-        else:  # every block against every block
-            block = big.withColumn("block", F.pmod(F.xxhash64("rep", "node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-            dealt = block.select(F.concat_ws("/", "node", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "rep").distinct()
-        cells = small.union(dealt) if carried is None else small.union(dealt).union(carried)
+        any_big = not big.isEmpty()
+        cells = once.filter(F.col("n") <= NODE_ROWS).select(F.col("node").alias("cell"), "rep")
+        if any_big:
+            dealt = big.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), blocks_of(F.col("n")))).alias("cell"), "rep", "head")
+            cells = cells.union(dealt.filter("rep != head").select("cell", "rep")).union(dealt.select("cell", F.col("head").alias("rep")).distinct())
+        cells = cells if carried is None else cells.union(carried)
         found = compare(cells, big)
         links = found if links is None else links.union(found)
-        if level == LEVELS or not any_big:
+        if not any_big:
             break
         labels = materialise(components(links), "labels")
         seen = big.join(labels, big["rep"] == labels["id"], "left").select("node", "rep", F.coalesce("component", "rep").alias("component"))
         seen = materialise(seen, "seen")
-        of = seen.groupBy("node", "component").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("component", "c").alias("main"), F.max("c").alias("inside"), F.sum("c").alias("n"))
+        of = seen.groupBy("node", "component").agg(F.count("*").alias("c")).groupBy("node").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("inside"), F.sum("c").alias("n"))
         rest = seen.join(of.filter(F.col("n") > F.col("inside")), "node").withColumn("outside", F.col("n") - F.col("inside"))
-        parts = F.ceil(F.col("inside") / NODE_ROWS).cast("long")
-        few = rest.filter(F.col("outside") <= NODE_ROWS)
-        block = F.when(F.col("component") == F.col("main"), F.array(F.pmod(F.xxhash64("rep", "node"), parts))).otherwise(F.sequence(F.lit(0).cast("long"), parts - 1))
-        carried = few.select("node", "rep", F.explode(block).alias("block")).select(F.concat_ws("/", F.lit("few"), "node", "block").alias("cell"), "rep")
-        many = rest.filter(F.col("outside") > NODE_ROWS).select("node", "rep").join(sketches, "rep").select("node", "rep", "sketch")
-        nodes = materialise(many.mapInArrow(_next_level, "node long, rep long"), "nodes").distinct()
-        nodes = materialise(_with_sizes(nodes), "shared-nodes")
-        if nodes.isEmpty() and rest.isEmpty():
+        few = F.col("outside") <= (NODE_ROWS if level < LEVELS else 2**62)
+        done = rest.filter(few).withColumns({"o": F.pmod(F.xxhash64("node", "rep"), blocks_of(F.col("outside"))), "i": F.pmod(F.xxhash64("rep", "node"), blocks_of(F.col("n")))})
+        outside = done.filter(F.col("component") != F.col("main")).select("node", "rep", "o", every(blocks_of(F.col("n"))).alias("i"))
+        met = done.select("node", "rep", every(blocks_of(F.col("outside"))).alias("o"), "i").union(outside)
+        carried = met.select(F.xxhash64("node", "o", "i").alias("cell"), "rep").distinct()
+        nodes = rest.filter(~few).select("node", "rep").join(sketches, "rep").select("node", "rep", "sketch")
+        nodes = materialise(nodes.mapInArrow(_next_level, "node long, rep long"), "nodes")
+        if rest.isEmpty():
             break
     return components(links)
 
@@ -343,14 +372,14 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     flat = materialise(rows.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_hash binary, sketch binary"), "sketches")
-    reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
+    reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first(8 * F.col("n_shingles")).alias("bytes"))
     reps = materialise(reps, "reps")
     nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
-    nodes = materialise(_with_sizes(nodes), "shared-nodes")
+
     def load(involved: DataFrame) -> DataFrame:
-        return materialise(rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "text").mapInArrow(_sets(k), "rep long, members binary"), "sets")
+        return materialise(rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary"), "sets")
 
-    labels = connect(nodes, reps.select("rep", "sketch"), load, percent)
+    labels = connect(nodes, reps.select("rep", "sketch", "bytes"), load, percent)
     classes = reps.select("set_hash", "rep").join(labels, F.col("rep") == labels["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = flat.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(classes, "set_hash", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -388,3 +388,42 @@ def test_pipeline(spark, tmp_path):
     spark.createDataFrame([(0, bench)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     out = pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in out} == set(range(12))
+
+
+def test_components_by_rounds_of_stars(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (205, 200), (205, 203)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = {r["id"]: r["component"] for r in components.components(frame, task_links=0).collect()}
+    assert got == {r["id"]: r["component"] for r in components.components(frame).collect()} and len(got) == 46
+    with pytest.raises(RuntimeError):
+        components.components(frame, task_links=0, rounds=1)
+    assert components.components(frame.limit(0), task_links=0).count() == 0
+
+
+def test_least_reached():
+    r = np.random.default_rng(4)
+    for n in (1, 5, 200):
+        a, b = r.integers(0, n, n), r.integers(0, n, n)
+        ids, least = components.least_reached(a, b)
+        up = {int(x): int(x) for x in ids}
+        for _ in range(n):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                up[x] = up[y] = min(up[x], up[y])
+        assert dict(zip(ids.tolist(), least.tolist(), strict=True)) == up
+
+
+def test_groups_of_many_bytes_are_compared_in_blocks(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dup, "CELL_BYTES", 2000)
+    rows = pa.RecordBatch.from_pydict({"cell": [7] * 10, "rep": list(range(10)), "sketch": [b"\1" * 128] * 10, "bytes": [400] * 10})
+    groups = [set(g) for out in near_dup._tighten(85)(iter([rows])) for g in out.column("reps").to_pylist()]
+    assert all(any({a, b} <= g for g in groups) for a in range(10) for b in range(a)) and all(len(g) <= 6 for g in groups)
+
+
+@pytest.mark.parametrize("levels", [0, 1])
+def test_what_stays_large_is_compared_in_full(docs, rows, monkeypatch, levels):
+    want = sorted(map(str, near_dup.near_duplicates(docs).collect()))
+    monkeypatch.setattr(near_dup, "NODE_ROWS", 2)
+    monkeypatch.setattr(near_dup, "LEVELS", levels)
+    assert sorted(map(str, near_dup.near_duplicates(docs).collect())) == want
