@@ -377,6 +377,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
 
     def load(involved: DataFrame) -> DataFrame:
+        involved = involved.hint("merge")  # texts are exchanged at every size, so that disk grows in proportion
         return materialise(rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary"), "sets")
 
     labels = connect(nodes, reps.select("rep", "sketch", "bytes"), load, percent)
