@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near_dup import connect, sketch
-from .runtime import blocks, discard, materialise, partitions, prepare, release, table, utf8
-from .textscan import _BASE, mix, powers, word_bounds
+from .runtime import blocks, discard, materialise, numbered, partitions, prepare, release, table, utf8
+from .textscan import _BASE, LOWER, mix, per_text_unique, span_hashes, word_bounds
 
 _U = np.uint64
 #: Characters of a shingle, and the similarity of linked lines in percent.
@@ -25,15 +24,24 @@ LOCAL_KEYS = 64
 #: Bytes of text that are scanned at once: arrays that stay in a core's cache and needn't be mapped anew.
 SCAN_BYTES = 1 << 20
 _LAST_ID = (1 << 63) - 1
-_LINE_WHITE = re.compile(r"[ \t\x0b\f\r]+")
+#: Bytes with A-Z in lower case and the white space within a line as a space; the byte that ends a line.
+_NORMAL, _NEWLINE = LOWER.copy(), np.zeros(256, bool)
+_NORMAL[[9, 11, 12, 13]] = 32
+_NEWLINE[10] = True
 
 
 def normal(line: str) -> str:
     """A-Z lower-cased, white space made one space, none at the ends."""
-    return " ".join(x for x in _LINE_WHITE.split(line) if x).translate(_LOWER)
+    return normal_bytes(line).decode("utf-8")
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def normal_bytes(line: str) -> bytes:
+    """normal() in UTF-8; bytes know ASCII white space and letters alone."""
+    return b" ".join(line.encode("utf-8").split()).lower()
+
+
+def _points(data: bytes) -> np.ndarray:
+    return np.frombuffer(data.decode("utf-8").encode("utf-32-le"), np.uint32)
 
 
 class Lines:
@@ -41,38 +49,32 @@ class Lines:
 
     def __init__(self, texts: pa.ChunkedArray):
         data, offsets = utf8(texts)
-        before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
-        offsets = before[offsets]
-        points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32).copy()
-        points[(points >= 65) & (points <= 90)] += 32
-        newline = points == 10
-        white = (points == 32) | (points == 9) | ((points >= 11) & (points <= 13))
-        points[white] = 32
-        start = np.zeros(len(points) + 1, bool)
+        data = _NORMAL[data]
+        white = data == 32
+        start = np.zeros(len(data) + 1, bool)
         start[offsets] = True
         keep = ~white
-        keep[1:] |= white[1:] & ~white[:-1] & ~start[1:-1] & ~newline[:-1]
-        points, offsets = self._compress(points, offsets, keep)
-        end = np.zeros(len(points) + 1, bool)
+        keep[1:] |= white[1:] & ~white[:-1] & ~start[1:-1] & (data[:-1] != 10)
+        data, offsets = self._compress(data, offsets, keep)
+        end = np.zeros(len(data) + 1, bool)
         end[offsets] = True
-        keep = np.ones(len(points), bool)
-        if len(points):
-            last = np.append(points[1:] == 10, True) | end[1:]
-            keep = ~((points == 32) & last)
-        points, offsets = self._compress(points, offsets, keep)
-        is_newline = (points == 10).astype(np.uint8)
-        self.points = points
-        self.starts, self.ends, bounds = word_bounds(is_newline, offsets, np.array([False, True]))
+        if len(data):
+            last = np.append(data[1:] == 10, True) | end[1:]
+            data, offsets = self._compress(data, offsets, ~((data == 32) & last))
+        starts, ends, bounds = word_bounds(data, offsets, _NEWLINE)
         self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-        newlines = np.concatenate(([0], np.cumsum(is_newline, dtype=np.int64)))
-        self.number = newlines[self.starts] - newlines[offsets[self.text]] if len(self.starts) else np.zeros(0, np.int64)
-        total = np.zeros(len(points) + 1, _U)
-        np.cumsum(mix(points.astype(_U) + _U(77)) * powers(len(points)), out=total[1:])
-        self.hash = mix((total[self.ends] - total[self.starts]) * powers(max(len(points), 1), "down")[self.starts] + (self.ends - self.starts).astype(_U)) if len(self.starts) else np.zeros(0, _U)
+        newlines = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))
+        self.number = newlines[starts] - newlines[offsets[self.text]] if len(starts) else np.zeros(0, np.int64)
+        self.hash = span_hashes(data, starts, ends)
+        self.points = _points(data.tobytes())
+        if len(self.points) < len(data):  # bytes to characters
+            before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
+            starts, ends = before[starts], before[ends]
+        self.starts, self.ends = starts, ends
 
     @staticmethod
-    def _compress(points, offsets, keep):
-        return points[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
+    def _compress(data, offsets, keep):
+        return data[keep], np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))[offsets]
 
     def shingles(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of the chosen lines and their bounds; a line shorter than a shingle has one, of the whole."""
@@ -80,15 +82,18 @@ class Lines:
 
 
 def shingle_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the characters' runs of SHINGLE that begin in each line, or of the whole line if it is shorter."""
     sizes = ends - starts
     counts = np.maximum(sizes - SHINGLE + 1, 1)
     bounds = np.concatenate(([0], np.cumsum(counts)))
-    padded = np.concatenate([points, np.zeros(SHINGLE, np.uint32)]).astype(_U)
-    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - starts, counts)
-    acc = np.zeros(len(points), _U)
-    for j in range(SHINGLE):
-        acc = acc * _U(_BASE) + padded[j : j + len(points)] + _U(1)
-    out = mix(acc)[at]
+    padded = np.zeros(len(points) + SHINGLE, _U)
+    padded[: len(points)] = points
+    padded += _U(1)
+    acc = padded[: len(points)].copy()
+    for j in range(1, SHINGLE):
+        acc *= _U(_BASE)
+        acc += padded[j : j + len(points)]
+    out = mix(acc[np.arange(bounds[-1]) + np.repeat(starts - bounds[:-1], counts)])
     for k in np.flatnonzero(sizes < SHINGLE):
         value = 0
         for c in points[starts[k] : ends[k]].tolist():
@@ -97,13 +102,20 @@ def shingle_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
     return out, bounds
 
 
-def line_sets(members: list[bytes]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of normalised lines (UTF-8), all at once."""
+def _all_shingles(members: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of normalised lines (UTF-8) and their bounds, all at once."""
     texts = [m.decode("utf-8") for m in members]
-    ends = np.cumsum([len(t) for t in texts])
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
     points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
-    values, bounds = shingle_hashes(points, np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64))
-    return [np.unique(values[bounds[i] : bounds[i + 1]]) for i in range(len(texts))] if texts else []
+    return shingle_hashes(points, np.concatenate(([0], ends[:-1])).astype(np.int64), ends)
+
+
+def line_sets(members: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of normalised lines (UTF-8)."""
+    if not members:
+        return []
+    values, bounds = per_text_unique(*_all_shingles(members))
+    return [values[bounds[i] : bounds[i + 1]] for i in range(len(members))]
 
 
 def _scan(n: int):
@@ -196,13 +208,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         reps, members = [], []
-        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+        for text, lines, places in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), batch.column("nth").to_pylist(), strict=True):
             own = text.split("\n")
-            for w in wanted:
-                reps.append(w["line"])
-                members.append(normal(own[w["nth"]]).encode())
-        sets = line_sets(members)
-        sketches = sketch(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets])))) if sets else []
+            reps.extend(lines)
+            members.extend(normal_bytes(own[n]) for n in places)
+        sketches = sketch(*_all_shingles(members)) if members else []
         yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(members, pa.binary())], names=["rep", "sketch", "members"])
 
 
@@ -235,7 +245,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     first = materialise(first, "line-classes")
     wanted = nodes.select(F.col("rep").alias("line")).distinct().join(first, "line")
     wanted = wanted.groupBy("first.id", "first.tie").agg(F.collect_list(F.struct("line", "first.nth")).alias("wanted"))
-    sets = rows.join(wanted, ["id", "tie"]).select("id", "tie", "wanted", "text").dropDuplicates(["id", "tie"]).select("wanted", "text").mapInArrow(_wanted_lines, "rep long, sketch binary, members binary")
+    wanted = wanted.select("id", "tie", F.col("wanted.line").alias("lines"), F.col("wanted.nth").alias("nth"))
+    sets = rows.join(wanted, ["id", "tie"]).select("id", "tie", "lines", "nth", "text").dropDuplicates(["id", "tie"]).select("lines", "nth", "text").mapInArrow(_wanted_lines, "rep long, sketch binary, members binary")
     sets = materialise(sets, "line-sets")
     labels = connect(nodes, sets.select("rep", "sketch", (8 * F.octet_length("members")).cast("long").alias("bytes")), lambda involved: sets, PERCENT, line_sets)
     classes = first.join(labels, first["line"] == labels["id"], "left").filter("times > 1 or component is not null")
@@ -253,13 +264,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     added = ["n_lines", "n_removed", "removed"]
     docs = docs.drop(*(c for c in added if c in docs.columns and c not in (id_col, text_col)))
+    docs, own = numbered(docs)
+    at, id_col, text_col = text_col, own[id_col], own[text_col]
     gone = repeated_lines(docs, id_col, text_col).groupBy("id", "tie").agg(F.sort_array(F.collect_set("nth")).alias("_gone")).withColumnsRenamed({"id": "_id", "tie": "_tie"})
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)), "_tie": F.xxhash64(text), "_n": F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]")))})
     out = out.join(gone, ["_id", "_tie"], "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
     removed = F.coalesce("_gone", F.expr("cast(array() as array<int>)"))
-    return out.select(*(F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else c for c in docs.columns), F.col("_n").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select(*(F.when(F.col("_gone").isNull(), F.col(n)).otherwise(kept).alias(c) if c == at else F.col(n).alias(c) for c, n in own.items()), F.col("_n").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def query(spark, sf_dir):

@@ -137,9 +137,10 @@ def spanning_links(ids: list, sketches: np.ndarray, sets: list[np.ndarray], perc
         if not len(rest):
             continue
         linked = rest[similar_to(sets[i], [sets[j] for j in rest], percent)]
-        _, one_of_each = np.unique(label[linked], return_index=True)
-        links.extend((ids[i], ids[j]) for j in linked[one_of_each])
-        label[np.isin(label, label[linked])] = label[i]
+        for j in linked.tolist():
+            if label[j] != label[i]:
+                links.append((ids[i], ids[j]))
+                label[label == label[j]] = label[i]
     return links
 
 
@@ -269,8 +270,9 @@ def _tighten(percent: int, margin: float = MARGIN):
             if not len(rest):
                 continue
             near = rest[(rows[rest] == rows[i]).mean(1) >= percent / 100 - margin]
-            if len(near):
-                label[np.isin(label, label[near])] = label[i]
+            for j in near.tolist():
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
         for g in np.flatnonzero(np.bincount(label) > 1):
             yield from _in_blocks(ids[label == g], size[label == g])
 
