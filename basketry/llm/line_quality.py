@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, table
+from .runtime import materialise, numbered, table
 
 #: A line stands out on a host when more than MIN_DOCUMENTS distinct texts, and more than this share of the host's, have it.
 MIN_DOCUMENTS, HOST_SHARE = 20, 0.01
@@ -117,10 +117,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "clean_text"]
     docs = docs.drop(*(c for c in added if c in docs.columns and c not in (id_col, text_col, host_col)))
-    own = docs.columns
+    docs, own = numbered(docs)
+    text_col, host_col = own[text_col], own[host_col]
     drops = line_frequency(docs, host_col, text_col, **limits)
     full = F.coalesce(F.col(text_col), F.lit(""))
-    out = _text_key(docs, text_col, host_col).withColumn("_counts", _word_counts(full))
+    # A partition's number is not deterministic to the optimizer, so that a filter on the verdict isn't moved below the
+    # counts, which would then be taken twice.
+    out = _text_key(docs, text_col, host_col).withColumn("_counts", F.when(F.spark_partition_id() >= 0, _word_counts(full)))
     out = out.withColumns(
         {
             "n_words": F.col("_counts.n_words"),
@@ -137,7 +140,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     left = F.when(F.col("drop").isNotNull(), F.size(_words(F.col("clean_text"))))
     depleted = F.coalesce(left < least_left * F.col("n_words"), F.lit(False))
     out = out.withColumn("kept", ~F.col("base_failed") & ~depleted)
-    return out.select(*own, *added)
+    return out.select(*(F.col(n).alias(c) for c, n in own.items()), *added)
 
 
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]

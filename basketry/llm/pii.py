@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, table
+from .runtime import materialise, numbered, table
 
 #: Patterns of the kinds, leftmost and non-overlapping. A match can begin only where a run of its first class begins or
 #: where the match before ended, which the look-behinds say so that long runs are read once; runs are possessive.
@@ -229,6 +229,8 @@ def digest(found: DataFrame) -> DataFrame:
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """docs with each base span replaced by its kind in brackets, telling terms by [TERM] or, above REMOVAL, by nothing."""
+    docs, own = numbered(docs)
+    at, id_col, text_col = text_col, own[id_col], own[text_col]
     found = find(docs, id_col, text_col, **{"whole_texts": True, **limits})
     marks = F.concat(*map(_marked, (*KINDS, "term")))
     found = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.array_sort(marks).alias("_marks")).dropDuplicates(["_id", "_tie"])
@@ -241,7 +243,8 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"])).alias("out"))
 
     clean = F.aggregate("_marks", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, F.when(F.col(text_col).isNotNull(), clean)).select(docs.columns)
+    clean = F.when(F.col(text_col).isNotNull(), clean)
+    return out.select(*((clean if c == at else F.col(n)).alias(c) for c, n in own.items()))
 
 
 def query(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,16 +27,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds the size of Arrow batches by rows; long texts are common here."""
+    """Bounds the size of Arrow batches by rows; long texts are common here. Spark bounds their bytes itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a local temporary one only where none is named."""
+    """The folder that the cluster names for checkpoints; a temporary one only in a local session that names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='basketry-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -64,6 +67,12 @@ def discard(df: DataFrame) -> None:
     _delete(df.sparkSession, path)
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named by number, and the new name of each: no name of the caller's clashes with an operator's."""
+    names = {c: f"_{i}_" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of frames that nothing refers to any more.
 
