@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import materialise, table
+from .runtime import materialise, numbered, table
 
-#: Deepest quote level told apart; lines quoted deeper count as this level.
-MAX_LEVEL = 200
 #: Words that a single quoted line needs to link by itself, when its passage as a whole doesn't.
 LINE_WORDS = 4
-PREFIX = r"^((?:[ \t]*>)*)"
+#: The marks before a quoted line's content: blanks and > up to the last > of them.
+PREFIX = r"^[ \t>]*>"
 ADDED = ["level", "n_passages", "n_linked", "parent_turn", "root_turn", "depth", "clean_text"]
 
 
@@ -20,17 +19,30 @@ def _normal(x):
 
 
 def _level(line):
-    return F.least(F.length(F.translate(F.regexp_extract(line, PREFIX, 1), " \t", "")), F.lit(MAX_LEVEL))
+    return F.length(F.translate(F.regexp_extract(line, PREFIX, 0), " \t", ""))
 
 
 def _content(line):
     return F.regexp_replace(line, PREFIX, "")
 
 
+def _let(value, f):
+    """f(value), with the value worked out once."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def _passages(text):
-    """Maximal runs of lines of one level: each line is given a character for its level, a back reference finds the runs."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.concat(F.char(F.lit(33) + _level(x)), _content(x), F.lit("\n")))
-    return F.regexp_extract_all(F.array_join(lines, ""), F.lit(r"(.)[^\n]*+\n(?:\1[^\n]*+\n)*+"), F.lit(0))
+    """Maximal runs of lines of one level: (first line, level, contents)."""
+
+    def of_levels(lines, levels):
+        places = F.sequence(F.lit(0), F.size(levels) - 1)
+        starts = F.filter(places, lambda i: ~F.coalesce(F.get(levels, i - 1) == F.get(levels, i), F.lit(False)))
+        return _let(starts, lambda at: F.transform(at, lambda i, k: of_run(lines, levels, i, F.coalesce(F.get(at, k + 1), F.size(levels)))))
+
+    def of_run(lines, levels, i, upto):
+        return F.struct(i.alias("nth"), F.get(levels, i).alias("level"), F.array_join(F.transform(F.slice(lines, i + 1, upto - i), _content), "\n").alias("p"))
+
+    return _let(F.split(text, "\n"), lambda lines: _let(F.transform(lines, _level), lambda levels: of_levels(lines, levels)))
 
 
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", rounds: int = 40) -> DataFrame:
@@ -49,18 +61,18 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     their own root. An empty table gives no rows; added columns replace those of the same name.
     """
     messages = messages.drop(*(c for c in ADDED if c in messages.columns and c not in (conv_col, turn_col, text_col)))
-    own = messages.columns
+    messages, own = numbered(messages)
+    conv_col, turn_col, text_col = (own[c] for c in (conv_col, turn_col, text_col))
     text = F.coalesce(F.col(text_col), F.lit(""))
     quoted = text.rlike(r"(?m)^[ \t]*>")
     clean = F.when(quoted, F.array_join(F.filter(F.split(text, "\n"), lambda x: _level(x) == 0), "\n")).otherwise(F.col(text_col))
     rows = messages.withColumns({"_conv": F.col(conv_col), "_turn": F.col(turn_col).cast("long"), "_quoted": quoted, "clean_text": clean})
     keyed = rows.select("_conv", "_turn", F.col(text_col).alias("text"), "clean_text", "_quoted")
-    parts = keyed.filter("_quoted").select("_conv", "_turn", F.explode(_passages(F.col("text"))).alias("p"))
-    level = F.ascii(F.substring("p", 1, 1)) - 33
-    parts = parts.select("_conv", "_turn", level.alias("level"), F.regexp_replace("p", r"(?:\A|\n).", "\n").alias("p")).filter("level > 0")
+    parts = keyed.filter("_quoted").select("_conv", "_turn", F.explode(_passages(F.col("text"))).alias("q"))
+    parts = parts.select("_conv", "_turn", "q.nth", "q.level", "q.p").filter("level > 0")
     lines = F.filter(F.transform(F.split("p", "\n"), _normal), lambda x: F.size(F.split(x, " ")) >= LINE_WORDS)
     hashes = F.array_distinct(F.concat(F.array(F.xxhash64(_normal(F.col("p")))), F.transform(lines, lambda x: F.xxhash64(x))))
-    parts = materialise(parts.filter(_normal(F.col("p")) != "").select("_conv", "_turn", "level", F.xxhash64("p").alias("nth"), hashes.alias("hashes")), "quotes")
+    parts = materialise(parts.filter(_normal(F.col("p")) != "").select("_conv", "_turn", "level", "nth", hashes.alias("hashes")), "quotes")
     said = keyed.join(parts.select("_conv").distinct(), "_conv", "left_semi").filter(F.col("clean_text").isNotNull() & F.col("_turn").isNotNull())
     units = F.array_distinct(F.concat(F.array(_normal(F.col("clean_text"))), F.transform(F.split("clean_text", "\n"), _normal)))
     first = said.select("_conv", "_turn", F.explode(F.filter(units, lambda x: x != "")).alias("u")).groupBy("_conv", F.xxhash64("u").alias("hash")).agg(F.min("_turn").alias("source"))
@@ -76,10 +88,12 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
         roots = step.drop("moved")
         if step.filter("moved").isEmpty():
             break
+    else:
+        raise RuntimeError(f"roots have not converged in {rounds} rounds")
     out = rows.join(counts, ["_conv", "_turn"], "left").join(links, ["_conv", "_turn"], "left").join(roots, ["_conv", "_turn"], "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        *(F.col(c) for c in own),
+        *(F.col(n).alias(c) for c, n in own.items()),
         F.coalesce("level", F.lit(0)).cast("long").alias("level"), F.coalesce("n_passages", zero).alias("n_passages"), F.coalesce("n_linked", zero).alias("n_linked"),
         "parent_turn", F.coalesce("root_turn", "_turn").alias("root_turn"), F.coalesce("depth", zero).alias("depth"), "clean_text",
     )
@@ -93,7 +107,7 @@ _N = "trim(regexp_replace(lower({}), '[\\x20\\x09-\\x0D]+', ' ', 'g'))"
 SQL = f"""
 WITH RECURSIVE m AS (SELECT *, coalesce(text, '') AS t, regexp_matches(coalesce(text, ''), '(?m)^[ \\t]*>') AS quoted FROM conversations),
 l AS (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM m WHERE quoted),
-v AS (SELECT *, length(translate(regexp_extract(line, '{PREFIX}', 1), chr(32) || chr(9), '')) AS level, regexp_replace(line, '{PREFIX}', '') AS content FROM l),
+v AS (SELECT *, length(translate(regexp_extract(line, '{PREFIX}', 0), chr(32) || chr(9), '')) AS level, regexp_replace(line, '{PREFIX}', '') AS content FROM l),
 g AS (SELECT *, i - row_number() OVER (PARTITION BY conv_id, turn, level ORDER BY i) AS run FROM v),
 p AS (SELECT conv_id, turn, level, run, {_N.format("string_agg(content, chr(10) ORDER BY i)")} AS p, list(content ORDER BY i) AS contents FROM g WHERE level > 0 GROUP BY ALL),
 q AS (SELECT conv_id, turn, level, run, unnest(list_distinct(list_concat([p], list_filter(list_transform(contents, lambda x: {_N.format("x")}), lambda x: len(string_split(x, ' ')) >= {LINE_WORDS})))) AS h FROM p WHERE p <> ''),
