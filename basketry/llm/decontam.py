@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .runtime import blocks, materialise, prepare, table, utf8
-from .textscan import LOWER, NOT_ALNUM, span_hashes, word_bounds
+from .textscan import LOWER, NOT_ALNUM, mix, powers, span_hashes, word_bounds
 
 #: Bytes of item texts that one pass over the index looks for; more items take more passes.
 PASS_BYTES = 16 << 20
@@ -50,21 +50,82 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return materialise(rows.mapInArrow(_index_block(kind), INDEX), "postings")
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, start + size), one after another."""
+    before = np.cumsum(sizes) - sizes
+    return np.arange(int(sizes.sum())) + np.repeat(starts - before, sizes)
+
+
 class Phrases:
-    """Windows of item words, and for each the items that have it."""
+    """The distinct windows of item words, each with the items that have it, as arrays.
+
+    place numbers the term of every item word; a window is a stretch (start, length) of it. Once counts of the terms in
+    the index are known, by_rarest() lists the windows under their rarest term, from which a search starts."""
 
     def __init__(self, ids: list, texts: list, window: int, gap: int):
         words, bounds = _hashes(pa.chunked_array([pa.array(texts, pa.string())]))
-        self.gap, found = gap, {}
-        for k, item in enumerate(ids):
-            own = words[bounds[k] : bounds[k + 1]]
-            for at in range(max(len(own) - window, 0) + 1 if len(own) else 0):
-                found.setdefault(own[at : at + window].tobytes(), []).append(k)
-        self.windows = [np.frombuffer(w, np.uint64) for w in found]
-        self.items = [sorted(set(x)) for x in found.values()]
-        self.ids = ids
-        self.terms = np.unique(np.concatenate(self.windows)) if self.windows else np.zeros(0, np.uint64)
-        self.places = [np.searchsorted(self.terms, w) for w in self.windows]
+        self.gap, self.window, self.ids = gap, window, ids
+        n = np.diff(bounds)
+        each = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
+        start, item = _ranges(bounds[:-1], each), np.repeat(np.arange(len(n)), each)
+        length = np.minimum(n, window)[item]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * powers(max(len(words), 1))[: len(words)], dtype=np.uint64)))
+        key = mix((total[start + length] - total[start]) * powers(max(len(words), 1), "down")[start] + length.astype(np.uint64)) if len(start) else np.zeros(0, np.uint64)
+        _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        self.start, self.length = start[first].astype(np.int32), length[first].astype(np.int32)
+        pairs = np.unique(np.stack([which, item], axis=1), axis=0) if len(start) else np.zeros((0, 2), np.int64)
+        self.items, self.item_bounds = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.terms, place = np.unique(words, return_inverse=True)
+        self.place = place.astype(np.int32)
+
+    def places(self, w: int) -> np.ndarray:
+        return self.place[self.start[w] : self.start[w] + self.length[w]]
+
+    def by_rarest(self, counts: np.ndarray) -> None:
+        """counts: how often each of terms stands in the index; windows with a term that doesn't are left out."""
+        rarest = np.zeros(len(self.start), np.int32)
+        occurs = np.zeros(len(self.start), bool)
+        for n in np.unique(self.length):
+            own = np.flatnonzero(self.length == n)
+            for part in np.array_split(own, len(own) // 100_000 + 1):
+                terms = self.place[self.start[part][:, None] + np.arange(n)]
+                had = counts[terms]
+                at = had.argmin(axis=1)
+                rarest[part], occurs[part] = terms[np.arange(len(part)), at], had.min(axis=1) > 0
+        there = np.flatnonzero(occurs)
+        self.windows = there[np.argsort(rarest[there], kind="stable")].astype(np.int32)
+        self.window_bounds = np.searchsorted(rarest[self.windows], np.arange(len(self.terms) + 1))
+
+    def candidates(self, size: np.ndarray) -> np.ndarray:
+        """Windows all of whose terms occur, by the terms' numbers of postings in a block."""
+        rare = np.flatnonzero((size > 0) & (np.diff(self.window_bounds) > 0))
+        found = self.windows[_ranges(self.window_bounds[rare], np.diff(self.window_bounds)[rare])]
+        whole = found[self.length[found] == self.window]
+        short = [w for w in found[self.length[found] != self.window] if size[self.places(w)].all()]
+        terms = self.place[self.start[whole][:, None] + np.arange(self.window)]
+        return np.concatenate([whole[(size[terms] > 0).all(axis=1)], np.array(short, np.int32)])
+
+
+def _term_counts(terms: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for own, bounds in zip(batch.column("terms"), batch.column("posting_bounds"), strict=True):
+                own, bounds = np.frombuffer(own.as_buffer(), np.uint64), np.frombuffer(bounds.as_buffer(), np.uint32).astype(np.int64)
+                n += _sizes(terms, own, bounds)[1]
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"term": at.astype(np.int64), "n": n[at]})
+
+    return run
+
+
+def _sizes(wanted: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted term its place among a block's terms, and its number of postings there."""
+    if not len(terms):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), np.int64)
+    at = np.searchsorted(terms, wanted)
+    at[at == len(terms)] = 0
+    return at, np.where(terms[at] == wanted, bounds[at + 1] - bounds[at], 0)
 
 
 def _within(values: np.ndarray, allowed: np.ndarray) -> np.ndarray:
@@ -91,21 +152,16 @@ def _near(lists: list[np.ndarray], gap: int, word_bounds_: np.ndarray) -> tuple[
 def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, word_bounds_: np.ndarray, p: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each window that occurs: its number, and where its occurrences begin and end.
 
-    Lists are intersected from the shortest on, each shifted by its term's place in the window; with a gap, a word may
+    Only windows whose rarest term stands in the block are taken up, and of them those all of whose terms do. Their
+    lists are intersected from the shortest on, each shifted by its term's place in the window; with a gap, a word may
     stand up to gap words later than in the phrase, in order."""
-    at = np.searchsorted(terms, p.terms)
-    at[at == len(terms)] = 0
-    here = terms[at] == p.terms if len(terms) else np.zeros(len(p.terms), bool)
-    size = np.where(here, bounds[at + 1] - bounds[at], 0) if len(terms) else np.zeros(len(p.terms), np.int64)
-    for k, place in enumerate(p.places):
-        sizes = size[place]
-        if not sizes.all():
-            continue
-        lists = [postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) for t in place] if p.gap else None
+    at, size = _sizes(p.terms, terms, bounds)
+    for k in p.candidates(size):
+        place = p.places(k)
         if p.gap:
-            begin, finish = _near(lists, p.gap, word_bounds_)
+            begin, finish = _near([postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) for t in place], p.gap, word_bounds_)
         else:
-            order = np.argsort(sizes, kind="stable")
+            order = np.argsort(size[place], kind="stable")
             t = place[order[0]]
             begin = postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) - order[0]
             for o in order[1:]:
@@ -118,7 +174,7 @@ def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, w
             same = np.searchsorted(word_bounds_, begin, side="right") == np.searchsorted(word_bounds_, finish, side="right")
             same &= begin >= 0
             if same.any():
-                yield k, begin[same], finish[same]
+                yield int(k), begin[same], finish[same]
 
 
 def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
@@ -129,14 +185,16 @@ def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
                 ids = pa.ipc.open_stream(get["docs"]).read_all().column("id")
                 words = np.frombuffer(get["words"], np.int64)
                 n = len(words) - 1
-                cover = np.zeros(int(words[-1]) + 1, np.int32)
+                begins, ends = [], []
                 items: dict[int, set[int]] = {}
                 for k, begin, finish in _search_block(np.frombuffer(get["terms"], np.uint64), np.frombuffer(get["posting_bounds"], np.uint32).astype(np.int64), np.frombuffer(get["postings"], np.uint32), words, p):
-                    np.add.at(cover, begin, 1)
-                    np.add.at(cover, finish + 1, -1)
+                    begins.append(begin)
+                    ends.append(finish + 1)
+                    own = p.items[p.item_bounds[k] : p.item_bounds[k + 1]].tolist()
                     for d in np.unique(np.searchsorted(words, begin, side="right") - 1).tolist():
-                        items.setdefault(d, set()).update(p.items[k])
-                hit = np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+                        items.setdefault(d, set()).update(own)
+                count = lambda x: np.bincount(np.concatenate(x), minlength=int(words[-1]) + 1) if x else np.zeros(int(words[-1]) + 1, np.int64)  # noqa: B023, E731
+                hit = np.flatnonzero(np.cumsum(count(begins) - count(ends))[:-1] > 0)
                 per_doc = np.searchsorted(hit, words)
                 spans = [[] for _ in range(n)]
                 for d in items:
@@ -157,7 +215,7 @@ def search(index: DataFrame, items: DataFrame, doc_kind, window: int = 13, gap:
 
     A window is window consecutive words of an item, or all its words if it has fewer; gap > 0 allows up to so many
     other words between two words of a window (proximity). Items come to the tasks in passes of at most pass_bytes of
-    text, by the size that is summed first, so that a large benchmark takes more passes over the index and no more
+    text (their words and windows are arrays of a few times that), by the size that is summed first, so that a large benchmark takes more passes over the index and no more
     memory; a pass joins the results of those before by union.
     Null and empty texts have no words; null item ids are kept; repeated items count once in each document.
     """
@@ -173,6 +231,11 @@ def search(index: DataFrame, items: DataFrame, doc_kind, window: int = 13, gap:
     for k in range(passes):
         own = rows.filter(F.col("pass") == k).select("id", "text").orderBy("id", "text").collect()  # about pass_bytes
         phrases = Phrases([r[0] for r in own], [r[1] for r in own], window, gap)
+        counted = index.select("terms", "posting_bounds").mapInArrow(_term_counts(phrases.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counts = np.zeros(len(phrases.terms), np.int64)
+        for r in counted.collect():  # no more than the terms of a pass
+            counts[r["term"]] = r["n"]
+        phrases.by_rarest(counts)
         found = index.mapInArrow(_search(phrases, kind, id_kind), schema)
         out = found if out is None else out.unionByName(found)
     if passes > 1:
