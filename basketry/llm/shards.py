@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .runtime import materialise, prepare
 
-#: Bytes that a range should have at scale, and the most ranges the driver keeps bounds of.
+#: Bytes of text that a range should have at scale (its rows have a few dozen bytes each), and the most ranges the
+#: driver keeps bounds of.
 RANGE_BYTES, MAX_RANGES = 64 << 20, 100_000
 
 
@@ -24,7 +25,8 @@ def _range_of(splitters: np.ndarray):
 def _draw(rows: DataFrame, rate: float, salt: int) -> np.ndarray:
     """Keys of rows drawn with a chance in proportion to their size, by a hash, so that a task run again draws the same."""
     u = F.expr(f"(xxhash64(key, doc_id, {salt}) & 1073741823) / 1073741824.0D")
-    return np.sort(np.array([r[0] for r in rows.filter(u < F.col("size") * F.lit(rate)).select("key").collect()], np.int64))
+    drawn = rows.filter(u < F.col("size") * F.lit(rate)).select("key").toArrow().column("key")  # 8 bytes each
+    return np.sort(drawn.to_numpy())
 
 
 def _quantiles(sample: np.ndarray, parts: int) -> np.ndarray:
@@ -36,8 +38,9 @@ def _quantiles(sample: np.ndarray, parts: int) -> np.ndarray:
 def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", overhead: int = 8, per_range: int = 32, rounds: int = 4) -> DataFrame:
     """Assigns each row of docs to one of n_shards shards of near-equal bytes.
 
-    Rows are ordered by a key whose upper 40 bits come from the text's hash and lower 24 from the id's: equal texts
-    stand together, and yet a text held by a third of all rows can be cut. A size-weighted sample of keys (per_range
+    Rows are ordered by a key whose upper 40 bits come from the text's hash, the next 12 from the id's and the last 12
+    from the row's number as it was written: equal texts stand together, and yet a text, or a row, that makes up a
+    third of all rows can be cut. A size-weighted sample of keys (per_range
     for each range, a bound that doesn't grow with the rows) gives quantiles as splitters; ranges are measured over
     all rows, and overfull ones are sampled and split again. Running sums within ranges, on top of the sums of the
     ranges before, then cut the order into shards: no shard differs from the mean by more than about one text.
@@ -47,8 +50,8 @@ def shard(docs: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col:
     """
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
-    rows = rows.select("doc_id", "size", "text_crc32", F.expr("(h & -16777216L) | (xxhash64(doc_id) & 16777215L)").alias("key"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text).cast("long") + overhead).alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("doc_id", "size", "text_crc32", F.expr("(h & -16777216L) | (xxhash64(doc_id) & 16773120L) | (xxhash64(row) & 4095L)").alias("key"))
     rows = materialise(rows, "shard-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     parts = int(min(MAX_RANGES, max(8 * n_shards, total // RANGE_BYTES)))

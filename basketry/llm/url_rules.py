@@ -111,7 +111,7 @@ def apply_rules(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
     columns = ["part", "key", "salt", "page_id", "host", "path", "verdict"]
     rules_rows = own.select(columns).unionByName(again.select(columns)).distinct()
     both = urls.withColumn("verdict", F.lit(None).cast("string")).select(columns).unionByName(rules_rows)
-    swept = both.repartition(parts, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "path")
+    swept = both.repartitionById(parts, "part").sortWithinPartitions("part", "key", F.col("verdict").isNull(), "path")
     return swept.mapInArrow(_sweep, "page_id " + dict(urls.dtypes)["page_id"] + ", host string, path string, rule string, verdict string")
 
 
