@@ -206,14 +206,24 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _wanted_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    reps, members, size = [], [], 0
+
+    def rows() -> pa.RecordBatch:
+        sketches = sketch(*_all_shingles(members))
+        return pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(members, pa.binary())], names=["rep", "sketch", "members"])
+
     for batch in batches:
-        reps, members = [], []
-        for text, lines, places in zip(batch.column("text").to_pylist(), batch.column("lines").to_pylist(), batch.column("nth").to_pylist(), strict=True):
-            own = text.split("\n")
-            reps.extend(lines)
-            members.extend(normal_bytes(own[n]) for n in places)
-        sketches = sketch(*_all_shingles(members)) if members else []
-        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([s.tobytes() for s in sketches], pa.binary()), pa.array(members, pa.binary())], names=["rep", "sketch", "members"])
+        for text, lines, places in zip(batch.column("text"), batch.column("lines").to_pylist(), batch.column("nth").to_pylist(), strict=True):
+            own = text.as_py().split("\n")
+            for line, n in zip(lines, places, strict=True):
+                reps.append(line)
+                members.append(normal_bytes(own[n]))
+                size += len(members[-1])
+            if size >= SCAN_BYTES // 2:  # shingles take some 60 bytes a character
+                yield rows()
+                reps, members, size = [], [], 0
+    if members:
+        yield rows()
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -168,7 +168,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 #: Rows of small cells whose sets are decoded at once, and their bytes.
-DECODE_ROWS, DECODE_BYTES = 4_000, 4 << 20
+DECODE_ROWS, DECODE_BYTES = 4_000, 1 << 20
 
 
 def _compare(percent: int, decode):
