@@ -105,7 +105,8 @@ class Gate:
 
 def load_flat_map(path: str | Path) -> dict[str, str]:
     """A map of non-blank strings; keys that begin with _ are comments. Serves manual aliases and label families."""
-    found = {k: v for k, v in _load(path).items() if not k.startswith("_")}
+    whole = _load(path)
+    found = {k: v for k, v in whole.get("families", whole).items() if not k.startswith("_")}
     if any(not isinstance(v, str) or not v.strip() for v in found.values()):
         raise LexiconError(f"{path}: values are non-blank strings")
     return found
@@ -113,3 +114,29 @@ def load_flat_map(path: str | Path) -> dict[str, str]:
 
 def load_tokens(path: str | Path) -> frozenset[str]:
     return frozenset(_load(path, "tokens")["tokens"])
+
+
+@dataclass(frozen=True)
+class Lexicons:
+    """All lexicons of a vocabulary build."""
+
+    singular: Singular = Singular()
+    modifiers: Modifiers = Modifiers()
+    brands: Brands = Brands()
+    gate: Gate = Gate()
+    aliases: dict[str, str] = field(default_factory=dict)
+    variant_tokens: frozenset[str] = frozenset()
+    families: dict[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def load(cls, folder: str | Path) -> Lexicons:
+        at = Path(folder)
+        return cls(
+            Singular.load(at / "singularize_exceptions.json"),
+            Modifiers.load(at / "modifier_strip.json"),
+            Brands.load(at / "brand_patterns.json"),
+            Gate.load(at / "always_merge_patterns.json", at / "forced_merge_overrides.json", at / "named_varieties.json", at / "do_not_merge.json"),
+            load_flat_map(at / "manual_aliases.json"),
+            load_tokens(at / "variant_modifier_tokens.json"),
+            load_flat_map(at / "cuisine_families.json"),
+        )

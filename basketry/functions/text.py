@@ -11,12 +11,12 @@ from pyspark.sql.types import StringType
 
 from .lexicon import Brands, Modifiers, Singular
 
-# Marks, quotes and punctuation that the chain deletes or folds.
+# Marks, quotes and punctuation that the chain deletes or folds, and the quantities that it drops.
 TRADEMARKS = "®™©"
 QUOTES = "’‘"
 PUNCTUATION = "-,.()!/"
-PARENTHESISED_QUANTITY = r"\(\s*[\d./\s]*\s*(?:oz|ounce|ounces|lb|lbs|pound|pounds|inch|inches)\.?\s*\)"
-LEADING_QUANTITY = r"^\s*\d[\d\s./-]*\s*(?:-\s*)?(?:lb|lbs|pound|pounds|oz|ounce|ounces|inch|inches)\b\.?\s*"
+PARENTHESISED_QUANTITY = r"\(\s*[\d./\s]*oz\.?\s*\)"
+LEADING_QUANTITY = r"^\s*\d[\d\s./-]*(?:to\s+\d[\d\s./-]*)?(?:pounds|pound|lbs|lb|ounces|ounce|ounc|oz|inches|inch)\b\.?\s*"
 
 
 @F.pandas_udf(StringType())
@@ -30,6 +30,11 @@ def _repair(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _casefold(texts: pd.Series) -> pd.Series:
+    return texts.str.casefold()
+
+
 @F.pandas_udf(StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)), na_action="ignore")
@@ -49,8 +54,10 @@ def strip_trademarks(text: Column) -> Column:
     return F.translate(text, TRADEMARKS, "")
 
 
-def casefold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+def casefold(text: Column, on: bool = True) -> Column:
+    """Full case folding; only texts beyond ASCII leave the JVM. on=False folds lower case and ß alone."""
+    plain = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), _casefold(text)).otherwise(plain) if on else plain
 
 
 def normalize_quotes(text: Column) -> Column:
@@ -58,7 +65,8 @@ def normalize_quotes(text: Column) -> Column:
 
 
 def strip_quantities(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, PARENTHESISED_QUANTITY, " "), LEADING_QUANTITY, "")
+    """Without parenthesised ounces, wherever they stand, and without one leading quantity with its unit."""
+    return F.regexp_replace(F.regexp_replace(text, f"(?U){PARENTHESISED_QUANTITY}", " "), f"(?U){LEADING_QUANTITY}", "")
 
 
 def ampersand_to_and(text: Column) -> Column:
@@ -78,8 +86,9 @@ def collapse_whitespace(text: Column) -> Column:
 
 
 def clean(text: Column, python: bool = True) -> Column:
-    """The whole chain; null where no letter is left. python=False leaves out the two steps for rare non-ASCII rows."""
-    out = casefold(strip_trademarks(repair_mojibake(text, python)))
+    """The whole chain; null where no letter is left. python=False keeps to the JVM: without repair and accents, and with
+    the plain case folding."""
+    out = casefold(strip_trademarks(repair_mojibake(text, python)), python)
     out = fold_accents(strip_quantities(normalize_quotes(out)), python)
     out = collapse_whitespace(punctuation_to_space(delete_apostrophes(ampersand_to_and(out))))
     return F.when(out.rlike(r"\p{L}"), out)

@@ -12,23 +12,32 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.lexicon import Gate
 
+#: Names of the gate's layers; fixed values.
+EXCEPTION, PATTERN, OVERRIDE, STATISTICS = "do_not_merge_exception", "always_merge_lexicon", "forced_merge_override", "statistical_gate"
+VARIETY, SMALL_DEFAULT, SMALL_REVIEWED = "named_variety_lexicon", "small_sample_default", "small_sample_review"
 # Fixed values of the gate.
 PRESERVE_BITS, PRESERVE_RATIO = 0.07, 1.5
 BORDER_BITS, BORDER_RATIO = (0.06, 0.08), (1.3, 1.7)
 TESTABLE, SMALL_REVIEW, CONCENTRATED = 20, 5, 0.80
 TRIALS, SEED, QUANTILE, TOP = 1000, 42, 0.95, 5
+#: Numbers that a worker draws at once.
+DRAWN_AT_ONCE = 1 << 20
 
 
-def label_shares(mentions: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
-    """(group, label, n, total, share): over the baskets that have any item of groups(group, item); labels without one get zero."""
-    baskets = mentions.join(groups, "item").select("group", "basket_id").distinct().join(labels, "basket_id")
+def shares_of(baskets: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group, label, n, total, share) of distinct baskets(group, basket_id, label); labels without one get zero."""
     counts = baskets.groupBy("group", "label").agg(F.count("*").alias("n"))
-    dense = groups.select("group").distinct().crossJoin(F.broadcast(labels.select("label").distinct()))  # groups times a few labels
-    full = dense.join(counts, ["group", "label"], "left").na.fill(0, ["n"])
+    full = groups.crossJoin(labels.select("label").distinct()).join(counts, ["group", "label"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy("group"))
     return full.withColumn("total", total).withColumn("share", F.coalesce(F.try_divide("n", "total"), F.lit(0.0)))
 
 
+def label_shares(mentions: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group, label, n, total, share): over the baskets that have any item of groups(group, item)."""
+    baskets = mentions.join(groups, "item").select("group", "basket_id").distinct().join(labels, "basket_id")
+    return shares_of(baskets, groups.select("group").distinct(), labels)
+
+
 def jsd_bits(p: Column, q: Column) -> Column:
     """Jensen-Shannon divergence of two share arrays of equal length, in bits, at least 0."""
     m = F.zip_with(p, q, lambda a, b: (a + b) / 2)
@@ -43,20 +52,34 @@ def jsd_bits(p: Column, q: Column) -> Column:
 def null95(base: list[float], n: int, trials: int = TRIALS, seed: int = SEED) -> float:
     """The 95th percentile (nearest rank) of the divergence between a base and samples of n draws from it.
 
-    Draws follow Mersenne Twister seeded with the list [seed], one uniform number each, looked up in cumulative shares."""
+    Draws follow Mersenne Twister seeded with the list [seed], one uniform number each, looked up in cumulative shares;
+    they are taken DRAWN_AT_ONCE at a time, so that memory doesn't grow with n."""
     p = np.asarray(base, float)
     if n <= 0 or p.sum() <= 0:
         return 0.0
     upto = np.cumsum(p)
-    u = np.random.RandomState([seed]).random_sample(trials * n) * upto[-1]
-    drawn = np.minimum(np.searchsorted(upto, u, side="right"), len(p) - 1).reshape(trials, n)
+    draws = np.random.RandomState([seed])
     q = np.zeros((trials, len(p)))
-    np.add.at(q, (np.arange(trials)[:, None], drawn), 1.0 / n)
+    at, left = 0, n  # the trial that is drawn now, and what it still lacks
+    while at < trials:
+        if left == n and n <= DRAWN_AT_ONCE:
+            rows = min(trials - at, DRAWN_AT_ONCE // n)
+            u = draws.random_sample(rows * n) * upto[-1]
+            found = np.minimum(np.searchsorted(upto, u, side="right"), len(p) - 1)
+            np.add.at(q, (at + np.arange(rows * n) // n, found), 1.0)
+            at += rows
+        else:
+            u = draws.random_sample(min(left, DRAWN_AT_ONCE)) * upto[-1]
+            q[at] += np.bincount(np.minimum(np.searchsorted(upto, u, side="right"), len(p) - 1), minlength=len(p))
+            left -= len(u)
+            if not left:
+                at, left = at + 1, n
+    q /= n
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
-        left = np.where(p > 0, p * np.log2(p / m), 0.0).sum(1)
-        right = np.where(q > 0, q * np.log2(q / m), 0.0).sum(1)
-    bits = np.sort(np.maximum(0.0, (left + right) / 2))
+        towards_p = np.where(p > 0, p * np.log2(p / m), 0.0).sum(1)
+        towards_q = np.where(q > 0, q * np.log2(q / m), 0.0).sum(1)
+    bits = np.sort(np.maximum(0.0, (towards_p + towards_q) / 2))
     return float(bits[min(trials - 1, math.ceil(QUANTILE * trials) - 1)])
 
 
@@ -76,32 +99,53 @@ def top_shares(shares: DataFrame, priors: DataFrame, k: int = TOP) -> DataFrame:
     """(group, rank, label, share, lift): the largest shares above zero, lift over the label's share of all baskets."""
     w = Window.partitionBy("group").orderBy(F.round("share", 9).desc(), "label")
     ranked = shares.filter("share > 0").withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
-    return ranked.join(F.broadcast(priors), "label").select("group", "rank", "label", "share", (F.col("share") / F.col("prior")).alias("lift"))
+    return ranked.join(priors, "label").select("group", "rank", "label", "share", (F.col("share") / F.col("prior")).alias("lift"))
 
 
-def evidence(pairs: DataFrame, mentions: DataFrame, labels: DataFrame, members: DataFrame, simulate: bool = True) -> DataFrame:
+def label_priors(labels: DataFrame) -> DataFrame:
+    total = labels.agg(F.count_distinct("basket_id").alias("all"))  # one row
+    counts = labels.groupBy("label").agg(F.count_distinct("basket_id").alias("n"))
+    return counts.crossJoin(F.broadcast(total)).select("label", (F.col("n") / F.col("all")).alias("prior"))
+
+
+def evidence_of(pairs: DataFrame, shares: DataFrame, priors: DataFrame, simulate: bool = True) -> DataFrame:
     """pairs(variant, base) with counts, divergence, its null level, their ratio and both sides' top labels."""
-    shares = label_shares(mentions, labels, members.select(F.col("group"), "item"))
-    total = labels.agg(F.count_distinct("basket_id").alias("all"))
-    priors = labels.groupBy("label").agg(F.count_distinct("basket_id").alias("n")).crossJoin(F.broadcast(total)).select("label", (F.col("n") / F.col("all")).alias("prior"))
-    wide = shares.groupBy("group").agg(F.max("total").alias("count"), F.transform(F.array_sort(F.collect_list(F.struct("label", "share"))), lambda x: x["share"]).alias("shares"))
-    tops = top_shares(shares, priors).groupBy("group").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "share", "lift"))), lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"), x["lift"].alias("lift"))).alias("top"))
-    side = wide.join(tops, "group", "left")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("label", "share"))), lambda x: x["share"])
+    wide = shares.groupBy("group").agg(F.max("total").alias("count"), ordered.alias("shares"))
+    entry = lambda x: F.struct(x["label"].alias("label"), x["share"].alias("share"), x["lift"].alias("lift"))
+    top = F.transform(F.array_sort(F.collect_list(F.struct("rank", "label", "share", "lift"))), entry)
+    side = wide.join(top_shares(shares, priors).groupBy("group").agg(top.alias("top")), "group", "left")
     out = pairs
     for name in ("variant", "base"):
-        out = out.join(side.select(F.col("group").alias(name), F.col("count").alias(f"{name}_count"), F.col("shares").alias(f"{name}_shares"), F.col("top").alias(f"{name}_top")), name)
+        own = side.select(F.col("group").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("count", "shares", "top")))
+        out = out.join(own, name)
     out = out.withColumn("jsd_bits", jsd_bits(F.col("variant_shares"), F.col("base_shares")))
     out = with_null95(out) if simulate else out.withColumn("null95_bits", F.lit(0.0))
-    return out.withColumn("jsd_to_null_ratio", F.coalesce(F.try_divide("jsd_bits", "null95_bits"), F.lit(0.0)))
+    return out.withColumn("jsd_to_null_ratio", ratio_to_null(F.col("jsd_bits"), F.col("null95_bits")))
+
+
+def evidence(pairs: DataFrame, mentions: DataFrame, labels: DataFrame, members: DataFrame, simulate: bool = True) -> DataFrame:
+    """evidence_of() the pairs, over the mentions of the groups that stand in pairs; members has (group, item)."""
+    asked = pairs.select(F.col("variant").alias("group")).union(pairs.select("base")).distinct()
+    own = members.select("group", "item").join(asked, "group", "left_semi")
+    return evidence_of(pairs, label_shares(mentions, labels, own), label_priors(labels), simulate)
 
 
-def verdict(jsd: Column, ratio: Column, n: Column) -> Column:
+def over_null(jsd: Column, null95_bits: Column) -> Column:
+    """Whether a divergence clears the floor and the null level; a null level of 0 holds nothing back."""
+    return (jsd >= PRESERVE_BITS) & (jsd >= PRESERVE_RATIO * null95_bits)
+
+
+def verdict(jsd: Column, null95_bits: Column, n: Column) -> Column:
     """The plain statistical verdict, for information."""
-    preserve = (jsd >= PRESERVE_BITS) & (ratio >= PRESERVE_RATIO)
-    return F.when(n < TESTABLE, "review").when(preserve, "preserve").otherwise("merge")
+    return F.when(n < TESTABLE, "review").when(over_null(jsd, null95_bits), "preserve").otherwise("merge")
+
+
+def ratio_to_null(jsd: Column, null95_bits: Column) -> Column:
+    return F.when(null95_bits > 0, jsd / null95_bits).otherwise(0.0)
 
 
-def decide(variant: Column, n: Column, jsd: Column, ratio: Column, top_share: Column, gate: Gate) -> Column:
+def decide(variant: Column, n: Column, jsd: Column, null95_bits: Column, top_share: Column, gate: Gate) -> Column:
     """struct(action, layer) of the layered gate: exact exceptions, lexicon merges, statistics for testable variants, small samples."""
     say = lambda action, layer: F.struct(F.lit(action).alias("action"), F.lit(layer).alias("layer"))
     matches = F.lit(False)
@@ -110,10 +154,10 @@ def decide(variant: Column, n: Column, jsd: Column, ratio: Column, top_share: Co
     named = F.lit(False)
     for phrase in sorted(gate.varieties):
         named = named | variant.rlike(rf"(?<!\w)\Q{phrase}\E(?!\w)")
-    border = jsd.between(*BORDER_BITS) | ratio.between(*BORDER_RATIO)
-    out = F.when(variant.isin(sorted(gate.never_merge) or [""]), say("preserve", "L0"))
-    out = out.when(matches, say("merge", "L1_pattern")).when(variant.isin(sorted(gate.forced) or [""]), say("merge", "L1_override"))
-    out = out.when((n >= TESTABLE) & border, say("review", "L2"))
-    out = out.when((n >= TESTABLE) & (jsd >= PRESERVE_BITS) & (ratio >= PRESERVE_RATIO), say("preserve", "L2")).when(n >= TESTABLE, say("merge", "L2"))
-    out = out.when(named, say("preserve", "L3"))
-    return out.when((n >= SMALL_REVIEW) & (top_share >= CONCENTRATED), say("review", "L3")).otherwise(say("merge", "L3"))
+    border = jsd.between(*BORDER_BITS) | ratio_to_null(jsd, null95_bits).between(*BORDER_RATIO)
+    out = F.when(variant.isin(sorted(gate.never_merge) or [""]), say("preserve", EXCEPTION))
+    out = out.when(matches, say("merge", PATTERN)).when(variant.isin(sorted(gate.forced) or [""]), say("merge", OVERRIDE))
+    out = out.when((n >= TESTABLE) & border, say("review", STATISTICS))
+    out = out.when((n >= TESTABLE) & over_null(jsd, null95_bits), say("preserve", STATISTICS)).when(n >= TESTABLE, say("merge", STATISTICS))
+    out = out.when(named, say("preserve", VARIETY))
+    return out.when((n >= SMALL_REVIEW) & (top_share >= CONCENTRATED), say("review", SMALL_REVIEWED)).otherwise(say("merge", SMALL_DEFAULT))

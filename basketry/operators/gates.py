@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -65,9 +65,9 @@ def unknown_key(rows: DataFrame, column: str, known: DataFrame, key: str) -> Dat
 
 
 def not_ascending(rows: DataFrame, column: str, by: str) -> DataFrame:
-    """Rows of a stored order `by` whose column doesn't rise; each group of the order is compared with the one before."""
-    before = F.lag(column).over(Window.orderBy(by))
-    return rows.withColumn("before", before).filter(F.col(column) <= F.col("before")).select(by, column)
+    """Rows whose column doesn't rise over the row before, where by counts the rows up one by one."""
+    before = rows.select((F.col(by) + 1).alias(by), F.col(column).alias("before"))
+    return rows.select(by, column).join(before, by).filter(F.col(column) <= F.col("before")).select(by, column, "before")
 
 
 def repeated_in_row(rows: DataFrame, key: str, column: str) -> DataFrame:
@@ -94,3 +94,32 @@ def share_sum(shares: DataFrame, tolerance: float = 0.002) -> DataFrame:
 
 def off_circle(places: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     return places.filter(F.abs(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y")) - 1) > tolerance).select("label")
+
+
+def wrong_count(rows: DataFrame, expected: int) -> DataFrame:
+    return rows.agg(F.count("*").alias("n")).filter(F.col("n") != expected)
+
+
+def repeated(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def unmatched(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Keys that only one of two frames has."""
+    x, y = a.select(key).distinct(), b.select(key).distinct()
+    return x.join(y, key, "left_anti").union(y.join(x, key, "left_anti"))
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two frames has, counted as often as they stand."""
+    columns = sorted(a.columns)
+    return a.select(columns).exceptAll(b.select(columns)).union(b.select(columns).exceptAll(a.select(columns)))
+
+
+def report(checks: Iterable[Gate]) -> DataFrame:
+    """(gate, violations): how many rows each gate holds against its table, in one plan."""
+    out = None
+    for g in checks:
+        one = g.violations.agg(F.lit(g.name).alias("gate"), F.count("*").alias("violations"))
+        out = one if out is None else out.union(one)
+    return out

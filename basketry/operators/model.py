@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,18 +20,26 @@ def naive_bayes(matrix: DataFrame, labels: DataFrame, n_features: int, alpha: fl
     prior = labels.groupBy("label").agg(F.count("*").alias("c")).crossJoin(F.broadcast(total)).select("label", F.log(F.col("c") / F.col("n")).alias("prior"))
     counts = matrix.join(labels, "basket_id").groupBy("label", "index").agg(F.sum("value").alias("c"))
     mass = counts.groupBy("label").agg(F.sum("c").alias("mass"))
-    dense = labels.select("label").distinct().crossJoin(F.broadcast(matrix.select("index").distinct()))  # labels times features
+    dense = labels.select("label").distinct().crossJoin(matrix.select("index").distinct())  # labels times features
     full = dense.join(counts, ["label", "index"], "left").na.fill(0.0, ["c"]).join(mass, "label")
     return prior, full.select("label", "index", F.log((F.col("c") + alpha) / (F.col("mass") + alpha * n_features)).alias("loglik"))
 
 
 def logits(matrix: DataFrame, baskets: DataFrame, coefficients: DataFrame, intercepts: DataFrame) -> DataFrame:
     """(basket_id, label, logit): coefficients(label, index, coefficient) folded in the order of features onto the
-    intercept, so that the sum's order is part of the result; a basket without features has the intercepts."""
-    terms = matrix.join(coefficients, "index").groupBy("basket_id", "label").agg(F.array_sort(F.collect_list(F.struct("index", (F.col("value") * F.col("coefficient")).alias("x")))).alias("terms"))
-    every = baskets.select("basket_id").crossJoin(F.broadcast(intercepts))  # a few labels
-    out = every.join(terms, ["basket_id", "label"], "left")
-    return out.select("basket_id", "label", F.coalesce(F.aggregate("terms", F.col("intercept"), lambda acc, t: acc + t["x"]), F.col("intercept")).alias("logit"))
+    intercept, so that the sum's order is part of the result; a basket without features has the intercepts.
+
+    Each feature carries the coefficients of all labels as one array, so the matrix is exchanged once as it is and only
+    the result has a row for each label. A coefficient that isn't there is 0."""
+    start = intercepts.agg(F.array_sort(F.collect_list(F.struct("label", "intercept"))).alias("start"))  # one row, a few labels
+    start = start.select(F.col("start.label").alias("names"), F.col("start.intercept").alias("base"))
+    known = coefficients.groupBy("index").agg(F.map_from_entries(F.collect_list(F.struct("label", "coefficient"))).alias("by_label"))
+    weights = known.crossJoin(F.broadcast(start)).select("index", F.transform("names", lambda n: F.coalesce(F.try_element_at("by_label", n), F.lit(0.0))).alias("weights"))
+    terms = matrix.join(weights, "index").groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("index", "value", "weights"))).alias("terms"))
+    out = baskets.select("basket_id").join(terms, "basket_id", "left").crossJoin(F.broadcast(start))
+    add = lambda acc, t: F.zip_with(acc, t["weights"], lambda a, w: a + t["value"] * w)
+    sums = F.coalesce(F.aggregate("terms", F.col("base"), add), F.col("base"))
+    return out.select("basket_id", F.explode(F.arrays_zip(F.col("names").alias("label"), sums.alias("logit"))).alias("s")).select("basket_id", "s.label", "s.logit")
 
 
 def softmax(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -99,7 +108,7 @@ def fit_temperature(scores: DataFrame, labels: DataFrame, steps: int = STEPS) ->
     a, b = high - ratio * (high - low), low + ratio * (high - low)
     fa, fb = loss(a), loss(b)
     for _ in range(steps):
-        if fa <= fb:
+        if fa < fb:
             high, b, fb = b, a, fa
             a = high - ratio * (high - low)
             fa = loss(a)
@@ -112,12 +121,15 @@ def fit_temperature(scores: DataFrame, labels: DataFrame, steps: int = STEPS) ->
 
 
 def as_vectors(matrix: DataFrame, labels: DataFrame, n_features: int, names: list[str]) -> DataFrame:
+    """(basket_id, label, y, features): the label's place in names, and the features as sparse vectors."""
+    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import array_to_vector
 
     rows = matrix.groupBy("basket_id").agg(F.map_from_entries(F.collect_list(F.struct("index", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    full = F.transform(F.sequence(F.lit(0), F.lit(n_features - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
     index = F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1
-    return labels.join(rows, "basket_id", "left").select("basket_id", "label", index.cast("double").alias("y"), array_to_vector(dense).alias("features"))
+    out = labels.join(rows, "basket_id", "left").select("basket_id", "label", index.cast("double").alias("y"), array_to_vector(full).alias("full"))
+    return VectorAssembler(inputCols=["full"], outputCol="features").transform(out).drop("full")  # which stores what isn't zero
 
 
 def fit_logistic(vectors: DataFrame, c: float, max_iterations: int = MAX_ITERATIONS):
@@ -138,27 +150,47 @@ def parameters(model, names: list[str]) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(rows, "label string, index int, coefficient double"), spark.createDataFrame([(names[i], round(float(x), 6)) for i, x in enumerate(b)], "label string, intercept double")
 
 
+def out_of_fold(vectors: DataFrame, names: list[str], c: float, max_iterations: int = MAX_ITERATIONS, parallel: int = 4) -> DataFrame:
+    """(basket_id, fold, label, logit) of vectors(basket_id, label, y, features, fold): each fold is scored by a model of
+    all others. The fits of the folds are submitted side by side."""
+    from pyspark.ml.functions import vector_to_array
+
+    def scored(fold: int) -> DataFrame:
+        fitted = fit_logistic(vectors.filter(F.col("fold") != fold), c, max_iterations)
+        return fitted.transform(vectors.filter(F.col("fold") == fold)).select("basket_id", "fold", vector_to_array("rawPrediction").alias("z"))
+
+    folds = [r[0] for r in vectors.select("fold").distinct().orderBy("fold").collect()]
+    with ThreadPoolExecutor(parallel) as pool:
+        parts = list(pool.map(scored, folds))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.union(x)
+    known = F.array(*map(F.lit, names))
+    return out.select("basket_id", "fold", F.explode(F.arrays_zip(known.alias("label"), F.col("z").alias("logit"))).alias("s")).select("basket_id", "fold", "s.label", "s.logit")
+
+
+def pooled_loss(scores: DataFrame, labels: DataFrame) -> float:
+    return log_loss(softmax(scores), labels).first()[0]
+
+
 def cross_validate(matrix_of, labels: DataFrame, folded: DataFrame, n_features: int, names: list[str], weights=PARENT_WEIGHTS, cs=C_VALUES, max_iterations: int = MAX_ITERATIONS) -> list[tuple[float, float, float]]:
     """(loss, C, weight) of each configuration, pooled over held-out folds, best first; ties by C, then weight."""
     out = []
-    k = [r[0] for r in folded.select("fold").distinct().orderBy("fold").collect()]
     for weight in weights:
         vectors = as_vectors(matrix_of(weight), labels, n_features, names).join(folded.select("basket_id", "fold"), "basket_id").cache()
-        for c in cs:
-            pooled, n = 0.0, 0
-            for fold in k:
-                model = fit_logistic(vectors.filter(F.col("fold") != fold), c, max_iterations)
-                held = model.transform(vectors.filter(F.col("fold") == fold))
-                from pyspark.ml.functions import vector_to_array
-
-                own = F.get(vector_to_array("probability"), F.col("y").cast("int"))
-                s, m = held.agg(F.sum(-F.log(F.greatest(own, F.lit(FLOOR)))), F.count("*")).first()
-                pooled, n = pooled + s, n + m
-            out.append((pooled / n, c, weight))
+        out += [(pooled_loss(out_of_fold(vectors, names, c, max_iterations), labels), c, weight) for c in cs]
         vectors.unpersist()
     return sorted(out)
 
 
+def train_final(matrix_of, labels: DataFrame, n_features: int, names: list[str], c: float, weight: float, max_iterations: int = MAX_ITERATIONS) -> tuple[DataFrame, DataFrame]:
+    """Rounded coefficients and intercepts of the winning configuration, fitted on all baskets."""
+    vectors = as_vectors(matrix_of(weight), labels, n_features, names).cache()
+    out = parameters(fit_logistic(vectors, c, max_iterations), names)
+    vectors.unpersist()
+    return out
+
+
 def contributions(matrix: DataFrame, coefficients: DataFrame, leaders: DataFrame, k: int = TOP_CONTRIBUTIONS) -> DataFrame:
     """(basket_id, label, rank, index, contribution): what moves each basket most towards leaders(basket_id, label)."""
     x = leaders.join(matrix, "basket_id").join(coefficients, ["label", "index"]).withColumn("contribution", F.col("value") * F.col("coefficient"))

@@ -9,12 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.lexicon import Brands, Gate, Modifiers, Singular
-from .divergence import PRESERVE_BITS, PRESERVE_RATIO, decide, evidence
+from .divergence import OVERRIDE, PATTERN, PRESERVE_BITS, PRESERVE_RATIO, SMALL_DEFAULT, STATISTICS, decide, evidence, evidence_of, label_priors, shares_of
 
 #: Baskets that a group needs to be in scope, and rounds of reduction; fixed values.
 SCOPE, ROUNDS = 4, 3
-#: Sources that a merge records by the gate's layer; fixed values.
-MERGE_SOURCE = {"L1_pattern": "always_merge_lexicon", "L1_override": "forced_merge_override", "L2": "statistical_merge", "L3": "small_sample_default"}
+#: Sources of an alias, and the one that a merge records by the gate's layer; fixed values.
+ALIAS_SOURCES = (
+    "canonical_surface_form",
+    "mechanical_normalization",
+    "modifier_strip",
+    "always_merge_lexicon",
+    "forced_merge_override",
+    "statistical_gate",
+    "named_variety_lexicon",
+    "brand_pattern",
+    "manual_alias",
+    "manual_review",
+)
+MERGE_SOURCE = {PATTERN: "always_merge_lexicon", OVERRIDE: "forced_merge_override", STATISTICS: "statistical_gate", SMALL_DEFAULT: "statistical_gate"}
+#: Example baskets of a review entry; fixed value.
+EXAMPLES = 5
+_TOP = "array<struct<label:string,share:double,lift:double>>"
+PRESERVED = "variant string, base string, layer string, jsd_bits double, null95_bits double, variant_count long"
+QUEUE = f"decision_id string, variant string, base string, variant_string string, base_string string, variant_count long, base_count long, jsd_bits double, null95_bits double, jsd_to_null_ratio double, variant_top {_TOP}, base_top {_TOP}, gate_route string, suggested string, reason string, target string"
 
 
 def group_mechanically(raw: DataFrame, singular: Singular = Singular(), aliases: dict[str, str] | None = None, python: bool = True) -> DataFrame:
@@ -26,7 +43,7 @@ def group_mechanically(raw: DataFrame, singular: Singular = Singular(), aliases:
     else:
         once = once.withColumn("target", F.lit(None).cast("string"))
     out = once.withColumn("cleaned", T.clean(F.coalesce("target", "item"), python))
-    out = out.withColumns({"source": F.when(F.col("target").isNotNull(), "manual_alias").otherwise("mechanical_cleaning"), "rule": F.coalesce("target", F.lit("")), "group": T.lookup_key(F.col("cleaned"), singular)})
+    out = out.withColumns({"source": F.when(F.col("target").isNotNull(), "manual_alias").otherwise("mechanical_normalization"), "rule": F.coalesce("target", F.lit("")), "group": T.lookup_key(F.col("cleaned"), singular)})
     return out.select("item", "cleaned", "source", "rule", "group")
 
 
@@ -115,62 +132,99 @@ def candidate_pairs(counts: DataFrame, modifier_tokens: Iterable[str], scope: in
     return x.groupBy(F.col("group").alias("variant")).agg(F.min_by("base", "k").alias("base"))
 
 
-def gate_pairs(pairs: DataFrame, mentions: DataFrame, labels: DataFrame, members: DataFrame, gate: Gate, simulate: bool = True) -> DataFrame:
-    """Evidence and the gate's action for each pair, on the membership as it stands."""
-    found = evidence(pairs, mentions, labels, members, simulate)
+def gate_pairs(found: DataFrame, gate: Gate, name: str = "variant") -> DataFrame:
+    """Evidence rows with the gate's action and layer; the lexicons see the column name."""
     top = F.coalesce(F.get("variant_top", F.lit(0))["share"], F.lit(0.0))
-    return found.withColumn("gate", decide(F.col("variant"), F.col("variant_count"), F.col("jsd_bits"), F.col("jsd_to_null_ratio"), top, gate)).select("*", "gate.action", "gate.layer").drop("gate")
+    judged = decide(F.col(name), F.col("variant_count"), F.col("jsd_bits"), F.col("null95_bits"), top, gate)
+    return found.withColumn("gate", judged).select("*", "gate.action", "gate.layer").drop("gate")
 
 
-def apply_outcomes(pairs: DataFrame, mentions: DataFrame, labels: DataFrame, members: DataFrame, gate: Gate) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _end(redirects: dict[str, str], group: str) -> str:
+    while group in redirects:
+        group = redirects[group]
+    return group
+
+
+def next_wave(left: list[tuple[str, str]], redirects: dict[str, str]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """Of pairs in their order those that can be judged now, and the rest: a pair waits for every earlier one that may
+    change its variant or base, and for all with longer variants."""
+    wave, rest, touched = [], [], set()
+    length = max((len(v.split()) for v, _ in left), default=0)
+    for v, b in left:
+        b = _end(redirects, b)
+        if v == b:
+            continue
+        if len(v.split()) == length and not touched & {v, b}:
+            wave.append((v, b))
+        else:
+            rest.append((v, b))
+        touched |= {v, b}
+    return wave, rest
+
+
+def apply_outcomes(pairs: DataFrame, mentions: DataFrame, labels: DataFrame, members: DataFrame, gate: Gate, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Members after all merges, preserved links (variant, base) and the review queue.
 
-    Pairs are judged longest variant first, and evidence counts what earlier merges brought. A merge touches only its
-    base, so all variants of one length whose bases differ can be judged at once; each wave is one distributed pass."""
+    Pairs are judged longest variant first, and evidence counts what earlier merges brought. The gate's lexicons see
+    the groups' names (their keys where names is None); a group that takes another in keeps its own. Which baskets
+    have which group is worked out once; each wave of pairs reads only its own groups from there, and its evidence, one
+    row for each pair, comes to the driver. A base is in one wave at a time, so waves are as many as the variants of
+    the base that has most."""
     spark = pairs.sparkSession
-    left = [(r["variant"], r["base"]) for r in pairs.collect()]  # a vocabulary's pairs
-    left.sort(key=lambda p: (-len(p[0].split()), p[0]))
+    left = sorted(((r["variant"], r["base"]) for r in pairs.collect()), key=lambda p: (-len(p[0].split()), p[0]))  # a vocabulary's pairs
+    inside = spark.createDataFrame(sorted({(g,) for p in left for g in p}), "group string")
+    own = members.select("group", "item").join(inside, "group", "left_semi")
+    presence = mentions.join(own, "item").select("group", "basket_id").distinct().join(labels, "basket_id").cache()
+    shown = {} if names is None else {r["group"]: r["name"] for r in names.join(inside, "group", "left_semi").collect()}
+    priors = label_priors(labels)
+    taken: dict[str, list[str]] = {}
     redirects: dict[str, str] = {}
+    how: dict[str, tuple[str, str]] = {}
     preserved, review = [], []
     while left:
-        wave, bases, rest = [], set(), []
-        for v, b in left:
-            while b in redirects:
-                b = redirects[b]
-            if v == b:
-                continue
-            if not rest and b not in bases and v not in bases and len(v.split()) == len(left[0][0].split()):
-                wave.append((v, b))
-                bases |= {v, b}
-            else:
-                rest.append((v, b))
-        left = rest
+        wave, left = next_wave(left, redirects)
         if not wave:
             continue
-        judged = gate_pairs(spark.createDataFrame(wave, "variant string, base string"), mentions, labels, members, gate).collect()
-        merged = []
-        for r in sorted(judged, key=lambda r: r["variant"]):
+        parts = [(g, part) for pair in wave for g in pair for part in (g, *taken.get(g, ()))]
+        of = spark.createDataFrame(parts, "root string, group string")
+        baskets = presence.join(of, "group").select(F.col("root").alias("group"), "basket_id", "label").distinct()
+        asked = spark.createDataFrame([(v, b, shown.get(v, v)) for v, b in wave], "variant string, base string, name string")
+        found = evidence_of(asked, shares_of(baskets, of.select(F.col("root").alias("group")).distinct(), labels), priors)
+        for r in sorted(gate_pairs(found, gate, "name").collect(), key=lambda r: r["variant"]):
+            v, b, said = r["variant"], r["base"], f"jsd={r['jsd_bits']:.4f} bits, {r['jsd_to_null_ratio']:.2f} x null95, n={r['variant_count']}"
             if r["action"] == "merge":
-                redirects[r["variant"]] = r["base"]
-                merged.append((r["variant"], r["base"], MERGE_SOURCE[r["layer"]]))
+                redirects[v], how[v] = b, (MERGE_SOURCE[r["layer"]], said)
+                taken.setdefault(b, []).extend([v, *taken.pop(v, ())])
             elif r["action"] == "preserve":
-                preserved.append((r["variant"], r["base"], r["layer"], r["jsd_bits"], r["null95_bits"], r["variant_count"]))
+                preserved.append((v, b, r["layer"], r["jsd_bits"], r["null95_bits"], r["variant_count"]))
             else:
                 suggested = "preserve" if r["jsd_bits"] >= PRESERVE_BITS and r["jsd_to_null_ratio"] >= PRESERVE_RATIO else "merge"
-                review.append((f"{r['variant']}__vs__{r['base']}".replace(" ", "_"), r["variant"], r["base"], r["jsd_bits"], r["null95_bits"], r["variant_count"], suggested))
-        if merged:
-            moved = spark.createDataFrame(merged, "group string, target string, how string")
-            m = members.join(moved, "group", "left")
-            members = m.select("item", "cleaned", F.coalesce("how", "source").alias("source"), F.when(F.col("how").isNotNull(), F.col("target")).otherwise(F.col("rule")).alias("rule"), F.coalesce("target", "group").alias("group"))
-
-    def end(b):
-        while b in redirects:
-            b = redirects[b]
-        return b
-
-    kept = spark.createDataFrame([(v, end(b), *more) for v, b, *more in preserved], "variant string, base string, layer string, jsd_bits double, null95_bits double, variant_count long")
-    queue = spark.createDataFrame(sorted(review), "decision_id string, variant string, base string, jsd_bits double, null95_bits double, variant_count long, suggested string")
-    return members, kept, queue
+                review.append((f"{v}__vs__{b}".replace(" ", "_"), v, b, r["name"], shown.get(b, b), r["variant_count"], r["base_count"], r["jsd_bits"], r["null95_bits"], r["jsd_to_null_ratio"], r["variant_top"] or [], r["base_top"] or [], r["layer"], suggested, said))
+    presence.unpersist()
+    moved = []
+    for group in redirects:
+        last = group
+        while redirects[last] in redirects:
+            last = redirects[last]
+        moved.append((group, redirects[last], *how[last]))  # the merge that came last names the source
+    m = members.join(spark.createDataFrame(moved, "group string, target string, how string, said string"), "group", "left")
+    members = m.select("item", "cleaned", F.coalesce("how", "source").alias("source"), F.coalesce("said", "rule").alias("rule"), F.coalesce("target", "group").alias("group"))
+    kept = spark.createDataFrame([(v, _end(redirects, b), *more) for v, b, *more in preserved], PRESERVED)
+    queue = [(*r, _end(redirects, r[2])) for r in sorted(review, key=lambda r: r[0])]  # the group that the base is in by now
+    return members, kept, spark.createDataFrame(queue, QUEUE)
+
+
+def review_entries(queue: DataFrame, mentions: DataFrame, members: DataFrame, k: int = EXAMPLES) -> DataFrame:
+    """The queue as it is stored: figures at four digits, and the smallest baskets of each variant as examples."""
+    own = members.join(queue.select(F.col("variant").alias("group")), "group", "left_semi").select("group", "item")
+    baskets = mentions.join(own, "item").select("group", "basket_id").distinct()
+    w = Window.partitionBy("group").orderBy("basket_id")
+    few = baskets.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
+    examples = few.groupBy(F.col("group").alias("variant")).agg(F.sort_array(F.collect_list("basket_id")).alias("example_ids"))
+    four = {c: F.round(c, 4) for c in ("jsd_bits", "null95_bits", "jsd_to_null_ratio")}
+    entry = lambda x: F.struct(x["label"].alias("label"), F.round(x["share"], 4).alias("share"), F.round(x["lift"], 4).alias("lift"))
+    tops = {c: F.transform(c, entry) for c in ("variant_top", "base_top")}
+    return queue.withColumns(four | tops).join(examples, "variant", "left")
 
 
 class DecisionError(ValueError):
@@ -182,19 +236,21 @@ def apply_decisions(members: DataFrame, preserved: DataFrame, queue: DataFrame,
     odd = queue.select("decision_id").join(decisions.select("decision_id"), "decision_id", "left_anti").union(decisions.select("decision_id").join(queue.select("decision_id"), "decision_id", "left_anti"))
     if rows := odd.limit(5).collect():
         raise DecisionError(f"no match for {[r[0] for r in rows]}")
-    groups = {r[0] for r in members.select("group").distinct().join(queue.select(F.col("base").alias("group")).union(queue.select("variant")).distinct(), "group", "left_semi").collect()}
+    into = F.when(F.startswith("decision", F.lit("merge_into:")), F.substring("decision", len("merge_into:") + 1, 1 << 30)).otherwise(F.col("target"))
+    if "target" not in queue.columns:
+        queue = queue.withColumn("target", F.col("base"))
+    asked = decisions.join(queue, "decision_id").select(into.alias("group")).union(queue.select("target")).union(queue.select("variant")).distinct()
+    groups = {r[0] for r in members.select("group").distinct().join(asked, "group", "left_semi").collect()}  # of the reviewed pairs
     redirects: dict[str, str] = {}
     moved, kept = [], []
     for r in sorted(decisions.join(queue, "decision_id").collect(), key=lambda r: (r["decision"] == "preserve", r["decision_id"])):
-        target = r["decision"].removeprefix("merge_into:") if r["decision"].startswith("merge_into:") else r["base"]
-        while target in redirects:
-            target = redirects[target]
+        target = _end(redirects, r["decision"].removeprefix("merge_into:") if r["decision"].startswith("merge_into:") else r["target"])
         if target == r["variant"]:
             raise DecisionError(f"{r['decision_id']} merges a group into itself")
         if r["decision"] == "preserve":
             kept.append((r["variant"], target, "manual_review", r["jsd_bits"], r["null95_bits"], r["variant_count"]))
         else:
-            if r["decision"] == "merge" and target not in groups:
+            if target not in groups:
                 raise DecisionError(f"{r['decision_id']}: no group {target}")
             redirects[r["variant"]] = target
             moved.append((r["variant"], target, r["note"]))
@@ -222,8 +278,12 @@ def compile_vocabulary(mentions: DataFrame, members: DataFrame, names: DataFrame
     seen = mentions.select("basket_id", "item").distinct().groupBy("item").agg(F.count("*").alias("train_frequency"))
     keep = group_counts(mentions, members).filter(F.col("n") >= scope)
     named = names.withColumn("id", T.slug(F.col("name")))
-    source = F.when(F.col("cleaned") == F.col("name"), "canonical_surface_form").otherwise(F.col("source"))
-    aliases = members.join(named, "group").join(seen, "item").groupBy("group").agg(F.array_sort(F.collect_list(F.struct(F.col("item").alias("alias"), source.alias("source"), "rule", "train_frequency"))).alias("aliases"))
+    best = F.min(F.struct((-F.col("train_frequency")).alias("f"), F.col("item").alias("alias"))).alias("best")
+    entry = F.struct(F.col("item").alias("alias"), "source", "rule", "train_frequency")
+    own = members.join(seen, "item").groupBy("group").agg(best, F.array_sort(F.collect_list(entry)).alias("entries"))
+    shown = lambda x: F.when(x["alias"] == F.col("best.alias"), F.lit("canonical_surface_form")).otherwise(x["source"])
+    entry = lambda x: F.struct(x["alias"].alias("alias"), shown(x).alias("source"), x["rule"].alias("rule"), x["train_frequency"].alias("train_frequency"))
+    aliases = own.select("group", F.transform("entries", entry).alias("aliases"))
     parent = roots(preserved).join(named.select(F.col("group").alias("root"), F.col("id").alias("parent_id")), "root").join(preserved, "variant")
     parent = parent.select(F.col("variant").alias("group"), "parent_id", F.struct("layer", F.round("jsd_bits", 4).alias("jsd_bits"), F.round("null95_bits", 4).alias("null95_bits"), "variant_count").alias("preserve_evidence"))
     out = named.join(keep, "group").join(aliases, "group").join(parent, "group", "left")

@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.lexicon import Brands, Gate, Modifiers, Singular
+from ..functions.lexicon import Brands, Gate, Lexicons, Modifiers, Singular
 from ..operators import divergence, features, gates, model, resolver, search, taxonomy, vocabulary
 
+from . import builds
+
 # The lexicons of these queries; all words come from the driver's part names.
-STRIP, NEVER, OWN = ("shiny", "small"), ("blue",), ("blue", "red")
+STRIP, NEVER, OWN = ("new", "small"), ("blue",), ("blue", "red")
 MODIFIERS = Modifiers(tokens=frozenset(STRIP), never=frozenset(NEVER))
-BRANDS = Brands(keep=(("\\bred widget\\b", "red widget"),), patterns=(("\\bred\\b", "red goods"), ("\\bwidget\\b", "widget")))
-GATE = Gate(always_merge=(r"\bshiny\b",), forced=frozenset({"small gear"}), varieties=frozenset({"blue"}), never_merge=frozenset({"red widget"}))
+BRANDS = Brands(keep=(("\\bred widget\\b", "red widget"),), patterns=(("\\bred\\b", "red goods"), ("\\bsmall gizmo\\b", "tiny goods"), ("\\bgizmo\\b", "widget")))
+GATE = Gate(always_merge=(r"\bnew\b",), forced=frozenset({"small gear"}), varieties=frozenset({"blue"}), never_merge=frozenset({"red widget"}))
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,7 +74,7 @@ def _matrix(spark, d, weight=0.3):
 def _coefficients(spark, d):
     """Coefficients by a formula of the label's place and the feature's index."""
     l = labels(spark, d).select("label").distinct().withColumn("i", F.row_number().over(Window.orderBy("label")) - 1)
-    grid = l.crossJoin(F.broadcast(_space(spark, d).select("index")))
+    grid = l.crossJoin(_space(spark, d).select("index"))
     return grid.select("label", "index", (((F.col("i") * 31 + F.col("index") * 17) % 23 - 11) / 10.0).alias("coefficient"))
 
 
@@ -90,25 +92,36 @@ def _shares(spark, d):
 
 
 def _vocabulary(spark, d):
-    """Nouns, and the items of some adjectives, each with itself as alias; the rest has to be resolved."""
+    """Nouns but one, and the items of some adjectives, each with itself as alias; the rest has to be resolved."""
     x = _items(spark, d)
     own = x.filter(F.split("item", " ")[0].isin(list(OWN))).select(F.col("item").alias("id"))
-    ids = x.select(_noun(F.col("item")).alias("id")).distinct().union(own)
+    ids = x.select(_noun(F.col("item")).alias("id")).filter("id <> 'gizmo'").distinct().union(own)
     alias = F.array(F.struct(F.col("id").alias("alias"), F.lit("seed").alias("source"), F.lit("").alias("rule"), F.lit(1).cast("long").alias("train_frequency")))
     return ids.select("id", F.col("id").alias("name"), F.length("id").cast("long").alias("train_mention_count"), alias.alias("aliases"))
 
 
 def _asked(spark, d):
     x = _items(spark, d)
-    return x.union(x.select(F.upper("item"))).union(x.select(F.concat(F.lit("zz yy "), "item"))).union(x.select(F.concat(F.lit("zz "), _noun(F.col("item")), F.lit(" qq"))))
+    zz = lambda *parts: x.select(F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts)))
+    item, noun = F.col("item"), _noun(F.col("item"))
+    return x.union(zz(F.upper(item))).union(zz("zz yy ", item)).union(zz("zz ", item)).union(zz("zz ", noun, " qq")).union(zz("small ", item, "s")).distinct()
+
+
+def _resolver(spark, d):
+    return resolver.Resolver(_vocabulary(spark, d), MODIFIERS, BRANDS, variant_tokens=("zz",), python=False)
 
 
 def _resolved(spark, d):
-    return resolver.Resolver(_vocabulary(spark, d), MODIFIERS, python=False).resolve(_asked(spark, d))
+    return _resolver(spark, d).resolve(_asked(spark, d))
+
+
+def _noisy(spark, d):
+    m = mentions(spark, d)
+    return m.withColumn("item", F.when((F.col("basket_id") + F.col("pos")) % 3 == 0, F.concat(F.lit("zz "), F.col("item"))).otherwise(F.col("item")))
 
 
 def _resolved_mentions(spark, d):
-    return resolver.Resolver(_vocabulary(spark, d), MODIFIERS, python=False).resolve(_items(spark, d))
+    return _resolver(spark, d).resolve(_noisy(spark, d))
 
 
 def _tokens(spark, d):
@@ -192,16 +205,40 @@ SINGULAR = """CASE WHEN length({t}) >= 5 AND {t} LIKE '%ies' THEN left({t}, -3)
   WHEN length({t}) >= 5 AND regexp_matches({t}, '(ches|shes|sses|xes|zes)$') THEN left({t}, -2)
   WHEN length({t}) >= 4 AND {t} LIKE '%s' AND NOT regexp_matches({t}, '(ss|us|is)$') THEN left({t}, -1) ELSE {t} END"""
 TOKENS = ", tok AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents)"
-STRIPPED = "CASE WHEN split_part({x}, ' ', 1) IN ('shiny', 'small') THEN split_part({x}, ' ', 2) ELSE {x} END"
-VOC = """, voc AS (SELECT DISTINCT noun AS id FROM items UNION SELECT item FROM items WHERE split_part(item, ' ', 1) IN ('blue', 'red')),
-asked AS (SELECT item, 0 AS k, item AS src FROM items UNION ALL SELECT upper(item), 1, item FROM items UNION ALL SELECT 'zz yy ' || item, 2, item FROM items UNION SELECT 'zz ' || noun || ' qq', 3, noun FROM items),
-res AS (SELECT a.item, CASE WHEN k < 2 AND v.id IS NOT NULL THEN v.id WHEN k < 2 THEN split_part(src, ' ', 2) WHEN k = 2 AND v.id IS NOT NULL THEN v.id WHEN k = 2 AND split_part(src, ' ', 1) IN ('shiny', 'small') THEN NULL END AS id,
-  CASE WHEN k = 0 AND v.id IS NOT NULL THEN 'exact_alias' WHEN k = 1 AND v.id IS NOT NULL THEN 'cleaned_form' WHEN k < 2 AND split_part(src, ' ', 1) IN ('shiny', 'small') THEN 'modifier_strip'
-    WHEN k < 2 OR (k = 2 AND v.id IS NOT NULL) THEN 'token_drop' ELSE 'unresolved' END AS method,
-  CASE WHEN k < 2 AND v.id IS NULL AND split_part(src, ' ', 1) NOT IN ('shiny', 'small') THEN split_part(lower(src), ' ', 1) WHEN k = 2 AND v.id IS NOT NULL THEN 'zz yy' END AS dropped
-  FROM asked a LEFT JOIN voc v ON v.id = a.src)"""
-RM = """, rm AS (SELECT i.item, coalesce(v.id, i.noun) AS id, CASE WHEN v.id IS NOT NULL THEN 'exact_alias' WHEN split_part(i.item, ' ', 1) IN ('shiny', 'small') THEN 'modifier_strip' ELSE 'token_drop' END AS method
-  FROM items i LEFT JOIN (SELECT item AS id FROM items WHERE split_part(item, ' ', 1) IN ('blue', 'red')) v ON v.id = i.item)"""
+STRIPPED = "CASE WHEN split_part({x}, ' ', 1) IN ('new', 'small') THEN split_part({x}, ' ', 2) ELSE {x} END"
+KEY = "array_to_string(list_transform(string_split({x}, ' '), lambda t: " + SINGULAR.format(t="t") + "), ' ')"
+GENERIC = r"""CASE WHEN regexp_matches({x}, '\bred widget\b') THEN 'red widget' WHEN regexp_matches({x}, '\bred\b') THEN 'red goods' WHEN regexp_matches({x}, '\bsmall gizmo\b') THEN 'tiny goods' WHEN regexp_matches({x}, '\bgizmo\b') THEN 'widget' END"""
+ASKED = """SELECT item FROM items UNION SELECT upper(item) FROM items UNION SELECT 'zz yy ' || item FROM items UNION SELECT 'zz ' || item FROM items
+  UNION SELECT 'zz ' || noun || ' qq' FROM items UNION SELECT 'small ' || item || 's' FROM items"""
+
+
+def resolver_sql(asked: str) -> str:
+    """Tables voc, cand (token drops) and res of the strings that asked selects."""
+    g1, g2 = (KEY.format(x=f"({GENERIC.format(x=c)})") for c in ("cleaned", "stripped"))
+    return f""", voc AS (SELECT id, length(id)::BIGINT AS mentions FROM (SELECT DISTINCT noun AS id FROM items WHERE noun <> 'gizmo' UNION SELECT item FROM items WHERE split_part(item, ' ', 1) IN ('blue', 'red'))),
+idx AS (SELECT {KEY.format(x="id")} AS key, arg_min(id, lpad((100 - mentions)::VARCHAR, 4, '0') || id) AS id FROM voc GROUP BY 1),
+keyed AS (SELECT item, lower(item) AS cleaned, array_to_string(list_filter(string_split(lower(item), ' '), lambda t: t NOT IN ('new', 'small')), ' ') AS stripped FROM ({asked})),
+k AS (SELECT item, cleaned, {KEY.format(x="cleaned")} AS key, {KEY.format(x="stripped")} AS strip_key, {g1} AS g1, {g2} AS g2 FROM keyed),
+early AS (SELECT k.item, k.strip_key, coalesce(a.id, b.id, c.id, d.id, e.id, f.id) AS id,
+    CASE WHEN a.id IS NOT NULL THEN 0 WHEN b.id IS NOT NULL THEN 1 WHEN c.id IS NOT NULL THEN 2 WHEN d.id IS NOT NULL THEN 3 WHEN e.id IS NOT NULL THEN 4 WHEN f.id IS NOT NULL THEN 5 END AS tier
+  FROM k LEFT JOIN voc a ON a.id = k.item LEFT JOIN voc b ON b.id = cleaned LEFT JOIN idx c ON c.key = k.key LEFT JOIN idx d ON d.key = strip_key LEFT JOIN idx e ON e.key = g1 LEFT JOIN idx f ON f.key = g2),
+tok2 AS (SELECT item, string_split(strip_key, ' ') AS t FROM early WHERE tier IS NULL),
+pos AS (SELECT item, t, i, j FROM tok2, (SELECT unnest(range(1, 12)) AS i), (SELECT unnest(range(0, 12)) AS j) WHERE len(t) > 2 AND i < len(t) AND (j = 0 OR (len(t) >= 4 AND j > i AND j < len(t)))),
+drops AS (SELECT item, CASE WHEN j = 0 THEN 1 ELSE 2 END AS n_dropped, list_filter([t[i], CASE WHEN j > 0 THEN t[j] END], lambda x: x IS NOT NULL) AS dropped,
+  array_to_string(list_filter(list_transform(range(1, len(t) + 1), lambda p: CASE WHEN p <> i AND p <> j THEN t[p] END), lambda x: x IS NOT NULL), ' ') AS key FROM pos),
+cand AS (SELECT item, n_dropped::BIGINT AS n_dropped, array_to_string(dropped, ' ') AS dropped, len(list_filter(dropped, lambda x: x NOT IN ('new', 'small', 'blue', 'zz'))) = 0 AS only_modifiers, idx.id, length(idx.id)::BIGINT AS mentions FROM drops JOIN idx USING (key)),
+best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY item ORDER BY n_dropped, only_modifiers DESC, mentions DESC, id, dropped) = 1),
+res AS (SELECT e.item, coalesce(e.id, best.id) AS id, best.dropped,
+    CASE WHEN tier = 0 THEN 'exact_alias' WHEN tier <= 2 THEN 'cleaned_match' WHEN tier = 3 THEN 'modifier_stripped_match' WHEN tier <= 5 THEN 'brand_resolved_match' WHEN best.id IS NOT NULL THEN 'token_drop_match' ELSE 'unresolved' END AS method
+  FROM early e LEFT JOIN best USING (item))"""
+
+
+RES = resolver_sql(ASKED)
+#: Mentions with a token of noise before the item of every third line, so that all tiers are met.
+RM = ", noisy AS (SELECT basket_id, pos, CASE WHEN (basket_id + pos) % 3 = 0 THEN 'zz ' || item ELSE item END AS item FROM mentions)" + resolver_sql("SELECT DISTINCT item FROM noisy")
+METHOD_LIST = "(SELECT unnest(['exact_alias', 'cleaned_match', 'modifier_stripped_match', 'brand_resolved_match', 'token_drop_match', 'unresolved']) AS method)"
+STATS = RM + f""", stats AS (SELECT m.method, coalesce(c.n, 0) AS mentions, round(coalesce(c.n, 0) / (SELECT count(*) FROM noisy), 4) AS share
+  FROM {METHOD_LIST} m LEFT JOIN (SELECT method, count(*) AS n FROM noisy JOIN res USING (item) GROUP BY ALL) c USING (method))"""
 FOLD = """, fold AS (SELECT basket_id, label, (row_number() OVER (PARTITION BY label ORDER BY md5(basket_id::VARCHAR), basket_id) - 1) % 5 AS fold FROM labels)"""
 
 QUERIES, SQL = {}, {}
@@ -269,20 +306,36 @@ def _(s, d):
     return _evidence(s, d).select("variant", "base", "variant_count", R("jsd_bits", 6).alias("jsd_bits"))
 
 
-@query("merge_gate_decision", """SELECT variant, CASE WHEN variant = 'red widget' THEN 'preserve' WHEN regexp_matches(variant, '\\bshiny\\b') OR variant = 'small gear' THEN 'merge'
-  WHEN n >= 20 AND (bits BETWEEN 0.06 AND 0.08 OR bits / 0.0005 BETWEEN 1.3 AND 1.7) THEN 'review' WHEN n >= 20 AND bits >= 0.07 AND bits / 0.0005 >= 1.5 THEN 'preserve' WHEN n >= 20 THEN 'merge'
-  WHEN regexp_matches(variant, '\\bblue\\b') THEN 'preserve' WHEN n >= 5 AND top >= 0.8 THEN 'review' ELSE 'merge' END AS action,
-  CASE WHEN variant = 'red widget' THEN 'L0' WHEN regexp_matches(variant, '\\bshiny\\b') THEN 'L1_pattern' WHEN variant = 'small gear' THEN 'L1_override' WHEN n >= 20 THEN 'L2' ELSE 'L3' END AS layer FROM j""", JSD)
+#: Null levels of the gate's query: none for some variants, so that the floor alone decides there.
+NULLS = "CASE WHEN starts_with(variant, 'old') THEN 0.0 WHEN starts_with(variant, 'hot') THEN bits / 1.4 ELSE 0.0005 END"
+
+
+def _judged(s, d):
+    bits, v = F.col("jsd_bits"), F.col("variant")
+    null = F.when(F.startswith(v, F.lit("old")), 0.0).when(F.startswith(v, F.lit("hot")), bits / 1.4).otherwise(0.0005)
+    return _evidence(s, d).withColumn("null95_bits", null)
+
+
+@query("merge_gate_decision", rf"""SELECT variant, CASE WHEN variant = 'red widget' THEN 'preserve' WHEN regexp_matches(variant, '\bnew\b') OR variant = 'small gear' THEN 'merge'
+  WHEN n >= 20 AND (bits BETWEEN 0.06 AND 0.08 OR (z > 0 AND bits / z BETWEEN 1.3 AND 1.7)) THEN 'review' WHEN n >= 20 AND bits >= 0.07 AND bits >= 1.5 * z THEN 'preserve' WHEN n >= 20 THEN 'merge'
+  WHEN regexp_matches(variant, '\bblue\b') THEN 'preserve' WHEN n >= 5 AND top >= 0.8 THEN 'review' ELSE 'merge' END AS action,
+  CASE WHEN variant = 'red widget' THEN 'do_not_merge_exception' WHEN regexp_matches(variant, '\bnew\b') THEN 'always_merge_lexicon' WHEN variant = 'small gear' THEN 'forced_merge_override' WHEN n >= 20 THEN 'statistical_gate'
+    WHEN regexp_matches(variant, '\bblue\b') THEN 'named_variety_lexicon' WHEN n >= 5 AND top >= 0.8 THEN 'small_sample_review' ELSE 'small_sample_default' END AS layer FROM (SELECT *, {NULLS} AS z FROM j)""", JSD)
 def _(s, d):
-    x = _evidence(s, d).withColumn("ratio", F.col("jsd_bits") / F.lit(0.0005))
     top = F.get("variant_top", F.lit(0))["share"]
-    return x.select("variant", divergence.decide(F.col("variant"), F.col("variant_count"), F.col("jsd_bits"), F.col("ratio"), top, GATE).alias("g")).select("variant", "g.action", "g.layer")
+    g = divergence.decide(F.col("variant"), F.col("variant_count"), F.col("jsd_bits"), F.col("null95_bits"), top, GATE)
+    return _judged(s, d).select("variant", g.alias("g")).select("variant", "g.action", "g.layer")
 
 
-@query("candidate_pairs", "SELECT item AS variant, noun AS base FROM items JOIN (SELECT grp FROM gb GROUP BY grp HAVING count(DISTINCT basket_id) >= 4) c ON c.grp = item JOIN (SELECT grp FROM gb GROUP BY grp HAVING count(DISTINCT basket_id) >= 4) e ON e.grp = noun WHERE split_part(item, ' ', 1) IN ('blue', 'red', 'shiny', 'small')", GROUPS)
+@query("merge_verdict", f"SELECT variant, CASE WHEN n < 20 THEN 'review' WHEN bits >= 0.07 AND bits >= 1.5 * z THEN 'preserve' ELSE 'merge' END AS verdict FROM (SELECT *, {NULLS} AS z FROM j)", JSD)
+def _(s, d):
+    return _judged(s, d).select("variant", divergence.verdict(F.col("jsd_bits"), F.col("null95_bits"), F.col("variant_count")).alias("verdict"))
+
+
+@query("candidate_pairs", "SELECT item AS variant, noun AS base FROM items JOIN (SELECT grp FROM gb GROUP BY grp HAVING count(DISTINCT basket_id) >= 4) c ON c.grp = item JOIN (SELECT grp FROM gb GROUP BY grp HAVING count(DISTINCT basket_id) >= 4) e ON e.grp = noun WHERE split_part(item, ' ', 1) IN ('blue', 'red', 'new', 'small')", GROUPS)
 def _(s, d):
     counts = vocabulary.group_counts(mentions(s, d).join(labels(s, d), "basket_id", "left_semi"), _members(s, d))
-    return vocabulary.candidate_pairs(counts, {"blue", "red", "shiny", "small"})
+    return vocabulary.candidate_pairs(counts, {"blue", "red", "new", "small"})
 
 
 @query("clean_text", f"SELECT doc_id, CASE WHEN regexp_matches(c, '\\p{{L}}') THEN c END AS cleaned FROM (SELECT doc_id, {CLEAN.format(x='text')} AS c FROM documents)")
@@ -311,43 +364,82 @@ def _(s, d):
     return _items(s, d).select("item", T.strip_modifiers(F.col("item"), MODIFIERS).alias("stripped"))
 
 
-@query("brand_first_match", "SELECT item, CASE WHEN item = 'red widget' THEN 'red widget' WHEN split_part(item, ' ', 1) = 'red' THEN 'red goods' WHEN noun = 'widget' THEN 'widget' END AS generic FROM items")
+@query("brand_first_match", f"SELECT item, {GENERIC.format(x='item')} AS generic FROM items")
 def _(s, d):
     return _items(s, d).select("item", T.brand_generic(F.col("item"), BRANDS).alias("generic"))
 
 
+#: Quantities before and behind an item, as they leak from lists.
+AMOUNTS = ("2 1/2 to 3 lb. {}", "8 ounc {}", "(14.5 oz.) {}", "(2 lb.) {}", "1% {}", "{}, 1 inch thick", "3 inches {}", "12 {}")
+
+
+@query("strip_quantities", """SELECT item, i, CASE i WHEN 0 THEN item WHEN 1 THEN item WHEN 2 THEN '  ' || item WHEN 3 THEN '(2 lb.) ' || item WHEN 4 THEN '1% ' || item
+  WHEN 5 THEN item || ', 1 inch thick' WHEN 6 THEN item ELSE '12 ' || item END AS stripped FROM items, (SELECT unnest(range(8)) AS i)""")
+def _(s, d):
+    x = _items(s, d)
+    texts = F.array(*(F.replace(F.lit(a), F.lit("{}"), F.col("item")) for a in AMOUNTS))
+    return x.select("item", F.posexplode(texts).alias("i", "text")).select("item", F.col("i").cast("long").alias("i"), T.strip_quantities(F.col("text")).alias("stripped"))
+
+
+@query("punctuation_fold", r"SELECT doc_id, trim(regexp_replace(translate(translate(replace(text, '&', ' and '), chr(39), ''), '-,.()!/', '       '), '\s+', ' ', 'g')) AS folded FROM documents")
+def _(s, d):
+    folded = T.collapse_whitespace(T.punctuation_to_space(T.delete_apostrophes(T.ampersand_to_and(F.col("text")))))
+    return _read(s, d, "documents").select("doc_id", folded.alias("folded"))
+
+
 @query("slugify", "SELECT item, replace(item, ' ', '_') AS slug, replace(item, ' ', '_') || '__vs__' || noun AS decision_id FROM items")
 def _(s, d):
     return _items(s, d).select("item", T.slug(F.col("item")).alias("slug"), T.decision_id(F.col("item"), _noun(F.col("item"))).alias("decision_id"))
 
 
-@query("resolve_tiered", "SELECT * FROM res", VOC)
+@query("resolve_tiered", "SELECT * FROM res", RES)
 def _(s, d):
     return _resolved(s, d)
 
 
-@query("resolution_statistics", """SELECT m.method, coalesce(c.n, 0) AS mentions, round(coalesce(c.n, 0) / (SELECT count(*) FROM mentions), 4) AS share
-  FROM (SELECT unnest(['exact_alias', 'cleaned_form', 'modifier_strip', 'brand_generic', 'token_drop', 'unresolved']) AS method) m LEFT JOIN (SELECT method, count(*) AS n FROM mentions JOIN rm USING (item) GROUP BY ALL) c USING (method)""", RM)
+@query("token_drop_candidates", "SELECT * FROM cand", RES)
+def _(s, d):
+    r = _resolver(s, d)
+    keys = r._keys(_asked(s, d))
+    left = keys.join(r._early(keys), "item", "left_anti")
+    return r.token_drop_candidates(left).withColumns({"n_dropped": F.col("n_dropped").cast("long"), "dropped": F.array_join("dropped", " ")})
+
+
+@query("gate_bad_resolution", "SELECT item, id, method FROM (SELECT item, CASE WHEN item LIKE 'zz%' THEN NULL ELSE id END AS id, method FROM res) WHERE (id IS NULL) <> (method = 'unresolved')", RES)
+def _(s, d):
+    spoiled = _resolved(s, d).withColumn("id", F.when(~F.startswith("item", F.lit("zz")), F.col("id")))
+    return resolver.bad_resolutions(spoiled).select("item", "id", "method")
+
+
+@query("resolution_statistics", "SELECT * FROM stats", STATS)
+def _(s, d):
+    return resolver.resolution_statistics(_noisy(s, d), _resolved_mentions(s, d))
+
+
+@query("coverage_summary", """SELECT sum(mentions)::BIGINT AS mentions_total, round(sum(mentions) FILTER (method NOT IN ('token_drop_match', 'unresolved')) / sum(mentions), 4) AS alias_tier_coverage,
+  round(sum(mentions) FILTER (method <> 'unresolved') / sum(mentions), 4) AS full_chain_coverage FROM stats""", STATS)
 def _(s, d):
-    return resolver.resolution_statistics(mentions(s, d), _resolved_mentions(s, d))
+    return resolver.coverage_summary(resolver.resolution_statistics(_noisy(s, d), _resolved_mentions(s, d)))
 
 
-@query("top_unresolved", "SELECT item, count(*) AS mentions FROM mentions WHERE item NOT IN (SELECT item FROM items WHERE split_part(item, ' ', 1) IN ('blue', 'red')) GROUP BY ALL ORDER BY mentions DESC, item LIMIT 50")
+@query("top_unresolved", "SELECT item, count(*) AS mentions FROM noisy JOIN res USING (item) WHERE id IS NULL GROUP BY ALL ORDER BY mentions DESC, item LIMIT 50", RM)
 def _(s, d):
-    known = _resolved_mentions(s, d).withColumn("id", F.when(F.col("method") == "exact_alias", F.col("id")))
-    return resolver.top_unresolved(mentions(s, d), known)
+    return resolver.top_unresolved(_noisy(s, d), _resolved_mentions(s, d))
 
 
-@query("alias_histogram", "SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' ELSE '21+' END AS bucket, count(*) AS groups FROM (SELECT id, count(*) AS n FROM rm GROUP BY ALL) GROUP BY 1", RM)
+@query("merge_group_histogram", """SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 5 THEN '2-5' WHEN n <= 10 THEN '6-10' WHEN n <= 20 THEN '11-20' ELSE '21+' END AS bucket, count(*) AS groups
+  FROM (SELECT id, count(*) AS n FROM res WHERE id IS NOT NULL GROUP BY ALL) GROUP BY 1""", RM)
 def _(s, d):
-    return resolver.alias_histogram(_resolved_mentions(s, d).groupBy("id").agg(F.count("*").alias("n")))
+    return resolver.alias_histogram(_resolved_mentions(s, d).filter("id is not null").groupBy("id").agg(F.count("*").alias("n")))
 
 
-@query("stage_baskets", """SELECT l.basket_id, l.label, coalesce(a.ids, '') AS item_ids, coalesce(c.n, 0) AS raw_count FROM labels l
-  LEFT JOIN (SELECT basket_id, string_agg(id, ',' ORDER BY pos, id) AS ids FROM (SELECT basket_id, id, min(pos) AS pos FROM mentions JOIN rm USING (item) GROUP BY ALL) GROUP BY ALL) a USING (basket_id)
-  LEFT JOIN (SELECT basket_id, count(*) AS n FROM mentions GROUP BY ALL) c USING (basket_id)""", RM)
+@query("stage_baskets", """SELECT l.basket_id, l.label, coalesce(a.ids, '') AS item_ids, coalesce(u.rest, '') AS unresolved, coalesce(c.n, 0) AS raw_count FROM labels l
+  LEFT JOIN (SELECT basket_id, string_agg(id, ',' ORDER BY pos, id) AS ids FROM (SELECT basket_id, id, min(pos) AS pos FROM noisy JOIN res USING (item) WHERE id IS NOT NULL GROUP BY ALL) GROUP BY ALL) a USING (basket_id)
+  LEFT JOIN (SELECT basket_id, string_agg(item, ',' ORDER BY pos, item) AS rest FROM noisy JOIN res USING (item) WHERE id IS NULL GROUP BY ALL) u USING (basket_id)
+  LEFT JOIN (SELECT basket_id, count(*) AS n FROM noisy GROUP BY ALL) c USING (basket_id)""", RM)
 def _(s, d):
-    return resolver.stage(mentions(s, d), labels(s, d), _resolved_mentions(s, d)).select("basket_id", "label", _join("item_ids").alias("item_ids"), "raw_count")
+    out = resolver.stage(_noisy(s, d), labels(s, d), _resolved_mentions(s, d))
+    return out.select("basket_id", "label", _join("item_ids").alias("item_ids"), _join("unresolved").alias("unresolved"), "raw_count")
 
 
 @query("feature_space", "SELECT * FROM space", SPACE)
@@ -487,12 +579,6 @@ def _(s, d):
     return gates.shared_alias(_items(s, d).select(F.col("item").alias("id"), _noun(F.col("item")).alias("alias")))
 
 
-@query("gate_bad_parent", "SELECT NULL::VARCHAR AS id, NULL::VARCHAR AS parent_id WHERE false")
-def _(s, d):
-    x = _items(s, d).select(F.col("item").alias("id"), _noun(F.col("item")).alias("parent_id"))
-    return gates.bad_parent(x.union(x.select("parent_id", F.lit(None).cast("string")).distinct()))
-
-
 @query("gate_uncovered", "SELECT item, n FROM (SELECT item, count(DISTINCT basket_id) AS n FROM mentions GROUP BY item HAVING n >= 4) WHERE split_part(item, ' ', 1) NOT IN ('blue', 'red')")
 def _(s, d):
     return gates.uncovered(mentions(s, d), _vocabulary(s, d).select("id", F.explode("aliases.alias").alias("alias")))
@@ -503,16 +589,6 @@ def _(s, d):
     return gates.unknown_key(labels(s, d), "basket_id", mentions(s, d), "basket_id")
 
 
-@query("gate_fold_spread", "SELECT NULL::VARCHAR AS label, NULL::BIGINT AS spread WHERE false")
-def _(s, d):
-    return gates.fold_spread(_balance(s, d))
-
-
-@query("gate_share_sum", "SELECT NULL::BIGINT AS basket_id, NULL::DOUBLE AS total WHERE false")
-def _(s, d):
-    return gates.share_sum(_shares(s, d))
-
-
 @query("gate_repeated_items", "SELECT basket_id FROM mentions GROUP BY basket_id HAVING count(*) > count(DISTINCT item)")
 def _(s, d):
     return gates.repeated_in_row(mentions(s, d).groupBy("basket_id").agg(F.collect_list("item").alias("items")), "basket_id", "items")
@@ -530,18 +606,16 @@ def _(s, d):
 
 @query("vocabulary_build")
 def _(s, d):
-    m, l = mentions(s, d), labels(s, d)
-    members = vocabulary.group_mechanically(_items(s, d).union(_items(s, d).select(_noun(F.col("item")))), python=False)
-    members, frozen = vocabulary.reduce_groups(m, members, MODIFIERS, Brands(), gate=GATE)
-    pairs = vocabulary.candidate_pairs(vocabulary.group_counts(m, members), {"blue", "red", "shiny", "small"})
-    members, kept, _ = vocabulary.apply_outcomes(pairs, m, l, members, GATE)
-    out = vocabulary.compile_vocabulary(m, members, vocabulary.representatives(m, members, frozen), kept)
+    train = mentions(s, d).groupBy("basket_id").agg(F.collect_list("item").alias("items")).join(labels(s, d), "basket_id").select(F.col("basket_id").alias("id"), "label", "items")
+    nouns = train.select(F.col("id") + 10_000_000, "label", F.array_distinct(F.transform("items", _noun)))
+    lexicons = Lexicons(modifiers=MODIFIERS, gate=GATE, variant_tokens=frozenset({"red", "cold"}))
+    out, _ = builds.vocabulary_build(train.union(nouns), lexicons)
     return out.select("id", "name", "parent_id", "train_mention_count", F.size("aliases").alias("n_aliases"))
 
 
 @query("temperature_fit")
 def _(s, d):
-    t = model.fit_temperature(_nb(s, d), labels(s, d), 40)
+    t = model.fit_temperature(_nb(s, d), labels(s, d))
     return s.createDataFrame([(t,)], "temperature double")
 
 
@@ -550,6 +624,6 @@ def _(s, d):
     l = labels(s, d)
     names = [r[0] for r in l.select("label").distinct().orderBy("label").collect()]
     vectors = model.as_vectors(_matrix(s, d, 0.3), l, _space(s, d).count(), names).cache()
-    coefficients, intercepts = model.parameters(model.fit_logistic(vectors, 1.0, 50), names)
+    coefficients, intercepts = model.parameters(model.fit_logistic(vectors, 1.0), names)
     vectors.unpersist()
     return coefficients.join(intercepts, "label")

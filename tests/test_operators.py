@@ -28,10 +28,11 @@ def test_null_level_shrinks_and_repeats():
 
 def test_gate_layers(spark):
     g = Gate(always_merge=(r"\blite\b",), forced=frozenset({"dark sugar"}), varieties=frozenset({"thai basil"}), never_merge=frozenset({"black rice"}))
-    rows = [("black rice", 50, 0.0, 0.0, 0.1), ("lite milk", 50, 0.5, 9.0, 0.1), ("dark sugar", 50, 0.5, 9.0, 0.1), ("a", 20, 0.07, 9.0, 0.1), ("a", 20, 0.2, 1.5, 0.1), ("a", 20, 0.2, 2.0, 0.1), ("a", 20, 0.01, 2.0, 0.1), ("thai basil", 5, 0.0, 0.0, 0.9), ("a", 5, 0.0, 0.0, 0.8), ("a", 4, 0.0, 0.0, 0.9)]
-    df = spark.createDataFrame(rows, "v string, n long, j double, r double, t double")
-    got = [(x.g.action, x.g.layer) for x in df.select(divergence.decide(F.col("v"), F.col("n"), F.col("j"), F.col("r"), F.col("t"), g).alias("g")).collect()]
-    assert got == [("preserve", "L0"), ("merge", "L1_pattern"), ("merge", "L1_override"), ("review", "L2"), ("review", "L2"), ("preserve", "L2"), ("merge", "L2"), ("preserve", "L3"), ("review", "L3"), ("merge", "L3")]
+    rows = [("black rice", 50, 0.0, 0.0, 0.1), ("lite milk", 50, 0.5, 0.01, 0.1), ("dark sugar", 50, 0.5, 0.01, 0.1), ("a", 20, 0.07, 0.001, 0.1), ("a", 20, 0.3, 0.2, 0.1), ("a", 20, 0.2, 0.1, 0.1), ("a", 20, 0.01, 0.005, 0.1), ("a", 50, 0.3, 0.0, 0.1), ("thai basil", 5, 0.0, 0.0, 0.9), ("a", 5, 0.0, 0.0, 0.8), ("a", 4, 0.0, 0.0, 0.9)]
+    df = spark.createDataFrame(rows, "v string, n long, j double, z double, t double")
+    got = [(x.g.action, x.g.layer) for x in df.select(divergence.decide(F.col("v"), F.col("n"), F.col("j"), F.col("z"), F.col("t"), g).alias("g")).collect()]
+    tested = [(x, "statistical_gate") for x in ("review", "review", "preserve", "merge", "preserve")]
+    assert got == [("preserve", "do_not_merge_exception"), ("merge", "always_merge_lexicon"), ("merge", "forced_merge_override"), *tested, ("preserve", "named_variety_lexicon"), ("review", "small_sample_review"), ("merge", "small_sample_default")]
 
 
 def test_vocabulary_passes(spark):
@@ -45,7 +46,7 @@ def test_vocabulary_passes(spark):
     pairs = vocabulary.candidate_pairs(vocabulary.group_counts(m, members), {"dark"})
     assert [tuple(r) for r in pairs.collect()] == [("dark soy sauce", "soy sauce")]
     members, kept, queue = vocabulary.apply_outcomes(pairs, m, l, members, Gate())
-    assert [(r["variant"], r["layer"]) for r in kept.collect()] == [("dark soy sauce", "L2")] and queue.count() == 0
+    assert [(r["variant"], r["layer"]) for r in kept.collect()] == [("dark soy sauce", "statistical_gate")] and queue.count() == 0
     out = {r["id"]: r for r in vocabulary.compile_vocabulary(m, members, vocabulary.representatives(m, members, frozen), kept).collect()}
     assert out["dark_soy_sauce"]["parent_id"] == "soy_sauce" and out["soy_sauce"]["train_mention_count"] == 54
     assert [a["alias"] for a in out["soy_sauce"]["aliases"]] == ["fresh soy sauce", "soy sauce"]
@@ -69,15 +70,25 @@ def test_decisions_need_a_match(spark):
 
 def test_resolver_and_staging(spark):
     v = spark.createDataFrame([("red_pepper", "red pepper", 459, [("red pepper", "s", "", 1)]), ("sauce", "sauce", 50, [("Sauce", "s", "", 1)])], "id string, name string, train_mention_count long, aliases array<struct<alias:string,source:string,rule:string,train_frequency:long>>")
-    m, l = baskets(spark, [(1, "x", ["Red Peppers", "hot red pepper", "red pepper", "???", "zzz qqq"]), (2, "y", [])])
+    m, l = baskets(spark, [(1, "x", ["Red Peppers", "zz hot red pepper", "red pepper", "???", "zzz qqq", "hot pepper"]), (2, "y", [])])
     r = resolver.Resolver(v, Modifiers(tokens=frozenset({"fresh"}), never=frozenset({"hot"}))).resolve(m)
     got = {x["item"]: (x["id"], x["method"], x["dropped"]) for x in r.collect()}
-    assert got == {"Red Peppers": ("red_pepper", "cleaned_form", None), "hot red pepper": ("red_pepper", "token_drop", "hot"), "red pepper": ("red_pepper", "exact_alias", None), "???": (None, "unresolved", None), "zzz qqq": (None, "unresolved", None)}
+    lost = (None, "unresolved", None)
+    assert got == {"Red Peppers": ("red_pepper", "cleaned_match", None), "zz hot red pepper": ("red_pepper", "token_drop_match", "zz hot"), "red pepper": ("red_pepper", "exact_alias", None), "???": lost, "zzz qqq": lost, "hot pepper": lost}
     rows = {x["basket_id"]: x for x in resolver.stage(m, l, r).collect()}
-    assert rows[1]["item_ids"] == ["red_pepper"] and rows[1]["unresolved"] == ["???", "zzz qqq"] and rows[1]["raw_count"] == 5
+    assert rows[1]["item_ids"] == ["red_pepper"] and rows[1]["unresolved"] == ["???", "zzz qqq", "hot pepper"] and rows[1]["raw_count"] == 6
     assert rows[2]["item_ids"] == [] and rows[2]["raw_count"] == 0
 
 
+def test_drops_come_from_the_stripped_key_and_generics_of_both_forms(spark):
+    entry = "id string, name string, train_mention_count long, aliases array<struct<alias:string,source:string,rule:string,train_frequency:long>>"
+    v = spark.createDataFrame([("blue_gear", "blue gear", 9, [("blue gear", "s", "", 1)]), ("widget", "widget", 5, [("widget", "s", "", 1)])], entry)
+    brands = Brands(patterns=((r"\bshiny acme\b", "no such thing"), (r"\bacme\b", "widget")))
+    r = resolver.Resolver(v, Modifiers(tokens=frozenset({"shiny"})), brands).resolve(spark.createDataFrame([("zz shiny blue gears",), ("shiny acme",), ("shiny zz",)], "item string"))
+    got = {x["item"]: (x["id"], x["method"], x["dropped"]) for x in r.collect()}
+    assert got == {"zz shiny blue gears": ("blue_gear", "token_drop_match", "zz"), "shiny acme": ("widget", "brand_resolved_match", None), "shiny zz": (None, "unresolved", None)}
+
+
 def test_features_and_folds(spark):
     v = spark.createDataFrame([("basil", None), ("thai_basil", "basil")], "id string, parent_id string")
     m, l = baskets(spark, [(1, "x", ["thai_basil"]), (2, "x", ["thai_basil", "basil"]), (3, "y", [])])
