@@ -224,7 +224,7 @@ def digest(found: DataFrame) -> DataFrame:
 
     base = F.array_join(F.concat(*(listed(k) for k in KINDS)), ",")
     every = F.array_join(F.concat(*(listed(k) for k in (*KINDS, "term"))), ",")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), F.size("term").cast("long").alias("n_term"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), sum(F.size(k) for k in KINDS).cast("long").alias("n_base"), F.size("term").cast("long").alias("n_term"))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
