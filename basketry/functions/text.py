@@ -173,5 +173,10 @@ def percentage(share: Column, digits: int = 2) -> Column:
     return F.concat(F.format_string(f"%.{digits}f", share * 100), F.lit("%"))
 
 
+def count(value: Column) -> Column:
+    """Whole numbers with a comma at each thousand."""
+    return F.format_number(value, 0)
+
+
 def signed(value: Column, digits: int = 2) -> Column:
     return F.format_string(f"%+.{digits}f", value)

@@ -102,6 +102,12 @@ def top_shares(shares: DataFrame, priors: DataFrame, k: int = TOP) -> DataFrame:
     return ranked.join(priors, "label").select("group", "rank", "label", "share", (F.col("share") / F.col("prior")).alias("lift"))
 
 
+def shown_top(top: Column) -> Column:
+    """Top labels as a line: "label share% (liftx)", or (none)."""
+    line = F.transform(top, lambda x: F.concat(x["label"], F.lit(" "), F.format_string("%.1f", x["share"] * 100), F.lit("% ("), F.format_string("%.1f", x["lift"]), F.lit("x)")))
+    return F.when(F.coalesce(F.size(top), F.lit(0)) > 0, F.array_join(line, ", ")).otherwise("(none)")
+
+
 def label_priors(labels: DataFrame) -> DataFrame:
     total = labels.agg(F.count_distinct("basket_id").alias("all"))  # one row
     counts = labels.groupBy("label").agg(F.count_distinct("basket_id").alias("n"))

@@ -18,7 +18,7 @@ def rounded_bins(bins: DataFrame) -> DataFrame:
 
 def calibration(scores: DataFrame, labels: DataFrame, temperature: float) -> dict:
     """What the temperature does to held-out logits: log loss, calibration error and reliability bins, before and after."""
-    out: dict = {"temperature": temperature, "ece_bin_count": model.BINS, "optimizer": {"iterations": model.STEPS, "log10_range": list(model.LOG_RANGE), "method": "golden_section"}}
+    out: dict = {"temperature": temperature, "ece_bin_count": model.BINS, "optimizer": {"points": model.POINTS, "log10_range": list(model.LOG_RANGE), "method": "multisection"}}
     for phase, t in (("before", 1.0), ("after", temperature)):
         shares = model.softmax(scores, t)
         bins = model.reliability(model.top_label(shares), labels)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,8 +9,10 @@ from pyspark.sql import functions as F
 
 # Fixed values of training and calibration.
 PARENT_WEIGHTS, C_VALUES = (0.0, 0.3, 1.0), (0.1, 0.3, 1.0, 3.0)
-MAX_ITERATIONS, TOLERANCE, STEPS, LOG_RANGE, BINS, FLOOR = 1000, 1e-4, 100, (-2.0, 2.0), 10, 1e-15
+MAX_ITERATIONS, TOLERANCE, LOG_RANGE, BINS, FLOOR = 1000, 1e-4, (-2.0, 2.0), 10, 1e-15
 TOP_CONTRIBUTIONS, TOP_CONFUSIONS = 5, 15
+#: Temperatures that one pass tries.
+POINTS = 15
 
 
 def naive_bayes(matrix: DataFrame, labels: DataFrame, n_features: int, alpha: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -92,30 +93,31 @@ def accuracy_macro_f1(labelled: DataFrame) -> DataFrame:
     return labelled.agg((F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
 
 
-def fit_temperature(scores: DataFrame, labels: DataFrame, steps: int = STEPS) -> float:
-    """Golden section over log10 T. Each step is one pass over a cached compact frame of logits."""
-    compact = scores.groupBy("basket_id").agg(F.collect_list("logit").alias("z")).join(labels.join(scores, ["basket_id", "label"]).select("basket_id", F.col("logit").alias("own")), "basket_id").select("z", "own").cache()
+def fit_temperature(scores: DataFrame, labels: DataFrame, points: int = POINTS) -> float:
+    """The temperature of the least log loss, at six digits.
 
-    def loss(log_t: float) -> float:
-        t = 10.0**log_t
-        top = F.array_max("z")
-        total = F.aggregate(F.col("z"), F.lit(0.0), lambda acc, z: acc + F.exp((z - top) / t))
-        share = F.exp((F.col("own") - top) / t) / total
-        return compact.agg(F.avg(-F.log(F.greatest(share, F.lit(FLOOR))))).first()[0]
+    The loss falls as long as the logit that a softmax at T expects is more than the true label's, on average, and then
+    rises; each pass over a cached compact frame takes that difference at several temperatures at once and keeps the
+    stretch of log10 T in which it changes its sign."""
+    z = scores.groupBy("basket_id").agg(F.collect_list("logit").alias("z"))
+    own = labels.join(scores, ["basket_id", "label"]).select("basket_id", F.col("logit").alias("own"))
+    compact = z.join(own, "basket_id").select("z", "own", F.array_max("z").alias("top")).cache()
+
+    def excess(t: float) -> Column:
+        weight = lambda x: F.exp((x - F.col("top")) / t)
+        add = lambda acc, x: F.struct((acc["n"] + weight(x)).alias("n"), (acc["s"] + weight(x) * x).alias("s"))
+        both = F.aggregate("z", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), add)
+        floored = weight(F.col("own")) < FLOOR * both["n"]  # where the loss doesn't change
+        return F.avg(F.when(floored, 0.0).otherwise(both["s"] / both["n"] - F.col("own")))
 
-    ratio = (math.sqrt(5) - 1) / 2
     low, high = LOG_RANGE
-    a, b = high - ratio * (high - low), low + ratio * (high - low)
-    fa, fb = loss(a), loss(b)
-    for _ in range(steps):
-        if fa < fb:
-            high, b, fb = b, a, fa
-            a = high - ratio * (high - low)
-            fa = loss(a)
-        else:
-            low, a, fa = a, b, fb
-            b = low + ratio * (high - low)
-            fb = loss(b)
+    while high - low > 1e-10:
+        tried = [low + (high - low) * k / (points + 1) for k in range(1, points + 1)]
+        signs = compact.agg(*(excess(10.0**x).alias(str(k)) for k, x in enumerate(tried))).first()
+        falling = [x for x, e in zip(tried, signs, strict=True) if e is not None and e > 0]
+        below = max(falling, default=low)
+        high = min((x for x in tried if x > below), default=high)
+        low = below
     compact.unpersist()
     return round(10.0 ** ((low + high) / 2), 6)
 

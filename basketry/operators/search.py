@@ -44,5 +44,14 @@ def children(links: DataFrame) -> DataFrame:
     return links.filter("parent_id is not null").groupBy("parent_id").agg(F.sort_array(F.collect_list("id")).alias("children"))
 
 
+def family(vocabulary: DataFrame, item: str) -> DataFrame:
+    """(role, id, name, mentions, evidence): an item's parent, itself, its siblings and its children, as its page shows them."""
+    x = vocabulary.select("id", "name", "parent_id", F.col("train_mention_count").alias("mentions"), F.col("preserve_evidence").alias("evidence"))
+    own = x.filter(F.col("id") == item).select(F.col("parent_id").alias("_parent"))  # one row
+    both = x.crossJoin(F.broadcast(own))
+    role = F.when(F.col("id") == item, "self").when(F.col("id") == F.col("_parent"), "parent").when(F.col("parent_id") == item, "child").when(F.col("parent_id") == F.col("_parent"), "sibling")
+    return both.withColumn("role", role).filter("role is not null").select("role", "id", "name", "mentions", "evidence")
+
+
 def weakest_recall(per_label: DataFrame, ceiling: float) -> DataFrame:
     return per_label.filter(F.col("recall") < ceiling).orderBy("recall", "label").select("label", "recall")

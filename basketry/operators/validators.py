@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import features, gates, model
 from .gates import Gate
 from .resolver import ALIAS_METHODS, METHODS
-from .vocabulary import ALIAS_SOURCES
+from .vocabulary import ALIAS_SOURCES, compile_statistics
 
 # Fixed values of the gates.
 ALIAS_FLOOR, CHAIN_FLOORS = 0.988, {"train": 0.990, "test": 0.985}
@@ -55,6 +55,12 @@ def vocabulary_gates(vocabulary: DataFrame) -> list[Gate]:
     ]
 
 
+def compiled_gates(vocabulary: DataFrame, mentions: DataFrame, floor: float = ALIAS_FLOOR) -> list[Gate]:
+    """What a vocabulary has to hold right after it was compiled from mentions."""
+    covered = compile_statistics(mentions, vocabulary).filter(F.col("coverage_ratio") < floor)
+    return [*vocabulary_gates(vocabulary), Gate("aliases cover the mentions", covered)]
+
+
 def staged_gates(staged: DataFrame, vocabulary: DataFrame, expected: int | None, names: Iterable[str] | None) -> list[Gate]:
     """staged(basket_id, label, item_ids, unresolved, raw_count); names are the labels of a labelled split, None of one without."""
     known = F.col("label").isin(list(names)) if names is not None else F.col("label").isNull()

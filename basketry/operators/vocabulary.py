@@ -273,6 +273,16 @@ def roots(links: DataFrame, rounds: int = 20) -> DataFrame:
     raise ValueError("links go round in a circle")
 
 
+def compile_statistics(mentions: DataFrame, compiled: DataFrame) -> DataFrame:
+    """One row: ids, aliases and parent links of a compiled vocabulary, and how many (basket, item) mentions its aliases cover."""
+    pairs = mentions.select("basket_id", "item").distinct()
+    known = compiled.select(F.explode("aliases.alias").alias("item")).distinct().withColumn("known", F.lit(1))
+    covered = pairs.join(known, "item", "left").agg(F.count("known").alias("covered_mention_count"), F.count("*").alias("total_mention_count"))
+    sizes = compiled.agg(F.count("*").alias("ingredient_count"), F.coalesce(F.sum(F.size("aliases")), F.lit(0)).cast("long").alias("alias_count"), F.count("parent_id").alias("parent_link_count"))
+    ratio = F.coalesce(F.try_divide("covered_mention_count", "total_mention_count"), F.lit(0.0))
+    return sizes.crossJoin(F.broadcast(covered)).withColumn("coverage_ratio", ratio)  # one row each
+
+
 def compile_vocabulary(mentions: DataFrame, members: DataFrame, names: DataFrame, preserved: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The stored vocabulary: groups in scope with slug, name, root parent, evidence and aliases by string."""
     seen = mentions.select("basket_id", "item").distinct().groupBy("item").agg(F.count("*").alias("train_frequency"))

@@ -71,7 +71,7 @@ def silver(spark: SparkSession, train: DataFrame, test: DataFrame, lexicons: Lex
     names = sorted(lexicons.families)
     gates.run(
         [
-            *validators.vocabulary_gates(vocab),
+            *validators.compiled_gates(vocab, readers.mentions_of(train), alias_floor),
             *validators.staged_gates(tables["baskets_train"], vocab, None, names),
             *validators.staged_gates(tables["baskets_test"], vocab, None, None),
             *validators.statistics_gates(tables["statistics"], totals, tables["unresolved"], floors, alias_floor),
@@ -117,7 +117,7 @@ def neighbour_similarity(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("label").alias("truth"), F.explode("neighbours").alias("n")).select("truth", F.col("n.id").alias("predicted"), "n.similarity")
 
 
-def train(spark: SparkSession, gold_folder: str, silver_folder: str, folder: str, weights: Iterable[float] = model.PARENT_WEIGHTS, cs: Iterable[float] = model.C_VALUES, max_iterations: int = model.MAX_ITERATIONS, steps: int = model.STEPS) -> dict:
+def train(spark: SparkSession, gold_folder: str, silver_folder: str, folder: str, weights: Iterable[float] = model.PARENT_WEIGHTS, cs: Iterable[float] = model.C_VALUES, max_iterations: int = model.MAX_ITERATIONS) -> dict:
     """Grid search, temperature, final fit, blends of the test split and the evaluation; returns the build's constants."""
     inputs = artifacts.load_gold_model_inputs(spark, gold_folder, silver_folder)
     labels = inputs.rows_train.select("basket_id", "label")
@@ -130,7 +130,7 @@ def train(spark: SparkSession, gold_folder: str, silver_folder: str, folder: str
     model.out_of_fold(vectors, names, c, max_iterations).select("basket_id", "label", "logit").write.mode("overwrite").parquet(f"{folder}/out_of_fold")
     vectors.unpersist()
     scores = spark.read.parquet(f"{folder}/out_of_fold")
-    temperature = model.fit_temperature(scores, labels, steps)
+    temperature = model.fit_temperature(scores, labels)
     calibrated = evaluation.calibration(scores, labels, temperature)
     similarity = neighbour_similarity(inputs.taxonomy)
     judged = evaluation.evaluate(scores, labels, inputs.folds, temperature, similarity)

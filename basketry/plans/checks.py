@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import evaluation, exports, features, gates, model, predict, search, validators, vocabulary
+from ..streaming import scorer
 from . import queries as q
 from .queries import FOLD, SCORE, SPACE, R, matrix_sql, query
 
@@ -216,3 +217,33 @@ def _(s, d):
     found = q._evidence(s, d).select("variant", "base", "variant_count", "jsd_bits", "null95_bits", "jsd_to_null_ratio", "variant_top", "base_top")
     out = vocabulary.review_entries(found, q.mentions(s, d), members)
     return out.select("variant", "base", "variant_count", "jsd_bits", q._join("example_ids").alias("example_ids"))
+
+
+@query("compile_statistics", """SELECT (SELECT count(*) FROM voc) AS ingredient_count, (SELECT count(*) FROM voc) AS alias_count, 0 AS parent_link_count, count(*) FILTER (item IN (SELECT id FROM voc)) AS covered_mention_count,
+  count(*) AS total_mention_count, round(count(*) FILTER (item IN (SELECT id FROM voc)) / count(*), 6) AS coverage_ratio FROM (SELECT DISTINCT basket_id, item FROM mentions)""", q.RES)
+def _(s, d):
+    out = vocabulary.compile_statistics(q.mentions(s, d), q._vocabulary(s, d).withColumn("parent_id", F.lit(None).cast("string")))
+    return out.withColumns({"parent_link_count": F.col("parent_link_count").cast("int"), "coverage_ratio": R("coverage_ratio", 6)})
+
+
+@query("stream_scores", "SELECT basket_id, label, round(share, 6) AS share FROM share", SCORE)
+def _(s, d):
+    space = {r["index"]: r for r in q._space(s, d).collect()}  # the queries' model: a few dozen items
+    weights: dict[str, dict[str, float]] = {}
+    for r in q._coefficients(s, d).collect():
+        weights.setdefault(r["label"], {})[space[r["index"]]["id"]] = float(r["coefficient"])
+    intercepts = {r["label"]: float(r["intercept"]) for r in q._intercepts(s, d).collect()}
+    parents = {r["id"]: space[r["parent_index"]]["id"] for r in space.values() if r["parent_index"] is not None}
+    items = q.mentions(s, d).groupBy("basket_id").agg(F.collect_list("item").alias("items"))
+    baskets = q.labels(s, d).join(items, "basket_id", "left").select(F.col("basket_id").alias("id"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items"))
+    scored = scorer.label_scores(baskets, weights, intercepts, 2.0, parents, 0.3)
+    return scored.select(F.col("id").alias("basket_id"), F.explode("shares").alias("label", "share")).withColumn("share", R("share", 6))
+
+
+@query("item_family", """SELECT CASE WHEN id = 'red gear' THEN 'self' WHEN id = 'gear' THEN 'parent' ELSE 'sibling' END AS role, id, length(id)::BIGINT AS mentions FROM (SELECT item AS id FROM items WHERE noun = 'gear' UNION ALL SELECT 'gear')""")
+def _(s, d):
+    x = q._items(s, d)
+    nothing = F.lit(None).cast("string")
+    v = x.select(_item().alias("id"), _noun().alias("parent_id")).union(x.select(_noun(), nothing).distinct())
+    v = v.select("id", F.col("id").alias("name"), "parent_id", F.length("id").cast("long").alias("train_mention_count"), nothing.alias("preserve_evidence"))
+    return search.family(v, "red gear").select("role", "id", "mentions")

@@ -627,3 +627,13 @@ def _(s, d):
     coefficients, intercepts = model.parameters(model.fit_logistic(vectors, 1.0), names)
     vectors.unpersist()
     return coefficients.join(intercepts, "label")
+
+
+@query("lr_fit_metrics")
+def _(s, d):
+    l = labels(s, d)
+    names = [r[0] for r in l.select("label").distinct().orderBy("label").collect()]
+    coefficients, intercepts = model.train_final(lambda w: _matrix(s, d, w), l, _space(s, d).count(), names, 1.0, 0.3)
+    shares = model.softmax(model.logits(_matrix(s, d), l, coefficients, intercepts))
+    scored = model.accuracy_macro_f1(model.per_label(model.top_label(shares), l))
+    return scored.crossJoin(F.broadcast(model.log_loss(shares, l))).select(*(R(c, 6).alias(c) for c in ("accuracy", "macro_f1", "log_loss")))

@@ -8,24 +8,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def label_scores(baskets: DataFrame, coefficients: dict[str, dict[str, float]], intercepts: dict[str, float], temperature: float = 1.0) -> DataFrame:
-    """baskets(id, items) with a map of label shares, from literals alone; works on streams and batches alike.
+def label_scores(baskets: DataFrame, coefficients: dict[str, dict[str, float]], intercepts: dict[str, float], temperature: float = 1.0, parents: dict[str, str] | None = None, parent_weight: float = 0.0) -> DataFrame:
+    """baskets(id, items) with a map of label shares, from literals alone; works on streams and batches alike. Parents
+    that aren't there themselves count with parent_weight.
 
     The model is the size of its lexicon and travels in the plan; each row is scored without a shuffle."""
     names = sorted(intercepts)
+    own = F.array_sort(F.array_distinct("items"))
+    above = None
+    if parents and parent_weight > 0:
+        up = F.create_map(*(F.lit(x) for kv in sorted(parents.items()) for x in kv))
+        above = F.array_sort(F.array_except(F.array_compact(F.array_distinct(F.transform(own, lambda i: F.try_element_at(up, i)))), own))
     logit = []
     for label in names:
         table = coefficients.get(label) or {"": 0.0}
         weights = F.create_map(*(F.lit(x) for kv in sorted(table.items()) for x in kv))
-        logit.append(_folded(weights, intercepts[label]) / temperature)
+        total = _folded(own, weights, F.lit(float(intercepts[label])), 1.0)
+        logit.append((total if above is None else _folded(above, weights, total, parent_weight)) / temperature)
     z = F.array(*logit)
     e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
     whole = F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x)
     return baskets.select("id", F.map_from_arrays(F.array(*map(F.lit, names)), F.transform(e, lambda x: x / whole)).alias("shares"))
 
 
-def _folded(weights, intercept: float):
-    return F.aggregate(F.array_sort(F.array_distinct("items")), F.lit(float(intercept)), lambda acc, i: acc + F.coalesce(F.try_element_at(weights, i), F.lit(0.0)))
+def _folded(items, weights, start, value: float):
+    return F.aggregate(items, start, lambda acc, i: acc + value * F.coalesce(F.try_element_at(weights, i), F.lit(0.0)))
 
 
 def score_stream(source: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, score: Callable[[DataFrame], DataFrame]):

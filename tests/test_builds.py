@@ -1,5 +1,6 @@
 """The four builds one after another on a small corpus, their gates on spoiled tables, and what is read back."""
 
+import math
 import random
 
 import pytest
@@ -27,7 +28,7 @@ def built(spark, tmp_path_factory):
     floors = {"train": 0.9, "test": 0.9}
     build = builds.silver(spark, spark.createDataFrame(train, schema), spark.createDataFrame(test, schema), lexicons, f"{at}/silver", floors=floors, alias_floor=0.9)
     builds.gold(spark, f"{at}/silver", f"{at}/gold")
-    constants = builds.train(spark, f"{at}/gold", f"{at}/silver", f"{at}/model", weights=(0.0, 0.3), cs=(1.0,), max_iterations=20, steps=10)
+    constants = builds.train(spark, f"{at}/gold", f"{at}/silver", f"{at}/model", weights=(0.0, 0.3), cs=(1.0,), max_iterations=20)
     recipes = [("nothing", True, ()), ("thai one", True, ("fish_sauce", "lime", "not_a_real_item"))]
     builds.app(spark, f"{at}/model", f"{at}/gold", f"{at}/silver", f"{at}/app", recipes)
     return at, build, constants, lexicons
@@ -168,9 +169,17 @@ def test_lexicon_folder(tmp_path):
     assert found.families == {"thai": "asian"} and found.aliases == {"dri basil": "dried basil"} and found.variant_tokens == {"dark"}
 
 
-def test_golden_section_finds_the_temperature(spark):
-    scores = spark.createDataFrame([(i, x, z) for i in range(8) for x, z in (("a", 2.0 * (i % 4 != 0)), ("b", 1.0))], "basket_id long, label string, logit double")
-    labels = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(8)], "basket_id long, label string")
-    t = model.fit_temperature(scores, labels, 12)
-    loss = lambda t: model.log_loss(model.softmax(scores, t), labels).first()[0]
-    assert 0.01 <= t <= 100 and loss(t) <= min(loss(1.0), loss(10.0)) + 1e-3
+def test_the_temperature_is_that_of_the_golden_section(spark):
+    r = random.Random(3)
+    z = {i: [r.gauss(0, 3) for _ in range(4)] for i in range(40)}
+    own = {i: max(range(4), key=lambda k: z[i][k] + r.gauss(0, 4)) for i in z}
+    scores = spark.createDataFrame([(i, "abcd"[k], x) for i, row in z.items() for k, x in enumerate(row)], "basket_id long, label string, logit double")
+    labels = spark.createDataFrame([(i, "abcd"[k]) for i, k in own.items()], "basket_id long, label string")
+    loss = lambda x: sum(math.log(sum(math.exp(v / 10**x) for v in z[i])) - z[i][own[i]] / 10**x for i in z)
+    low, high, ratio = -2.0, 2.0, (math.sqrt(5) - 1) / 2
+    for _ in range(60):
+        a, b = high - ratio * (high - low), low + ratio * (high - low)
+        low, high = (low, b) if loss(a) < loss(b) else (a, high)
+    assert model.fit_temperature(scores, labels) == pytest.approx(10 ** ((low + high) / 2), abs=5e-6)
+    sure = spark.createDataFrame([(i, "abcd"[max(range(4), key=lambda k: z[i][k])]) for i in z], "basket_id long, label string")
+    assert model.fit_temperature(scores, sure) == 0.01

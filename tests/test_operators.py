@@ -52,6 +52,29 @@ def test_vocabulary_passes(spark):
     assert [a["alias"] for a in out["soy_sauce"]["aliases"]] == ["fresh soy sauce", "soy sauce"]
 
 
+def test_three_outcomes_of_the_gate(spark):
+    groups = [("dark soy sauce", "thai", 24), ("soy sauce", "chinese", 25), ("soy sauce", "italian", 25), ("sweet soy sauce", "chinese", 12), ("sweet soy sauce", "italian", 8), ("dark hot sauce", "thai", 10), ("hot sauce", "mexican", 12)]
+    rows, at = [], 0
+    for item, label, n in groups:
+        rows += [(at + i, label, [item]) for i in range(n)]
+        at += n
+    m, l = baskets(spark, rows)
+    members = vocabulary.group_mechanically(m)
+    pairs = vocabulary.candidate_pairs(vocabulary.group_counts(m, members), {"dark", "sweet"})
+    members, kept, queue = vocabulary.apply_outcomes(pairs, m, l, members, Gate())
+    assert [(r["variant"], r["base"]) for r in kept.collect()] == [("dark soy sauce", "soy sauce")]
+    assert {r["item"]: (r["group"], r["source"]) for r in members.collect()}["sweet soy sauce"] == ("soy sauce", "statistical_gate")
+    entry = vocabulary.review_entries(queue, m, members).first()
+    assert (entry["decision_id"], entry["gate_route"], entry["variant_count"], entry["base_count"], entry["suggested"]) == ("dark_hot_sauce__vs__hot_sauce", "small_sample_review", 10, 12, "merge")
+    assert entry["example_ids"] == [94, 95, 96, 97, 98] and entry["variant_top"][0]["label"] == "thai"
+    decisions = spark.createDataFrame([(entry["decision_id"], "merge_into:soy sauce", "x", "note")], "decision_id string, decision string, decided_by string, note string")
+    done, _ = vocabulary.apply_decisions(members, kept, queue, decisions)
+    assert {r["item"]: (r["group"], r["source"]) for r in done.collect()}["dark hot sauce"] == ("soy sauce", "manual_review")
+    nowhere = decisions.withColumn("decision", F.lit("merge_into:no such group"))
+    with pytest.raises(vocabulary.DecisionError):
+        vocabulary.apply_decisions(members, kept, queue, nowhere)
+
+
 def test_moves_are_replayed_in_order():
     gone, frozen = vocabulary.replay_moves([("a", "b", None, "s"), ("b", "c", None, "s"), ("d", "a", None, "s"), ("e", "x", "gen x", "brand")], {"a": "A", "b": "B", "c": "C", "d": "D", "e": "E"})
     assert gone == {"a": ("b", "s"), "b": ("c", "s"), "e": ("x", "brand")}
