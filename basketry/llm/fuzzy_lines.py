@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .near_dup import connect, sketch
 from .runtime import blocks, discard, materialise, numbered, partitions, prepare, release, table, utf8
-from .textscan import _BASE, LOWER, mix, per_text_unique, span_hashes, word_bounds
+from .textscan import _BASE, LOWER, mix, per_text_unique, span_hashes
 
 _U = np.uint64
 #: Characters of a shingle, and the similarity of linked lines in percent.
@@ -24,10 +24,9 @@ LOCAL_KEYS = 64
 #: Bytes of text that are scanned at once: arrays that stay in a core's cache and needn't be mapped anew.
 SCAN_BYTES = 1 << 20
 _LAST_ID = (1 << 63) - 1
-#: Bytes with A-Z in lower case and the white space within a line as a space; the byte that ends a line.
-_NORMAL, _NEWLINE = LOWER.copy(), np.zeros(256, bool)
+#: Bytes with A-Z in lower case and the white space within a line as a space.
+_NORMAL = LOWER.copy()
 _NORMAL[[9, 11, 12, 13]] = 32
-_NEWLINE[10] = True
 
 
 def normal(line: str) -> str:
@@ -49,32 +48,36 @@ class Lines:
 
     def __init__(self, texts: pa.ChunkedArray):
         data, offsets = utf8(texts)
-        data = _NORMAL[data]
-        white = data == 32
-        start = np.zeros(len(data) + 1, bool)
-        start[offsets] = True
-        keep = ~white
-        keep[1:] |= white[1:] & ~white[:-1] & ~start[1:-1] & (data[:-1] != 10)
-        data, offsets = self._compress(data, offsets, keep)
-        end = np.zeros(len(data) + 1, bool)
-        end[offsets] = True
-        if len(data):
-            last = np.append(data[1:] == 10, True) | end[1:]
-            data, offsets = self._compress(data, offsets, ~((data == 32) & last))
-        starts, ends, bounds = word_bounds(data, offsets, _NEWLINE)
-        self.text = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-        newlines = np.concatenate(([0], np.cumsum(data == 10, dtype=np.int32)))
-        self.number = newlines[starts] - newlines[offsets[self.text]] if len(starts) else np.zeros(0, np.int64)
+        data, offsets = self._single_spaces(_NORMAL[data], offsets)
+        newlines = np.flatnonzero(data == 10)
+        starts, ends = np.sort(np.concatenate([offsets[:-1], newlines + 1])), np.sort(np.concatenate([newlines, offsets[1:]]))
+        full = ends > starts
+        starts, ends = starts[full], ends[full]
+        self.text = np.searchsorted(offsets, starts, side="right") - 1
+        self.number = np.searchsorted(newlines, starts) - np.searchsorted(newlines, offsets[self.text])
         self.hash = span_hashes(data, starts, ends)
         self.points = _points(data.tobytes())
         if len(self.points) < len(data):  # bytes to characters
-            before = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
-            starts, ends = before[starts], before[ends]
+            inner = np.flatnonzero((data & 0xC0) == 0x80)
+            starts, ends = starts - np.searchsorted(inner, starts), ends - np.searchsorted(inner, ends)
         self.starts, self.ends = starts, ends
 
     @staticmethod
-    def _compress(data, offsets, keep):
-        return data[keep], np.concatenate(([0], np.cumsum(keep, dtype=np.int32)))[offsets]
+    def _single_spaces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Without the spaces at a line's ends, and with one of each run within."""
+        at = np.flatnonzero(data == 32)
+        if not len(at):
+            return data, offsets
+        edge = np.zeros(len(data) + 1, bool)  # where a line begins; the byte before one is its predecessor's end
+        edge[offsets] = True
+        edge[1:] |= data == 10
+        first = np.append(True, (at[1:] != at[:-1] + 1) | edge[at[1:]])
+        begin = np.flatnonzero(first)
+        finish = np.append(begin[1:], len(at)) - 1
+        after = at[finish] + 1
+        outer = edge[at[begin]] | edge[after] | (data[np.minimum(after, len(data) - 1)] == 10)
+        drop = at[~first | np.repeat(outer, finish - begin + 1)]
+        return np.delete(data, drop), offsets - np.searchsorted(drop, offsets)
 
     def shingles(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shingle hashes of the chosen lines and their bounds; a line shorter than a shingle has one, of the whole."""
@@ -132,13 +135,13 @@ def _scan(n: int):
             yield pa.RecordBatch.from_pylist([{"bucket": -1, "reps": lines.hash.tobytes(), "ids": ids[lines.text].astype(np.int64).tobytes(), "ties": ties[lines.text].tobytes(), "nth": lines.number.astype(np.int32).tobytes()}], schema=schema)
             values, bounds = lines.shingles(chosen)
             values = (values >> _U(32)).astype(np.uint32)
-            rows = []
+            rows, keys, lines_of = [], [], []
             for band in range(BANDS):
                 key = np.full(len(reps), mix(np.array([band + 1], _U))[0])
                 for t in range(TOKENS_OF_BAND):
                     least = np.minimum.reduceat(values ^ _MASKS[band * TOKENS_OF_BAND + t], bounds[:-1])
                     key = mix(key ^ least.astype(_U)) if t else mix(key + least.astype(_U))
-                order = np.lexsort((reps, key))
+                order = np.argsort(key, kind="stable")
                 new = np.append(True, key[order][1:] != key[order][:-1])
                 group = np.cumsum(new) - 1
                 many = np.bincount(group)[group] > LOCAL_KEYS
@@ -146,13 +149,16 @@ def _scan(n: int):
                 sent = order[~many | new]
                 if len(around):
                     rows.append({"bucket": int(reps[around[0]] % _U(n)), "around": True, "keys": key[around].tobytes(), "reps": reps[around].tobytes()})
-                bucket = ((key[sent] >> _U(40)) % _U(n)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[by], np.arange(n + 1))
-                for k in range(n):
-                    own = sent[by[cut[k] : cut[k + 1]]]
-                    if len(own):
-                        rows.append({"bucket": k, "around": False, "keys": key[own].tobytes(), "reps": reps[own].tobytes()})
+                keys.append(key[sent])
+                lines_of.append(reps[sent])
+            key, rep = np.concatenate(keys), np.concatenate(lines_of)
+            bucket = ((key >> _U(40)) % _U(n)).astype(np.int32)
+            by = np.argsort(bucket, kind="stable")
+            key, rep = key[by], rep[by]
+            cut = np.searchsorted(bucket[by], np.arange(n + 1))
+            for k in np.flatnonzero(np.diff(cut)).tolist():
+                own = slice(cut[k], cut[k + 1])
+                rows.append({"bucket": k, "around": False, "keys": key[own].tobytes(), "reps": rep[own].tobytes()})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return run

@@ -427,3 +427,15 @@ def test_what_stays_large_is_compared_in_full(docs, rows, monkeypatch, levels):
     monkeypatch.setattr(near_dup, "NODE_ROWS", 2)
     monkeypatch.setattr(near_dup, "LEVELS", levels)
     assert sorted(map(str, near_dup.near_duplicates(docs).collect())) == want
+
+
+def test_lines_of_a_block_are_the_normal_ones():
+    import pyarrow as pa
+
+    r = random.Random(8)
+    texts = ["".join(r.choice(["a", "B", "é", "𝒳", " ", "  ", "\t", "\n", "\r", "\x0b", "\x1c", "\x85", "z"]) for _ in range(r.randint(0, 40))) for _ in range(400)] + ["", " ", "\n", None, " a", "a ", "  \n a"]
+    lines = fuzzy_lines.Lines(pa.chunked_array([pa.array(texts, pa.string())]))
+    want = [(i, k, m) for i, t in enumerate(texts) for k, x in enumerate((t or "").split("\n")) if (m := fuzzy_lines.normal(x))]
+    got = ["".join(map(chr, lines.points[i:j])) for i, j in zip(lines.starts, lines.ends, strict=True)]
+    assert list(zip(lines.text.tolist(), lines.number.tolist(), got, strict=True)) == want
+    assert all((m == n) == (h == g) for (_, _, m), h in zip(want, lines.hash, strict=True) for (_, _, n), g in zip(want[:50], lines.hash, strict=False))
