@@ -83,11 +83,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def drop_materialised(spark: SparkSession) -> int:
-    """Deletes the tables that materialise() has written; for callers whose results are all stored."""
-    paths = _written.pop(id(spark), [])
+def drop_materialised(spark: SparkSession, keep: DataFrame | None = None) -> int:
+    """Deletes the tables that materialise() has written, but for the one it returned as keep; for callers whose other
+    results are all stored or gone."""
+    kept = _path_of.get(id(keep))
+    paths = [p for p in _written.pop(id(spark), []) if p != kept]
     for path in paths:
         _delete(spark, path)
+    if kept:
+        _written[id(spark)] = [kept]
     return len(paths)
 
 

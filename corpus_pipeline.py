@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and returns a frame that run() writes as
 Parquet and reads again for the next one.
+
+Odd rows: quality rules reject null, empty and short texts (fewer than 50 words), so later stages meet none unless they
+are called by themselves; they keep a null text as it is. Rows with a null id are nobody's near-duplicate and stay;
+rows alike in id and text are one document and go the same way. An empty table gives no rows at every stage.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm import decontam, fuzzy_lines, line_quality, near_dup, packing
-from basketry.llm.runtime import materialise, table
+from basketry.llm.runtime import drop_materialised, materialise, table
 
 #: Near-duplicates of the pipeline share 80 % of their five-word shingles.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -58,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_materialised(spark, docs)  # what the stage wrote on its way
     return docs
 
 

@@ -439,3 +439,21 @@ def test_lines_of_a_block_are_the_normal_ones():
     got = ["".join(map(chr, lines.points[i:j])) for i, j in zip(lines.starts, lines.ends, strict=True)]
     assert list(zip(lines.text.tolist(), lines.number.tolist(), got, strict=True)) == want
     assert all((m == n) == (h == g) for (_, _, m), h in zip(want, lines.hash, strict=True) for (_, _, n), g in zip(want[:50], lines.hash, strict=False))
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = np.random.default_rng(10)
+    own = lambda n: "\n".join(" ".join(f"{WORDS[i]}{int(r.integers(5000))}" for i in r.integers(0, 20, 12)) for _ in range(n // 12))
+    texts = [own(120) for _ in range(4)]
+    rows = [(0, texts[0], "en", "s", 1), (0, texts[0], "en", "s", 1), (1, None, None, None, None), (2, "", "en", "s", 0), (3, " \n\t ", "en", None, 4), (None, texts[1], "en", "s", 1), (None, texts[2], "en", "s", 1), (4, texts[3] + "\n" + "long " * 60_000, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kept in (("odd", rows), ("none", [])):
+        spark.createDataFrame(kept, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(0, "no such passage " * 9), (1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    out = pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {x["doc_id"] for x in out} == {0, None} and sum(x["piece"] == 0 for x in out) == 4
+    assert pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in pipeline.STAGES[:-1]:
+        assert stage(spark, docs, f"{tmp_path}/odd").columns == docs.columns, name
