@@ -108,6 +108,23 @@ def _marked(kind: str):
     return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), by(s).alias("by")))
 
 
+def _replaced(text, marks):
+    """The text with each mark (start, end, by) replaced; of overlapping ones the first that begins counts."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc, s):
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] < acc["at"], acc["out"]).otherwise(out).alias("out"))
+
+    return F.aggregate(F.array_sort(marks), start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def _digest_of(text, kinds):
+    """SHA-256 of the text with the spans of these columns replaced."""
+    marks = F.concat(*map(_marked, kinds))
+    return F.sha2(F.when(F.size(marks) > 0, _replaced(text, marks)).otherwise(text), 256)
+
+
 def _blanked(text, spans):
     """The text with each span replaced by a NUL."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -141,8 +158,8 @@ def _find_in_whole_texts(rows: DataFrame, found: DataFrame, disclosure: float, m
     """
     entities = F.array_distinct(F.transform("tagged", lambda s: s["entity"]))
     free = F.array_distinct(F.regexp_extract_all(F.lower(_blanked(F.col("text"), F.col("spans"))), F.lit(FREE_TERM), F.lit(0)))
-    found = found.withColumn("entities", entities)
-    found = materialise(found.select("doc_id", "id", "tie", *KINDS, "entities", F.when(F.size("entities") > 0, free).alias("terms")), "pii-base")
+    found = found.withColumns({"entities": entities, "plain": _digest_of(F.col("text"), KINDS)})
+    found = materialise(found.select("doc_id", "id", "tie", *KINDS, "plain", "entities", F.when(F.size("entities") > 0, free).alias("terms")), "pii-base")
     total = found.select("tie").distinct().agg(F.count("*").alias("total"))  # one row
     holders = materialise(found.filter(F.size("entities") > 0).groupBy("tie").agg(F.first("entities").alias("entities"), F.first("terms").alias("terms")), "pii-holders")
     held = holders.select("tie", F.explode("entities").alias("entity"))
@@ -163,10 +180,13 @@ def _find_in_whole_texts(rows: DataFrame, found: DataFrame, disclosure: float, m
     hot = counts.filter(F.col("n_t") > F.col("total") * HOT_SHARE).select("term").join(telling.select("term"), "term", "left_anti")
     standing = rows.select("id", "tie", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")).join(F.broadcast(hot), "term", "left_anti")
     shares = standing.join(telling, "term").groupBy("id", "tie").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("shares"))
-    spans = rows.select("id", "tie", "text").join(shares, ["id", "tie"]).select("id", "tie", _occurrences(F.col("text"), F.col("shares")).alias("term")).groupBy("id", "tie").agg(F.first("term").alias("term"))
-    out = found.drop("entities", "terms").join(spans, ["id", "tie"], "left").withColumn("term", F.coalesce("term", F.expr(f"cast(array() as {_TERMS})")))
+    told = rows.select("id", "tie", "text").join(shares, ["id", "tie"]).withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
     base = F.concat(*KINDS)
-    return out.withColumn("term", F.filter("term", lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"]))))
+    free = F.filter("all", lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+    told = told.withColumn("all", _occurrences(F.col("text"), F.col("shares"))).withColumn("term", free)
+    told = told.select("id", "tie", "term", _digest_of(F.col("text"), (*KINDS, "term")).alias("told")).groupBy("id", "tie").agg(F.first("term").alias("term"), F.first("told").alias("told"))
+    out = found.drop("entities", "terms").join(told, ["id", "tie"], "left")
+    return out.withColumns({"term": F.coalesce("term", F.expr(f"cast(array() as {_TERMS})")), "sanitised_sha256": F.coalesce("told", "plain")}).drop("told", "plain")
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclosure: float = DISCLOSURE, min_texts: int = MIN_TEXTS, whole_texts: bool = False) -> DataFrame:
@@ -179,7 +199,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", disclo
     min_texts texts at least, the term beside that entity is a span too. Equal texts count once in all counts.
 
     With whole_texts, as in the registered query and in sanitise(), n(t,e) counts the texts with e that have t
-    anywhere outside the base spans, and each occurrence of a telling term is a span, in texts without the entity too.
+    anywhere outside the base spans, and each occurrence of a telling term is a span, in texts without the entity too;
+    sanitised_sha256 is the digest of the text that sanitise() gives.
 
     Counting is partial before each exchange. Null texts are empty; null ids stay null; repeated rows get equal results; an empty table gives no
     rows; other columns aren't read.
@@ -224,7 +245,7 @@ def digest(found: DataFrame) -> DataFrame:
 
     base = F.array_join(F.concat(*(listed(k) for k in KINDS)), ",")
     every = F.array_join(F.concat(*(listed(k) for k in (*KINDS, "term"))), ",")
-    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), sum(F.size(k) for k in KINDS).cast("long").alias("n_base"), F.size("term").cast("long").alias("n_term"))
+    return found.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(base, 256).alias("base_sha256"), every.alias("spans"), sum(F.size(k) for k in KINDS).cast("long").alias("n_base"), F.size("term").cast("long").alias("n_term"), *([F.col("sanitised_sha256")] if "sanitised_sha256" in found.columns else []))
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
@@ -236,13 +257,7 @@ def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.array_sort(marks).alias("_marks")).dropDuplicates(["_id", "_tie"])
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)), "_tie": F.xxhash64(text)}).join(found, ["_id", "_tie"])
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def add(acc, s):
-        inside = s["start"] < acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["by"])).alias("out"))
-
-    clean = F.aggregate("_marks", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = _replaced(text, F.col("_marks"))
     clean = F.when(F.col(text_col).isNotNull(), clean)
     return out.select(*((clean if c == at else F.col(n)).alias(c) for c, n in own.items()))
 

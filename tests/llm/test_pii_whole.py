@@ -36,3 +36,7 @@ def test_terms_far_from_the_entity(spark):
         assert [(s["start"], s["end"]) for s in r["term"]] == spans
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
     assert not any("zorblat" in (t or "").lower() for t in clean.values()) and clean[len(texts) - 3] is None
+    import hashlib
+
+    for r in pii.digest(pii.find(df, whole_texts=True)).collect():
+        assert r["sanitised_sha256"] == hashlib.sha256((clean[r["doc_id"]] or "").encode()).hexdigest()
