@@ -238,12 +238,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Lines that stand earlier, word for word or nearly: (id, tie, nth, line, component), for each but the first of a component.
+    """Lines that stand earlier, word for word or nearly: (id, tie, nth, line, component, keeper), for each but the first of a component.
 
     Lines are normalised (A-Z lower-cased, white space made one space); lines without a character but white space
     aren't looked at. Equal lines are one class. Classes that share a band of minwise tokens meet, are confirmed by the
     exact Jaccard similarity of their character shingles, and joined by distributed union. Of each component's lines
-    the one of the least (id, tie, nth) stays, nth being the line's number in its text from 0.
+    the one of the least (id, tie, nth) stays, nth being the line's number in its text from 0; keeper names it.
     Ids are integers, null ids come last; tie is the text's hash, so rows alike in id and text are one text.
     """
     spark = docs.sparkSession
@@ -269,7 +269,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = classes.select("line", F.coalesce("component", "line").alias("component"), "first")
     keeper = classes.groupBy("component").agg(F.min("first").alias("keeper"))
     classes = materialise(classes.join(keeper, "component").select("line", "component", "keeper"), "line-keepers")
-    return places.join(classes, "line").filter(F.struct("id", "tie", "nth") != F.col("keeper")).select("id", "tie", "nth", "line", "component")
+    return places.join(classes, "line").filter(F.struct("id", "tie", "nth") != F.col("keeper")).select("id", "tie", "nth", "line", "component", "keeper")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
