@@ -48,14 +48,23 @@ def sketch(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values, digest_size=16).digest()
+
+
+def _rep(digest: bytes) -> int:
+    """The number that a set goes by: half of its digest."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             values, bounds = sets_of(block.column("text"), k)
             rows = sketch(values, bounds)
-            digest = [hashlib.blake2b(values[bounds[i] : bounds[i + 1]], digest_size=16).digest() for i in range(len(rows))]
+            digest = [_digest(values[bounds[i] : bounds[i + 1]]) for i in range(len(rows))]
             ids = block.column("doc_id").combine_chunks()
-            yield from pa.table({"doc_id": ids, "n_shingles": np.diff(bounds).astype(np.int64), "set_hash": pa.array(digest, pa.binary()), "sketch": pa.array([r.tobytes() for r in rows], pa.binary())}).to_batches()
+            yield from pa.table({"doc_id": ids, "n_shingles": np.diff(bounds).astype(np.int64), "set_hash": pa.array(digest, pa.binary()), "rep": pa.array(map(_rep, digest), pa.int64()), "sketch": pa.array([r.tobytes() for r in rows], pa.binary())}).to_batches()
 
     return run
 
@@ -205,12 +214,16 @@ def _compare(percent: int, decode):
 
 
 def _sets(k: int):
+    """Full sets and sketches of rows (rep, text) whose text has the set that rep stands for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             values, bounds = sets_of(block.column("text"), k)
+            own = [_rep(_digest(values[bounds[i] : bounds[i + 1]])) for i in range(block.num_rows)]
             members = pa.array([values[bounds[i] : bounds[i + 1]].tobytes() for i in range(block.num_rows)], pa.binary())
             sketches = pa.array([x.tobytes() for x in sketch(values, bounds)], pa.binary())
-            yield from pa.table({"rep": block.column("rep").combine_chunks(), "sketch": sketches, "members": members}).to_batches(max_chunksize=500)
+            same = pa.array(np.array(own, np.int64) == block.column("rep").to_numpy())
+            yield from pa.table({"rep": block.column("rep").combine_chunks(), "sketch": sketches, "members": members}).filter(same).to_batches(max_chunksize=500)
 
     return run
 
@@ -368,22 +381,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, trees: int =
     sets. Links are confirmed on full sets and joined by distributed union.
 
     Null or empty texts have no shingles and no links. Rows with a null id form no component (null) and are kept.
-    Repeated rows share a component and a verdict. Ids are integers; an empty table gives no rows.
+    Repeated rows share a component and a verdict; rows with one id and different texts have the component of their own
+    text. Ids are integers; an empty table gives no rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    flat = materialise(rows.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_hash binary, sketch binary"), "sketches")
-    reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"), F.first(8 * F.col("n_shingles")).alias("bytes"))
+    flat = materialise(rows.mapInArrow(_sketches(k), "doc_id long, n_shingles long, set_hash binary, rep long, sketch binary"), "sketches")
+    reps = flat.filter("n_shingles > 0 and doc_id is not null").groupBy("set_hash", "rep").agg(F.min("doc_id").alias("first"), F.first("sketch").alias("sketch"), F.first(8 * F.col("n_shingles")).alias("bytes"))
     reps = materialise(reps, "reps")
     nodes = materialise(reps.select("rep", "sketch").mapInArrow(_first_levels(trees), "node long, rep long"), "nodes")
 
     def load(involved: DataFrame) -> DataFrame:
-        involved = involved.hint("merge")  # texts are exchanged at every size, so that disk grows in proportion
-        return materialise(rows.join(involved, rows["doc_id"] == involved["rep"]).select("rep", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary"), "sets")
+        # Texts are exchanged at every size, so that disk grows in proportion.
+        one = involved.join(reps.select("rep", F.col("first").alias("doc_id")), "rep").hint("merge")
+        return materialise(rows.join(one, "doc_id").select("rep", "text").mapInArrow(_sets(k), "rep long, sketch binary, members binary"), "sets")
 
     labels = connect(nodes, reps.select("rep", "sketch", "bytes"), load, percent)
-    classes = reps.select("set_hash", "rep").join(labels, F.col("rep") == labels["id"], "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    joined = reps.select("set_hash", "first", "rep").join(labels, F.col("rep") == labels["id"], "left").select("set_hash", "first", "component")
+    least = joined.filter("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    classes = joined.join(least, "component", "left").select("set_hash", F.coalesce("least", "first").alias("component"))
     out = flat.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("set_hash")).alias("set_hash")).join(classes, "set_hash", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

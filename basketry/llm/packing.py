@@ -23,7 +23,8 @@ CACHE_CHUNKS = 400_000
 
 
 def encoder(ranks_path: str, pattern: str):
-    """A byte-level BPE over a vocabulary file of ranks; ids as the tokenizers library gives for the same vocabulary."""
+    """A byte-level BPE over a vocabulary file of ranks; ids as the tokenizers library gives for the same vocabulary with
+    encode_special_tokens on, so that a special token's name in a text is text."""
     import tiktoken
 
     if ranks_path not in _encoders:

@@ -457,3 +457,27 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     docs = spark.createDataFrame(rows, schema)
     for name, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, f"{tmp_path}/odd").columns == docs.columns, name
+
+
+def test_one_id_with_two_texts(spark):
+    r = np.random.default_rng(12)
+    own = lambda n: [WORDS[i] + str(int(r.integers(999))) for i in r.integers(0, 20, n)]
+    a, b, c = own(60), own(60), own(60)
+    near = lambda w: " ".join([*w[:30], "other", *w[31:]])
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, near(a)), (9, near(b)), (3, " ".join(c)), (4, near(c)), (4, near(c))]
+    got = sorted((x["doc_id"], x["component_id"], x["kept"]) for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3, True), (4, 3, False), (4, 3, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 5, False)]
+
+
+def test_ids_of_random_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    chunked = packing.ChunkedEncoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    r = random.Random(11)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\xa0", "\u3000", "'s", "'LL", "a", "Word", "12", "345", "é", "ß", "𝒳", "中文", ".", "--", '"', "<|endoftext|>", "<", "|", "\x00", "e\u0301"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 25)))
+        assert np.frombuffer(chunked(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
