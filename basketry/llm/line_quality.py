@@ -65,12 +65,14 @@ def repeated_words(words):
 
 
 def _word_counts(text):
-    """n_words, n_repeat_words and base_failed of a text, as one struct."""
+    """n_words, word_chars, n_repeat_words and base_failed of a text, as one struct."""
 
-    def judged(n, r):
-        return F.struct(n.alias("n_words"), r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"))
+    def judged(w, r):
+        n = F.size(w).cast("long")
+        chars = F.length(F.array_join(w, "")).cast("long")
+        return F.struct(n.alias("n_words"), chars.alias("word_chars"), r.alias("n_repeat_words"), ((n < 50) | (100 * r > 50 * n)).alias("base_failed"))
 
-    return _let(_words(text), lambda w: _let(repeated_words(w), lambda r: judged(F.size(w).cast("long"), r)))
+    return _let(_words(text), lambda w: _let(repeated_words(w), lambda r: judged(w, r)))
 
 
 def _line_counts(text):
@@ -127,8 +129,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     out = out.withColumns(
         {
             "n_words": F.col("_counts.n_words"),
-            "word_chars": F.length(F.translate(full, " \t\n\x0b\f\r", "")).cast("long"),
-            "n_symbols": (F.length(full) - F.length(F.translate(full, "#*$%&|<>", ""))).cast("long"),
+            "word_chars": F.col("_counts.word_chars"),
+            "n_symbols": (F.length(full) - F.length(F.regexp_replace(full, "[#*$%&|<>]+", ""))).cast("long"),
             "n_dup_lines": _line_counts(full),
             "n_repeat_words": F.col("_counts.n_repeat_words"),
             "base_failed": F.col("_counts.base_failed"),
