@@ -56,13 +56,9 @@ class ChunkedEncoder:
         if len(known) > CACHE_CHUNKS:
             known.clear()
         head, *rest = text.split(" ")
-        out = [self._bytes(head)]
-        for word in rest:
-            ids = known.get(word)
-            if ids is None:
-                ids = known[word] = self._bytes(" " + word)
-            out.append(ids)
-        return b"".join(out)
+        for word in set(rest).difference(known):
+            known[word] = self._bytes(" " + word)
+        return self._bytes(head) + b"".join(map(known.__getitem__, rest))
 
 
 def _pieces(ranks_path: str, pattern: str, capacity: int, end_id: int):
