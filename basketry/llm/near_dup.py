@@ -129,24 +129,33 @@ def similar_to(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.nd
     return 100 * shared >= percent * (len(one) + sizes - shared)
 
 
+def _tokens_needed(percent: int, margin: float) -> int:
+    """Equal minwise tokens from which on a pair is looked at further."""
+    return int(np.ceil((percent / 100 - margin) * TOKENS - 1e-9))
+
+
+def _equal_tokens(columns: np.ndarray, i: int) -> np.ndarray:
+    """Of sketches that lie in columns, how many tokens each after i shares with i."""
+    return np.add.reduce((columns[:, i + 1 :] == columns[:, i : i + 1]).view(np.uint8), axis=0, dtype=np.uint8)
+
+
 def spanning_links(ids: list, sketches: np.ndarray, sets: list[np.ndarray], percent: int, margin: float = MARGIN) -> list[tuple]:
     """Links that connect what the true links among these sets connect: a pair that is connected already isn't confirmed again."""
-    order = np.argsort(np.array(ids))
+    order = np.argsort(np.array(ids), kind="stable")
+    ids, sets = [ids[i] for i in order], [sets[i] for i in order]
+    columns, need = np.ascontiguousarray(sketches[order].T), _tokens_needed(percent, margin)
     label = np.arange(len(ids))
     sizes = np.array([len(s) for s in sets])
     links = []
-    for n, i in enumerate(order):
-        rest = order[n + 1 :]
-        rest = rest[(label[rest] != label[i])]
-        if not len(rest):
+    for i in range(len(ids) - 1):
+        more = sizes[i + 1 :]
+        near = (label[i + 1 :] != label[i]) & (100 * np.minimum(more, sizes[i]) >= percent * np.maximum(more, sizes[i]))
+        if not near.any():
             continue
-        near = 100 * np.minimum(sizes[rest], sizes[i]) >= percent * np.maximum(sizes[rest], sizes[i])
-        rest = rest[near]
-        rest = rest[(sketches[rest] == sketches[i]).mean(1) >= percent / 100 - margin]
+        rest = i + 1 + np.flatnonzero(near & (_equal_tokens(columns, i) >= need))
         if not len(rest):
             continue
-        linked = rest[similar_to(sets[i], [sets[j] for j in rest], percent)]
-        for j in linked.tolist():
+        for j in rest[similar_to(sets[i], [sets[j] for j in rest], percent)].tolist():
             if label[j] != label[i]:
                 links.append((ids[i], ids[j]))
                 label[label == label[j]] = label[i]
@@ -274,16 +283,17 @@ def _in_blocks(group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
 def _tighten(percent: int, margin: float = MARGIN):
     """Of a cell's members those whose sketches come near the threshold, as groups that share no such pair."""
 
+    need = _tokens_needed(percent, margin)
+
     def groups_of(ids: np.ndarray, rows: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
         ids, first = np.unique(ids, return_index=True)
-        rows, size = rows[first], size[first]
+        columns, size = np.ascontiguousarray(rows[first].T), size[first]
         label = np.arange(len(ids))
         for i in range(len(ids) - 1):
-            rest = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
-            if not len(rest):
+            apart = label[i + 1 :] != label[i]
+            if not apart.any():
                 continue
-            near = rest[(rows[rest] == rows[i]).mean(1) >= percent / 100 - margin]
-            for j in near.tolist():
+            for j in (i + 1 + np.flatnonzero(apart & (_equal_tokens(columns, i) >= need))).tolist():
                 if label[j] != label[i]:
                     label[label == label[j]] = label[i]
         for g in np.flatnonzero(np.bincount(label) > 1):
@@ -294,7 +304,7 @@ def _tighten(percent: int, margin: float = MARGIN):
             ids, rows, size = table_.column("rep").to_numpy(), _sketch_array(table_.column("sketch")), table_.column("bytes").to_numpy()
             sizes = np.diff(bounds)
             two = bounds[:-1][sizes == 2]  # most cells
-            near = (ids[two] != ids[two + 1]) & ((rows[two] == rows[two + 1]).mean(1) >= percent / 100 - margin)
+            near = (ids[two] != ids[two + 1]) & ((rows[two] == rows[two + 1]).sum(1) >= need)
             pairs = np.sort(np.stack([ids[two[near]], ids[two[near] + 1]], axis=1), axis=1)
             found = [*pairs]
             for k in np.flatnonzero(sizes > 2):
