@@ -286,7 +286,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)), "_tie": F.xxhash64(text), "_n": F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t\x0B\f\r]")))})
     out = out.join(gone, ["_id", "_tie"], "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
+    # The lines are cut once and the numbers that stay are a difference of sets, so that a text's cost grows with its lines.
+    stay = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone"))
+    kept = F.get(F.transform(F.array(F.split(text, "\n")), lambda lines: F.array_join(F.transform(stay(lines), lambda i: F.get(lines, i)), "\n")), 0)
     removed = F.coalesce("_gone", F.expr("cast(array() as array<int>)"))
     return out.select(*(F.when(F.col("_gone").isNull(), F.col(n)).otherwise(kept).alias(c) if c == at else F.col(n).alias(c) for c, n in own.items()), F.col("_n").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
