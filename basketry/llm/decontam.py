@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,9 @@ from .textscan import LOWER, NOT_ALNUM, mix, powers, span_hashes, word_bounds
 
 #: Bytes of item texts that one pass over the index looks for; more items take more passes.
 PASS_BYTES = 16 << 20
-INDEX = "docs binary, words binary, terms binary, posting_bounds binary, postings binary"
+#: Other words between two words of a window that the query's proximity matches allow.
+NEAR = 2
+INDEX = "block long, docs binary, words binary, terms binary, posting_bounds binary, postings binary"
 
 
 def _hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -27,14 +30,16 @@ def _hashes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def _index_block(kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for block in blocks(batches):
+            number += 1
             words, bounds = _hashes(block.column("text"))
             order = np.argsort(words, kind="stable").astype(np.uint32)
             terms, first = np.unique(words[order], return_index=True)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", kind)])) as out:
                 out.write_table(pa.table({"id": block.column("doc_id").cast(kind)}))
-            yield pa.RecordBatch.from_pydict({"docs": [sink.getvalue().to_pybytes()], "words": [bounds.astype(np.int64).tobytes()], "terms": [terms.tobytes()], "posting_bounds": [np.append(first, len(order)).astype(np.uint32).tobytes()], "postings": [order.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"block": [number], "docs": [sink.getvalue().to_pybytes()], "words": [bounds.astype(np.int64).tobytes()], "terms": [terms.tobytes()], "posting_bounds": [np.append(first, len(order)).astype(np.uint32).tobytes()], "postings": [order.tobytes()]})
 
     return run
 
@@ -62,9 +67,9 @@ class Phrases:
     place numbers the term of every item word; a window is a stretch (start, length) of it. Once counts of the terms in
     the index are known, by_rarest() lists the windows under their rarest term, from which a search starts."""
 
-    def __init__(self, ids: list, texts: list, window: int, gap: int):
+    def __init__(self, ids: list, texts: list, window: int, gap: int, near: int = 0):
         words, bounds = _hashes(pa.chunked_array([pa.array(texts, pa.string())]))
-        self.gap, self.window, self.ids = gap, window, ids
+        self.gap, self.near, self.window, self.ids = gap, near, window, ids
         n = np.diff(bounds)
         each = np.where(n > 0, np.maximum(n - window, 0) + 1, 0)
         start, item = _ranges(bounds[:-1], each), np.repeat(np.arange(len(n)), each)
@@ -149,7 +154,27 @@ def _near(lists: list[np.ndarray], gap: int, word_bounds_: np.ndarray) -> tuple[
     return begin, finish
 
 
-def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, word_bounds_: np.ndarray, p: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _around_rarest(lists: list[np.ndarray], gap: int) -> list[np.ndarray]:
+    """Of each term's places those that a proximity match can use: beginning with the shortest list, a place stays while
+    every other term stands as far from it as the phrase and the gaps allow, and of the others what lies near one that stays."""
+    order = sorted(range(len(lists)), key=lambda o: len(lists[o]))
+    o, r = order[0], lists[order[0]]
+    for other in order[1:]:
+        d, own = other - o, lists[other]
+        low, high = (d, d * (1 + gap)) if d > 0 else (d * (1 + gap), d)
+        at = np.searchsorted(own, r + low)
+        r = r[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= r + high)]
+        if not len(r):
+            return [r] * len(lists)
+    reach = len(lists) * (1 + gap)
+    out = []
+    for own in lists:
+        at = np.minimum(np.searchsorted(r, own - reach), len(r) - 1)
+        out.append(own[(r[at] >= own - reach) & (r[at] <= own + reach)])
+    return out
+
+
+def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, word_bounds_: np.ndarray, p: Phrases, gap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each window that occurs: its number, and where its occurrences begin and end.
 
     Only windows whose rarest term stands in the block are taken up, and of them those all of whose terms do. Their
@@ -158,8 +183,9 @@ def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, w
     at, size = _sizes(p.terms, terms, bounds)
     for k in p.candidates(size):
         place = p.places(k)
-        if p.gap:
-            begin, finish = _near([postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) for t in place], p.gap, word_bounds_)
+        if gap:
+            lists = [postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) for t in place]
+            begin, finish = _near(_around_rarest(lists, gap), gap, word_bounds_)
         else:
             order = np.argsort(size[place], kind="stable")
             t = place[order[0]]
@@ -181,18 +207,27 @@ def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                get = {k: batch.column(i)[row].as_buffer() for i, k in enumerate(batch.schema.names)}
+                get = {k: batch.column(i)[row].as_buffer() for i, k in enumerate(batch.schema.names) if k != "block"}
                 ids = pa.ipc.open_stream(get["docs"]).read_all().column("id")
                 words = np.frombuffer(get["words"], np.int64)
                 n = len(words) - 1
+                index = np.frombuffer(get["terms"], np.uint64), np.frombuffer(get["posting_bounds"], np.uint32).astype(np.int64), np.frombuffer(get["postings"], np.uint32), words
                 begins, ends = [], []
                 items: dict[int, set[int]] = {}
-                for k, begin, finish in _search_block(np.frombuffer(get["terms"], np.uint64), np.frombuffer(get["posting_bounds"], np.uint32).astype(np.int64), np.frombuffer(get["postings"], np.uint32), words, p):
+                nearby: dict[int, set[int]] = {}
+
+                def add(to: dict[int, set[int]], k: int, begin: np.ndarray) -> None:
+                    own = p.items[p.item_bounds[k] : p.item_bounds[k + 1]].tolist()
+                    for d in np.unique(np.searchsorted(words, begin, side="right") - 1).tolist():  # noqa: B023
+                        to.setdefault(d, set()).update(own)
+
+                for k, begin, finish in _search_block(*index, p, p.gap):
                     begins.append(begin)
                     ends.append(finish + 1)
-                    own = p.items[p.item_bounds[k] : p.item_bounds[k + 1]].tolist()
-                    for d in np.unique(np.searchsorted(words, begin, side="right") - 1).tolist():
-                        items.setdefault(d, set()).update(own)
+                    add(items, k, begin)
+                if p.near:
+                    for k, begin, _ in _search_block(*index, p, p.near):
+                        add(nearby, k, begin)
                 count = lambda x: np.bincount(np.concatenate(x), minlength=int(words[-1]) + 1) if x else np.zeros(int(words[-1]) + 1, np.int64)  # noqa: B023, E731
                 hit = np.flatnonzero(np.cumsum(count(begins) - count(ends))[:-1] > 0)
                 per_doc = np.searchsorted(hit, words)
@@ -201,20 +236,21 @@ def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
                     own = hit[per_doc[d] : per_doc[d + 1]] - words[d]
                     breaks = np.flatnonzero(np.diff(own) > 1)
                     spans[d] = list(zip(own[np.append(0, breaks + 1)].tolist(), (own[np.append(breaks, len(own) - 1)] + 1).tolist(), strict=True))
-                found = [[p.ids[i] for i in sorted(items.get(d, ()))] for d in range(n)]
+                found, close = ([[p.ids[i] for i in sorted(x.get(d, ()))] for d in range(n)] for x in (items, nearby))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.combine_chunks() if ids.num_chunks != 1 else ids.chunk(0), pa.array(np.diff(words)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(id_kind))],
-                    names=["doc_id", "n_words", "hit_spans", "item_ids"],
+                    [ids.combine_chunks() if ids.num_chunks != 1 else ids.chunk(0), pa.array(np.diff(words)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(found, pa.list_(id_kind)), pa.array(close, pa.list_(id_kind)), pa.array([batch.column(0)[row].as_py()] * n, pa.int64()), pa.array(range(n), pa.int32())],
+                    names=["doc_id", "n_words", "hit_spans", "item_ids", "near_ids", "block", "nth"],
                 )
 
     return run
 
 
-def search(index: DataFrame, items: DataFrame, doc_kind, window: int = 13, gap: int = 0, item_id: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, doc_kind, window: int = 13, gap: int = 0, item_id: str = "item_id", text_col: str = "text", pass_bytes: int = PASS_BYTES, near: int = 0) -> DataFrame:
     """Documents of the index with the spans of words (start, end) inside occurrences of the items' windows, and the items.
 
     A window is window consecutive words of an item, or all its words if it has fewer; gap > 0 allows up to so many
-    other words between two words of a window (proximity). Items come to the tasks in passes of at most pass_bytes of
+    other words between two words of a window (proximity). With near > 0, near_ids are the items that match with such a
+    gap, whatever gap is; else it is empty. Items come to the tasks in passes of at most pass_bytes of
     text (their words and windows are arrays of a few times that), by the size that is summed first, so that a large benchmark takes more passes over the index and no more
     memory; a pass joins the results of those before by union.
     Null and empty texts have no words; null item ids are kept; repeated items count once in each document.
@@ -227,10 +263,11 @@ def search(index: DataFrame, items: DataFrame, doc_kind, window: int = 13, gap:
     passes = -(-size // pass_bytes) or 1
     rows = rows.withColumn("pass", F.pmod(F.xxhash64("id", "text"), F.lit(passes)))
     out = None
-    schema = f"doc_id {doc_kind.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids array<{items.schema[item_id].dataType.simpleString()}>"
+    listed = f"array<{items.schema[item_id].dataType.simpleString()}>"
+    schema = f"doc_id {doc_kind.simpleString()}, n_words long, hit_spans array<struct<start:long,end:long>>, item_ids {listed}, near_ids {listed}, block long, nth int"
     for k in range(passes):
         own = rows.filter(F.col("pass") == k).select("id", "text").orderBy("id", "text").collect()  # about pass_bytes
-        phrases = Phrases([r[0] for r in own], [r[1] for r in own], window, gap)
+        phrases = Phrases([r[0] for r in own], [r[1] for r in own], window, gap, near)
         counted = index.select("terms", "posting_bounds").mapInArrow(_term_counts(phrases.terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         counts = np.zeros(len(phrases.terms), np.int64)
         for r in counted.collect():  # no more than the terms of a pass
@@ -239,9 +276,10 @@ def search(index: DataFrame, items: DataFrame, doc_kind, window: int = 13, gap:
         found = index.mapInArrow(_search(phrases, kind, id_kind), schema)
         out = found if out is None else out.unionByName(found)
     if passes > 1:
-        out = out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("hit_spans")).alias("hit_spans"), F.array_distinct(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
-        out = out.withColumn("hit_spans", merge_spans(F.col("hit_spans")))
-    return out
+        joined = [F.flatten(F.collect_list(c)).alias(c) for c in ("hit_spans", "item_ids", "near_ids")]  # one row of each pass
+        out = out.groupBy("block", "nth", "doc_id", "n_words").agg(*joined)
+        out = out.withColumns({"hit_spans": merge_spans(F.col("hit_spans")), **{c: F.array_distinct(c) for c in ("item_ids", "near_ids")}})
+    return out.drop("block", "nth")
 
 
 def merge_spans(spans: F.Column) -> F.Column:
@@ -254,18 +292,21 @@ def merge_spans(spans: F.Column) -> F.Column:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", near: int = 0) -> DataFrame:
     """For each document its words, how many lie inside an item's window, the items, and whether a twentieth or more of the words are hit.
 
+    With near > 0, n_near_items counts the items that have a window whose words stand in order with up to near other
+    words between two; what matches exactly is among them. The verdict is that of exact matches.
+
     Defined for nulls (no words), empty tables (no rows, or nothing hit), repeated rows (each on its own) and long
     texts (a block of their own); other columns are not read.
     """
-    found = search(build_index(docs, id_col, text_col), items, docs.schema[id_col].dataType, window)
+    found = search(build_index(docs, id_col, text_col), items, docs.schema[id_col].dataType, window, near=near)
     n_hit = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     names = F.array_sort(F.transform("item_ids", lambda x: x.cast("string")))
-    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "hit_spans")
+    out = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), "hit_spans", *([F.size("near_ids").cast("long").alias("n_near_items")] if near else []))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def query(spark, sf_dir):
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), near=NEAR).drop("hit_spans")
