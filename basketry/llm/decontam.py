@@ -133,10 +133,9 @@ def _sizes(wanted: np.ndarray, terms: np.ndarray, bounds: np.ndarray) -> tuple[n
     return at, np.where(terms[at] == wanted, bounds[at + 1] - bounds[at], 0)
 
 
-def _within(values: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(allowed, values)
-    at[at == len(allowed)] = 0
-    return allowed[at] == values
+def _place(own: np.ndarray, wanted: np.ndarray, side: str = "left") -> np.ndarray:
+    """Where wanted positions stand in a list of postings, which is searched as it is, without a wider copy."""
+    return np.searchsorted(own, np.clip(wanted, 0, 0xFFFFFFFF).astype(np.uint32), side=side)
 
 
 def _near(lists: list[np.ndarray], gap: int, word_bounds_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,49 +157,83 @@ def _around_rarest(lists: list[np.ndarray], gap: int) -> list[np.ndarray]:
     """Of each term's places those that a proximity match can use: beginning with the shortest list, a place stays while
     every other term stands as far from it as the phrase and the gaps allow, and of the others what lies near one that stays."""
     order = sorted(range(len(lists)), key=lambda o: len(lists[o]))
-    o, r = order[0], lists[order[0]]
+    o, r = order[0], lists[order[0]].astype(np.int64)
     for other in order[1:]:
         d, own = other - o, lists[other]
         low, high = (d, d * (1 + gap)) if d > 0 else (d * (1 + gap), d)
-        at = np.searchsorted(own, r + low)
-        r = r[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= r + high)]
+        at = _place(own, r + low)
+        r = r[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= r + high) & (r + high >= 0)]
         if not len(r):
             return [r] * len(lists)
     reach = len(lists) * (1 + gap)
     out = []
     for own in lists:
-        at = np.minimum(np.searchsorted(r, own - reach), len(r) - 1)
-        out.append(own[(r[at] >= own - reach) & (r[at] <= own + reach)])
+        begin = _place(own, r - reach)
+        out.append(own[np.unique(_ranges(begin, _place(own, r + reach, "right") - begin))].astype(np.int64))
     return out
 
 
-def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, word_bounds_: np.ndarray, p: Phrases, gap: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+#: Places of rarest terms that are followed at once.
+FOLLOWED = 1 << 20
+
+
+def _followed(p: Phrases, windows: np.ndarray, at: np.ndarray, size: np.ndarray, bounds: np.ndarray, postings: np.ndarray, gap: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of windows of one length: (window, begin) for each place of the window's rarest term that every other term, the
+    rarer first, stands as far from as the phrase and the gaps allow; begin is where the window would begin without gaps.
+
+    The block's postings as one sorted array of (term, place) let all places of all windows be looked up together."""
+    n = int(p.length[windows[0]])
+    terms = p.place[p.start[windows][:, None] + np.arange(n)]
+    order = np.argsort(size[terms], axis=1, kind="stable")
+    keys = np.repeat(np.arange(len(bounds) - 1, dtype=np.uint64), np.diff(bounds)) << np.uint64(32) | postings
+    first = order[:, 0]
+    rare = terms[np.arange(len(windows)), first]
+    cut = np.cumsum(size[rare]) // FOLLOWED
+    for part in np.unique(cut):
+        own = np.flatnonzero(cut == part)
+        w = np.repeat(own, size[rare[own]])
+        r = postings[_ranges(bounds[at[rare[own]]], size[rare[own]])].astype(np.int64)
+        for j in range(1, n):
+            other = order[w, j]
+            d = other - first[w]
+            low, high = r + np.where(d > 0, d, d * (1 + gap)), r + np.where(d > 0, d * (1 + gap), d)
+            term = at[terms[w, other]].astype(np.uint64) << np.uint64(32)
+            found = np.searchsorted(keys, term | np.maximum(low, 0).astype(np.uint64))
+            ok = (high >= 0) & (found < len(keys)) & (keys[np.minimum(found, len(keys) - 1)] <= (term | np.maximum(high, 0).astype(np.uint64)))
+            w, r = w[ok], r[ok]
+            if not len(w):
+                break
+        if len(w):
+            yield windows[w], r - first[w]
+
+
+def _search_block(terms: np.ndarray, bounds: np.ndarray, postings: np.ndarray, word_bounds_: np.ndarray, p: Phrases, gap: int, known: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Of each window that occurs: its number, and where its occurrences begin and end.
 
-    Only windows whose rarest term stands in the block are taken up, and of them those all of whose terms do. Their
-    lists are intersected from the shortest on, each shifted by its term's place in the window; with a gap, a word may
-    stand up to gap words later than in the phrase, in order."""
+    Only windows whose rarest term stands in the block are taken up, and of them those all of whose terms do; their
+    lists are intersected from the rarest on, each shifted by its term's place in the window. With a gap, a word may
+    stand up to gap words later than in the phrase, in order: what is left then is followed through all its places, but
+    for places that known (window and begin as one number) has already."""
     at, size = _sizes(p.terms, terms, bounds)
-    for k in p.candidates(size):
-        place = p.places(k)
-        if gap:
-            lists = [postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) for t in place]
-            begin, finish = _near(_around_rarest(lists, gap), gap, word_bounds_)
-        else:
-            order = np.argsort(size[place], kind="stable")
-            t = place[order[0]]
-            begin = postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64) - order[0]
-            for o in order[1:]:
-                t = place[o]
-                begin = begin[_within(begin + o, postings[bounds[at[t]] : bounds[at[t] + 1]].astype(np.int64))]
-                if not len(begin):
-                    break
-            finish = begin + len(place) - 1
-        if len(begin):  # within one document
-            same = np.searchsorted(word_bounds_, begin, side="right") == np.searchsorted(word_bounds_, finish, side="right")
-            same &= begin >= 0
-            if same.any():
-                yield int(k), begin[same], finish[same]
+    candidates = p.candidates(size)
+    for n in np.unique(p.length[candidates]):
+        for windows, begins in _followed(p, candidates[p.length[candidates] == n], at, size, bounds, postings, gap):
+            if known is not None and len(known):
+                key = windows.astype(np.int64) << 32 | np.maximum(begins, 0)
+                fresh = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] != key
+                windows, begins = windows[fresh], begins[fresh]
+            if not len(windows):
+                continue
+            cut = np.append(np.flatnonzero(np.append(True, windows[1:] != windows[:-1])), len(windows))
+            for i, j in zip(cut, cut[1:], strict=False):
+                k, begin = int(windows[i]), begins[i:j]
+                finish = begin + n - 1
+                if gap:
+                    lists = [postings[bounds[at[t]] : bounds[at[t] + 1]] for t in p.places(k)]
+                    begin, finish = _near(_around_rarest(lists, gap), gap, word_bounds_)
+                same = (begin >= 0) & (np.searchsorted(word_bounds_, begin, side="right") == np.searchsorted(word_bounds_, finish, side="right"))
+                if same.any():
+                    yield k, begin[same], finish[same]
 
 
 def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
@@ -212,7 +245,7 @@ def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
                 words = np.frombuffer(get["words"], np.int64)
                 n = len(words) - 1
                 index = np.frombuffer(get["terms"], np.uint64), np.frombuffer(get["posting_bounds"], np.uint32).astype(np.int64), np.frombuffer(get["postings"], np.uint32), words
-                begins, ends = [], []
+                begins, ends, keys = [], [], []
                 items: dict[int, set[int]] = {}
                 nearby: dict[int, set[int]] = {}
 
@@ -225,8 +258,11 @@ def _search(p: Phrases, kind: pa.DataType, id_kind: pa.DataType):
                     begins.append(begin)
                     ends.append(finish + 1)
                     add(items, k, begin)
-                if p.near:
-                    for k, begin, _ in _search_block(*index, p, p.near):
+                    if p.near and not p.gap:
+                        keys.append(np.int64(k) << 32 | begin)
+                if p.near:  # what matches exactly is near
+                    nearby.update({} if p.gap else {d: set(x) for d, x in items.items()})
+                    for k, begin, _ in _search_block(*index, p, p.near, np.sort(np.concatenate(keys)) if keys else None):
                         add(nearby, k, begin)
                 count = lambda x: np.bincount(np.concatenate(x), minlength=int(words[-1]) + 1) if x else np.zeros(int(words[-1]) + 1, np.int64)  # noqa: B023, E731
                 hit = np.flatnonzero(np.cumsum(count(begins) - count(ends))[:-1] > 0)
