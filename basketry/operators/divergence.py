@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions.lexicon import Gate
 
@@ -21,7 +22,7 @@ BORDER_BITS, BORDER_RATIO = (0.06, 0.08), (1.3, 1.7)
 TESTABLE, SMALL_REVIEW, CONCENTRATED = 20, 5, 0.80
 TRIALS, SEED, QUANTILE, TOP = 1000, 42, 0.95, 5
 #: Numbers that a worker draws at once.
-DRAWN_AT_ONCE = 1 << 20
+DRAWN_AT_ONCE = 1 << 18
 
 
 def shares_of(baskets: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
@@ -49,50 +50,78 @@ def jsd_bits(p: Column, q: Column) -> Column:
     return F.greatest(F.lit(0.0), (kl(p) + kl(q)) / 2)
 
 
-def null95(base: list[float], n: int, trials: int = TRIALS, seed: int = SEED) -> float:
-    """The 95th percentile (nearest rank) of the divergence between a base and samples of n draws from it.
+def null95s(base: list[float], ns: Iterable[int], trials: int = TRIALS, seed: int = SEED) -> dict[int, float]:
+    """For each n the 95th percentile (nearest rank) of the divergence between a base and samples of n draws from it.
 
-    Draws follow Mersenne Twister seeded with the list [seed], one uniform number each, looked up in cumulative shares;
-    they are taken DRAWN_AT_ONCE at a time, so that memory doesn't grow with n."""
+    Draws follow Mersenne Twister seeded with the list [seed], one uniform number each, looked up in cumulative shares.
+    The k-th sample of n is the k-th run of n numbers of that one stream, whatever n is, so the stream is drawn once for
+    all of ns: what lies below each cumulative share is counted between the ends of samples. The stream is taken
+    DRAWN_AT_ONCE at a time and only each sample's divergence is kept, so that memory doesn't grow with n."""
     p = np.asarray(base, float)
-    if n <= 0 or p.sum() <= 0:
-        return 0.0
+    out = {int(n): 0.0 for n in ns}
+    if p.sum() <= 0:
+        return out
+    asked = sorted(n for n in out if n > 0)
     upto = np.cumsum(p)
     draws = np.random.RandomState([seed])
-    q = np.zeros((trials, len(p)))
-    at, left = 0, n  # the trial that is drawn now, and what it still lacks
-    while at < trials:
-        if left == n and n <= DRAWN_AT_ONCE:
-            rows = min(trials - at, DRAWN_AT_ONCE // n)
-            u = draws.random_sample(rows * n) * upto[-1]
-            found = np.minimum(np.searchsorted(upto, u, side="right"), len(p) - 1)
-            np.add.at(q, (at + np.arange(rows * n) // n, found), 1.0)
-            at += rows
-        else:
-            u = draws.random_sample(min(left, DRAWN_AT_ONCE)) * upto[-1]
-            q[at] += np.bincount(np.minimum(np.searchsorted(upto, u, side="right"), len(p) - 1), minlength=len(p))
-            left -= len(u)
-            if not left:
-                at, left = at + 1, n
-    q /= n
+    bits = {n: np.empty(trials) for n in asked}
+    done = dict.fromkeys(asked, 0)  # samples that have ended
+    last = {n: np.zeros(len(p) - 1, np.int64) for n in asked}  # numbers below each share where the last one ended
+    before, at, whole = np.zeros(len(p) - 1, np.int64), 0, trials * max(asked, default=0)
+    while at < whole:
+        u = draws.random_sample(min(whole - at, DRAWN_AT_ONCE))
+        u *= upto[-1]
+        ending = {n: ends for n in asked if len(ends := np.arange((done[n] + 1) * n - at, min(len(u), trials * n - at) + 1, n))}
+        cuts = np.unique(np.concatenate([*ending.values(), [len(u)]]))
+        below = np.empty((len(cuts), len(p) - 1), np.int64)
+        for j, share in enumerate(upto[:-1]):
+            hit = u < share
+            if len(cuts) * 256 < len(u):
+                below[:, j] = np.cumsum([np.count_nonzero(x) for x in np.split(hit, cuts[:-1])])
+            else:
+                below[:, j] = np.cumsum(hit)[cuts - 1]
+        below += before
+        for n, ends in ending.items():
+            seen = below[np.searchsorted(cuts, ends)]
+            counts = np.diff(seen, axis=0, prepend=last[n][None])
+            counts = np.diff(counts, axis=1, prepend=0, append=n)
+            bits[n][done[n] : done[n] + len(ends)] = _bits(p, counts / n)
+            done[n], last[n] = done[n] + len(ends), seen[-1]
+        before, at = below[-1], at + len(u)
+        asked = [n for n in asked if done[n] < trials]
+    rank = min(trials - 1, math.ceil(QUANTILE * trials) - 1)
+    return out | {n: float(np.sort(x)[rank]) for n, x in bits.items()}
+
+
+def _bits(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Divergence of each row of q from p."""
     m = (p + q) / 2
     with np.errstate(divide="ignore", invalid="ignore"):
         towards_p = np.where(p > 0, p * np.log2(p / m), 0.0).sum(1)
         towards_q = np.where(q > 0, q * np.log2(q / m), 0.0).sum(1)
-    bits = np.sort(np.maximum(0.0, (towards_p + towards_q) / 2))
-    return float(bits[min(trials - 1, math.ceil(QUANTILE * trials) - 1)])
+    return np.maximum(0.0, (towards_p + towards_q) / 2)
+
+
+def null95(base: list[float], n: int, trials: int = TRIALS, seed: int = SEED) -> float:
+    """null95s() of one n."""
+    return null95s(base, [n], trials, seed)[int(n)]
 
 
-@F.pandas_udf(DoubleType())
-def _null95(base: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([null95(list(b), int(k)) for b, k in zip(base, n, strict=True)])
+@F.pandas_udf(ArrayType(DoubleType()))
+def _null95s(base: pd.Series, ns: pd.Series) -> pd.Series:
+    return pd.Series([[found[int(n)] for n in k] for found, k in ((null95s(list(b), k), k) for b, k in zip(base, ns, strict=True))])
 
 
 def with_null95(pairs: DataFrame, base: str = "base_shares", n: str = "variant_count") -> DataFrame:
-    """Adds null95_bits, simulated once for each distinct (base at six decimals, n)."""
-    keyed = pairs.withColumn("_base", F.transform(base, lambda x: F.round(x, 6)))
-    once = keyed.select("_base", n).distinct().withColumn("null95_bits", _null95("_base", n))
-    return keyed.join(once, ["_base", n]).drop("_base")
+    """Adds null95_bits, simulated once for each distinct (base at six decimals, n).
+
+    The pairs of a base are simulated together, and bases are dealt to tasks of their own: few as the rows are, each is
+    as much work as a thousand times its largest n."""
+    once = pairs.groupBy(F.transform(base, lambda x: F.round(x, 6)).alias("_base")).agg(F.collect_list(F.struct(*pairs.columns)).alias("_pairs"))
+    once = once.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "_base")
+    once = once.withColumn("_ns", F.array_sort(F.array_distinct(F.transform("_pairs", lambda x: x[n]))))
+    once = once.withColumn("_null", F.map_from_arrays("_ns", _null95s("_base", "_ns")))
+    return once.select("_null", F.explode("_pairs").alias("_pair")).select("_pair.*", F.try_element_at("_null", F.col(f"_pair.{n}")).alias("null95_bits"))
 
 
 def top_shares(shares: DataFrame, priors: DataFrame, k: int = TOP) -> DataFrame:

@@ -166,3 +166,25 @@ def test_gate_runner(spark):
     assert gates.run([gates.Gate("ok", empty)]) == ["ok"]
     with pytest.raises(gates.GateError):
         gates.run([gates.Gate("bad", spark.range(2))])
+
+
+def test_the_samples_of_a_base_share_one_stream():
+    import numpy as np
+
+    def plain(p, n):
+        upto = np.cumsum(p)
+        u = np.random.RandomState([divergence.SEED]).random_sample(divergence.TRIALS * n) * upto[-1]
+        found = np.minimum(np.searchsorted(upto, u, side="right"), len(p) - 1).reshape(-1, n)
+        q = np.stack([np.bincount(x, minlength=len(p)) for x in found]) / n
+        return float(np.sort(divergence._bits(np.asarray(p), q))[math.ceil(divergence.QUANTILE * divergence.TRIALS) - 1])
+
+    for p in ([1.0], [0.5, 0.0, 0.5], [0.2, 0.19, 0.21, 0.2, 0.2]):
+        assert divergence.null95s(p, [1, 40, 999, 0]) == {n: plain(p, n) if n else 0.0 for n in (1, 40, 999, 0)}
+
+
+def test_eight_large_samples_cost_little_more_than_one():
+    import time
+
+    began = time.process_time()
+    found = divergence.null95s([0.2, 0.19, 0.21, 0.2, 0.2], range(100_000, 100_800, 100))
+    assert len(found) == 8 and time.process_time() - began < 6  # one by one, each took as long
