@@ -49,3 +49,25 @@ def test_reports(spark):
 def test_shown_top(spark):
     top = spark.createDataFrame([([("thai", 0.525, 4.04)],), ([],)], "top array<struct<label:string,share:double,lift:double>>")
     assert [r[0] for r in top.select(divergence.shown_top(F.col("top"))).collect()] == ["thai 52.5% (4.0x)", "(none)"]
+
+
+def test_scores_work_out_each_step_once(spark):
+    import time
+
+    names, labels = [f"item {i:03d}" for i in range(300)], list("vwxyz")
+    weights = {l: {n: ((i * 7 + k) % 13 - 6) / 10 for i, n in enumerate(names[:250])} for k, l in enumerate(labels)}
+    base, parents = {l: k / 10 for k, l in enumerate(labels)}, dict(zip(names[:200], names[50:250], strict=True))
+    baskets = {b: sorted({names[(b * 17 + j * 29) % 300] for j in range(6)}) for b in range(60_000)}
+
+    def plain(items):
+        up = sorted({parents[i] for i in items if i in parents} - set(items))
+        z = [(base[l] + sum(weights[l].get(i, 0) for i in items) + 0.3 * sum(weights[l].get(i, 0) for i in up)) / 2 for l in labels]
+        return [math.exp(x) / sum(map(math.exp, z)) for x in z]
+
+    rows = spark.createDataFrame(list(baskets.items()), "id long, items array<string>").union(spark.createDataFrame([(-1, ["item 000", None, "nothing"]), (-2, None)], "id long, items array<string>"))
+    began = time.time()
+    got = {r["id"]: r["shares"] for r in scorer.label_scores(rows, weights, base, 2.0, parents, 0.3).collect()}
+    assert time.time() - began < 12
+    for b in range(0, 60_000, 1501):
+        assert all(abs(got[b][l] - x) < 1e-12 for l, x in zip(labels, plain(baskets[b]), strict=True))
+    assert all(abs(got[-1][l] - x) < 1e-12 for l, x in zip(labels, plain(["item 000"]), strict=True))
