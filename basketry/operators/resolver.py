@@ -45,8 +45,12 @@ class Resolver:
         self.index = _preferred(alias, "raw", "raw").union(_preferred(surface, "cleaned", "cleaned")).union(_preferred(keyed, "key", "key"))
 
     def _keys(self, items: DataFrame) -> DataFrame:
-        """Distinct items with their cleaned form, keys and stripped key."""
-        x = items.select("item").distinct().withColumn("cleaned", T.clean(F.col("item"), self.python))
+        """Distinct items with their cleaned form, keys and stripped key.
+
+        What is cleaned is an aggregate of the distinct items: a filter on a grouping column would be pushed below the
+        grouping, and with it the cleaning of every mention."""
+        x = items.select("item").distinct().groupBy("item").agg(F.any_value("item").alias("text"))
+        x = x.withColumn("cleaned", T.clean(F.col("text"), self.python)).drop("text")
         x = x.withColumn("stripped", T.strip_modifiers(F.col("cleaned"), self.modifiers))
         return x.withColumns({"key": T.lookup_key(F.col("cleaned"), self.singular), "strip_key": T.lookup_key(F.col("stripped"), self.singular)})
 
@@ -113,17 +117,23 @@ def stage(mentions: DataFrame, labels: DataFrame, resolved: DataFrame) -> DataFr
     return out.select("basket_id", "label", F.coalesce("item_ids", empty).alias("item_ids"), F.coalesce("unresolved", empty).alias("unresolved"), F.coalesce("raw_count", F.lit(0)).cast("long").alias("raw_count"))
 
 
+def _counted(mentions: DataFrame) -> DataFrame:
+    """(item, mentions): counted before any join, so that no row of a mention is exchanged."""
+    return mentions.groupBy("item").agg(F.count("*").alias("mentions"))
+
+
 def resolution_statistics(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
     """(method, mentions, share): every method has a row."""
     spark = mentions.sparkSession
-    counts = mentions.join(resolved, "item").groupBy("method").agg(F.count("*").alias("mentions"))
+    counted = _counted(mentions)
+    counts = counted.join(resolved, "item").groupBy("method").agg(F.sum("mentions").alias("mentions"))
     every = spark.createDataFrame([(m,) for m in METHODS], "method string").join(counts, "method", "left").na.fill(0, ["mentions"])
-    total = mentions.agg(F.count("*").alias("total"))
+    total = counted.agg(F.coalesce(F.sum("mentions"), F.lit(0)).alias("total"))
     return every.crossJoin(F.broadcast(total)).select("method", "mentions", F.coalesce(F.round(F.try_divide("mentions", "total"), 4), F.lit(0.0)).alias("share"))
 
 
 def top_unresolved(mentions: DataFrame, resolved: DataFrame, k: int = 50) -> DataFrame:
-    x = mentions.join(resolved.filter("id is null"), "item").groupBy("item").agg(F.count("*").alias("mentions"))
+    x = _counted(mentions).join(resolved.filter("id is null").select("item"), "item").groupBy("item").agg(F.sum("mentions").alias("mentions"))
     return x.orderBy(F.col("mentions").desc(), "item").limit(k)
 
 

@@ -188,3 +188,31 @@ def test_eight_large_samples_cost_little_more_than_one():
     began = time.process_time()
     found = divergence.null95s([0.2, 0.19, 0.21, 0.2, 0.2], range(100_000, 100_800, 100))
     assert len(found) == 8 and time.process_time() - began < 6  # one by one, each took as long
+
+
+def test_mentions_are_counted_before_any_cleaning_or_join(spark):
+    v = spark.createDataFrame([("gear", "gear", 9, [("gear", "s", "", 1)])], "id string, name string, train_mention_count long, aliases array<struct<alias:string,source:string,rule:string,train_frequency:long>>")
+    m = spark.range(1000).select(F.col("id").alias("basket_id"), F.when(F.col("id") % 3 == 0, "Red Gears").when(F.col("id") % 3 == 1, "nothing").alias("item"), F.lit(1).alias("pos"))
+    found = resolver.Resolver(v, Modifiers(tokens=frozenset({"red"})), Brands(patterns=((r"\bacme\b", "gear"),)), python=False).resolve(m)
+
+    def below(node):
+        kids = node.children()
+        for i in range(kids.size()):
+            yield kids.apply(i)
+            yield from below(kids.apply(i))
+
+    def groupings(df):
+        top = df._jdf.queryExecution().optimizedPlan()
+        return [[(n.nodeName(), n.toString().split("\n")[0]) for n in below(x)] for x in [top, *below(top)] if x.nodeName() == "Aggregate"]
+
+    over_mentions = lambda x: all(name != "Aggregate" for name, _ in x) and any(name == "Range" for name, _ in x)
+    lowest = [x for x in groupings(found) if over_mentions(x)]
+    assert lowest and not any("replace" in text or "translate" in text for x in lowest for _, text in x)
+    for df in (resolver.resolution_statistics(m, found), resolver.top_unresolved(m, found)):
+        lowest = [x for x in groupings(df) if over_mentions(x)]
+        assert lowest and not any(name == "Join" for x in lowest for name, _ in x)
+    got = {r["method"]: (r["mentions"], r["share"]) for r in resolver.resolution_statistics(m, found).collect()}
+    assert got["modifier_stripped_match"] == (334, 0.334) and got["unresolved"] == (333, 0.333)  # and 333 without an item
+    assert [tuple(r) for r in resolver.top_unresolved(m, found).collect()] == [("nothing", 333)]
+    empty = m.filter("basket_id < 0")
+    assert {tuple(r)[1:] for r in resolver.resolution_statistics(empty, found).collect()} == {(0, 0.0)}
