@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,27 +95,46 @@ def accuracy_macro_f1(labelled: DataFrame) -> DataFrame:
     return labelled.agg((F.sum("hits") / F.sum("n")).alias("accuracy"), F.avg("f1").alias("macro_f1"))
 
 
+def _excess(rows: DataFrame, tried: list[float]) -> list[float | None]:
+    """For each temperature how much more, summed over rows(z, own), the logit that a softmax expects is than own."""
+
+    def partial(batches):
+        for batch in batches:
+            held = batch.column("z")
+            own = batch.column("own").to_numpy(zero_copy_only=False)
+            if not len(own):
+                continue
+            z, sizes = held.flatten().to_numpy(zero_copy_only=False), held.value_lengths().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            top = np.maximum.reduceat(z, starts)
+            below, above = z - np.repeat(top, sizes), own - top
+            out = []
+            for t in tried:
+                weight = np.exp(below / t)
+                n, s = np.add.reduceat(weight, starts), np.add.reduceat(weight * z, starts)
+                floored = np.exp(above / t) < FLOOR * n  # where the loss doesn't change
+                out.append(float(np.where(floored, 0.0, s / n - own).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=names)
+
+    names = [f"t{k}" for k in range(len(tried))]
+    sums = rows.mapInArrow(partial, ", ".join(f"{n} double" for n in names))
+    return list(sums.agg(*(F.sum(n) for n in names)).first())
+
+
 def fit_temperature(scores: DataFrame, labels: DataFrame, points: int = POINTS) -> float:
     """The temperature of the least log loss, at six digits.
 
     The loss falls as long as the logit that a softmax at T expects is more than the true label's, on average, and then
-    rises; each pass over a cached compact frame takes that difference at several temperatures at once and keeps the
-    stretch of log10 T in which it changes its sign."""
-    z = scores.groupBy("basket_id").agg(F.collect_list("logit").alias("z"))
-    own = labels.join(scores, ["basket_id", "label"]).select("basket_id", F.col("logit").alias("own"))
-    compact = z.join(own, "basket_id").select("z", "own", F.array_max("z").alias("top")).cache()
-
-    def excess(t: float) -> Column:
-        weight = lambda x: F.exp((x - F.col("top")) / t)
-        add = lambda acc, x: F.struct((acc["n"] + weight(x)).alias("n"), (acc["s"] + weight(x) * x).alias("s"))
-        both = F.aggregate("z", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s")), add)
-        floored = weight(F.col("own")) < FLOOR * both["n"]  # where the loss doesn't change
-        return F.avg(F.when(floored, 0.0).otherwise(both["s"] / both["n"] - F.col("own")))
-
+    rises; each pass over a cached compact frame takes that difference at several temperatures at once, batch by batch,
+    and keeps the stretch of log10 T in which it changes its sign. The scores are worked out once."""
+    z = scores.groupBy("basket_id").agg(F.collect_list(F.struct("label", "logit")).alias("by_label"))
+    same = F.filter("by_label", lambda x: x["label"] == F.col("label"))
+    compact = labels.select("basket_id", "label").join(z, "basket_id").select(F.col("by_label.logit").alias("z"), F.get(same, F.lit(0))["logit"].alias("own"))
+    compact = compact.filter("own is not null").cache()
     low, high = LOG_RANGE
     while high - low > 1e-10:
         tried = [low + (high - low) * k / (points + 1) for k in range(1, points + 1)]
-        signs = compact.agg(*(excess(10.0**x).alias(str(k)) for k, x in enumerate(tried))).first()
+        signs = _excess(compact, [10.0**x for x in tried])
         falling = [x for x, e in zip(tried, signs, strict=True) if e is not None and e > 0]
         below = max(falling, default=low)
         high = min((x for x in tried if x > below), default=high)

@@ -183,3 +183,25 @@ def test_the_temperature_is_that_of_the_golden_section(spark):
     assert model.fit_temperature(scores, labels) == pytest.approx(10 ** ((low + high) / 2), abs=5e-6)
     sure = spark.createDataFrame([(i, "abcd"[max(range(4), key=lambda k: z[i][k])]) for i in z], "basket_id long, label string")
     assert model.fit_temperature(scores, sure) == 0.01
+
+
+def test_the_temperature_works_the_scores_out_once(spark):
+    from pyspark.sql import functions as F
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def told(x):
+        seen.add(1)
+        return x
+
+    rows = [(i, "abc"[k], float((i * 7 + k * 5) % 11)) for i in range(30) for k in range(3)]
+    scores = spark.createDataFrame(rows, "basket_id long, label string, logit double").withColumn("logit", told("logit"))
+    labels = spark.createDataFrame([(i, "abcd"[i % 4]) for i in range(30)], "basket_id long, label string")  # d has no score
+    t = model.fit_temperature(scores, labels)
+    assert seen.value == len(rows)
+    own = {(i, l): z for i, l, z in rows}
+    kept = [([own[i, l] for l in "abc"], own[i, "abc"[i % 4]]) for i in range(30) if i % 4 < 3]
+    loss = lambda t: sum(math.log(sum(math.exp(v / t) for v in z)) - x / t for z, x in kept)
+    assert 0.01 < t < 100 and loss(t) <= min(loss(t * 1.001), loss(t / 1.001))
+    assert model.fit_temperature(scores.filter("basket_id < 0"), labels) == 0.01
