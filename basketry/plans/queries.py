@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.lexicon import Brands, Gate, Lexicons, Modifiers, Singular
 from ..operators import divergence, features, gates, model, resolver, search, taxonomy, vocabulary
+from ..session import spread
 
 from . import builds
 
@@ -256,7 +257,7 @@ def query(name: str, sql: str | None = None, base: str = ""):
 
 @query("mention_index", "SELECT item, count(*) AS baskets FROM pairs GROUP BY ALL")
 def _(s, d):
-    return mentions(s, d).join(labels(s, d), "basket_id").select("basket_id", "item").distinct().groupBy("item").agg(F.count("*").alias("baskets"))
+    return spread(mentions(s, d), "basket_id").join(labels(s, d), "basket_id").select("basket_id", "item").distinct().groupBy("item").agg(F.count("*").alias("baskets"))
 
 
 @query("corpus_statistics", "SELECT label, item, n FROM li UNION ALL SELECT NULL, item, df FROM df UNION ALL SELECT label, NULL, n_label FROM nl UNION ALL SELECT NULL, NULL, total FROM tot")
@@ -334,7 +335,7 @@ def _(s, d):
 
 @query("candidate_pairs", "SELECT item AS variant, noun AS base FROM items JOIN (SELECT grp FROM gb GROUP BY grp HAVING count(DISTINCT basket_id) >= 4) c ON c.grp = item JOIN (SELECT grp FROM gb GROUP BY grp HAVING count(DISTINCT basket_id) >= 4) e ON e.grp = noun WHERE split_part(item, ' ', 1) IN ('blue', 'red', 'new', 'small')", GROUPS)
 def _(s, d):
-    counts = vocabulary.group_counts(mentions(s, d).join(labels(s, d), "basket_id", "left_semi"), _members(s, d))
+    counts = vocabulary.group_counts(spread(mentions(s, d), "basket_id").join(labels(s, d), "basket_id", "left_semi"), _members(s, d))
     return vocabulary.candidate_pairs(counts, {"blue", "red", "new", "small"})
 
 

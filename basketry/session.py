@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Stored bytes of input whose rows meet in one task, and what Spark gives as the size of a frame that it knows nothing of.
+TASK_BYTES, UNKNOWN = 16 << 20, 1 << 60
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -12,3 +15,12 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The frame dealt by key to as many tasks as its stored input asks for, so that what a task holds doesn't grow with
+    the input; as it is where the session's shuffles have that many anyway."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    n = -(-sum(x for x in sizes if x < UNKNOWN) // TASK_BYTES)
+    return df if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, key)
