@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,8 +15,17 @@ class GateError(AssertionError):
 
 @dataclass(frozen=True)
 class Gate:
+    """A frame of violations; where they are those rows of a frame that a condition picks, both are kept too."""
+
     name: str
     violations: DataFrame
+    rows: DataFrame | None = None
+    broken: Column | None = None
+
+
+def of_rows(name: str, rows: DataFrame, broken: Column, *columns: str) -> Gate:
+    """The gate that no row is broken; its violations show the given columns."""
+    return Gate(name, rows.filter(broken).select(*columns), rows, broken)
 
 
 def run(gates: Iterable[Gate], show: int = 5) -> list[str]:
@@ -117,9 +126,17 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def report(checks: Iterable[Gate]) -> DataFrame:
-    """(gate, violations): how many rows each gate holds against its table, in one plan."""
+    """(gate, violations): how many rows each gate holds against its table, in one plan. Gates on rows of one frame are
+    counted in one pass over it."""
+    checks = list(checks)
+    frames = {id(g.rows): g.rows for g in checks if g.rows is not None}
+    parts = [g.violations.agg(F.lit(g.name).alias("gate"), F.count("*").alias("violations")) for g in checks if g.rows is None]
+    for key, rows in frames.items():
+        own = [g for g in checks if g.rows is not None and id(g.rows) == key]
+        counts = rows.agg(*(F.count(F.when(g.broken, 1)).alias(f"n{k}") for k, g in enumerate(own)))
+        pairs = F.array(*(F.struct(F.lit(g.name).alias("gate"), F.col(f"n{k}").alias("violations")) for k, g in enumerate(own)))
+        parts.append(counts.select(F.inline(pairs)))
     out = None
-    for g in checks:
-        one = g.violations.agg(F.lit(g.name).alias("gate"), F.count("*").alias("violations"))
-        out = one if out is None else out.union(one)
+    for part in parts:
+        out = part if out is None else out.union(part)
     return out

@@ -180,10 +180,10 @@ def blend_gates(blends: DataFrame, names: Iterable[str], baskets: DataFrame, exp
     out = [
         Gate("baskets stand once", gates.repeated(blends, "basket_id")),
         Gate("baskets are those asked for", gates.unmatched(blends, baskets, "basket_id")),
-        Gate("each label has a share", blends.filter(F.size("blend") != F.size(order)).select("basket_id")),
-        Gate("shares lie between 0 and 1", blends.filter(F.exists("blend", lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1))).select("basket_id")),
-        Gate("shares add up to 1", blends.filter(F.abs(total - 1) > BLEND_TOLERANCE).select("basket_id")),
-        Gate("the top label has the largest share", blends.filter(~F.coalesce(own == F.array_max("blend"), F.lit(False))).select("basket_id", "top")),
+        gates.of_rows("each label has a share", blends, F.size("blend") != F.size(order), "basket_id"),
+        gates.of_rows("shares lie between 0 and 1", blends, F.exists("blend", lambda x: x.isNull() | F.isnan(x) | (x < 0) | (x > 1)), "basket_id"),
+        gates.of_rows("shares add up to 1", blends, F.abs(total - 1) > BLEND_TOLERANCE, "basket_id"),
+        gates.of_rows("the top label has the largest share", blends, ~F.coalesce(own == F.array_max("blend"), F.lit(False)), "basket_id", "top"),
     ]
     return out if expected is None else [*out, Gate("blends are as many as expected", gates.wrong_count(blends, expected))]
 
