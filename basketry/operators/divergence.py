@@ -27,7 +27,11 @@ DRAWN_AT_ONCE = 1 << 18
 
 def shares_of(baskets: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
     """(group, label, n, total, share) of distinct baskets(group, basket_id, label); labels without one get zero."""
-    counts = baskets.groupBy("group", "label").agg(F.count("*").alias("n"))
+    return shares_of_counts(baskets.groupBy("group", "label").agg(F.count("*").alias("n")), groups, labels)
+
+
+def shares_of_counts(counts: DataFrame, groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """shares_of() from counts(group, label, n)."""
     full = groups.crossJoin(labels.select("label").distinct()).join(counts, ["group", "label"], "left").na.fill(0, ["n"])
     total = F.sum("n").over(Window.partitionBy("group"))
     return full.withColumn("total", total).withColumn("share", F.coalesce(F.try_divide("n", "total"), F.lit(0.0)))

@@ -608,9 +608,11 @@ def _(s, d):
 @query("vocabulary_build")
 def _(s, d):
     train = mentions(s, d).groupBy("basket_id").agg(F.collect_list("item").alias("items")).join(labels(s, d), "basket_id").select(F.col("basket_id").alias("id"), "label", "items")
-    nouns = train.select(F.col("id") + 10_000_000, "label", F.array_distinct(F.transform("items", _noun)))
+    nouns = F.array_distinct(F.transform("items", _noun))
+    both = (F.struct((F.col("id") * 2 + i).alias("id"), "label", x.alias("items")) for i, x in enumerate((F.col("items"), nouns)))  # no two ids meet
+    train = train.select(F.inline(F.array(*both)))
     lexicons = Lexicons(modifiers=MODIFIERS, gate=GATE, variant_tokens=frozenset({"red", "cold"}))
-    out, _ = builds.vocabulary_build(train.union(nouns), lexicons)
+    out, _ = builds.vocabulary_build(train, lexicons)
     return out.select("id", "name", "parent_id", "train_mention_count", F.size("aliases").alias("n_aliases"))
 
 

@@ -205,3 +205,48 @@ def test_the_temperature_works_the_scores_out_once(spark):
     loss = lambda t: sum(math.log(sum(math.exp(v / t) for v in z)) - x / t for z, x in kept)
     assert 0.01 < t < 100 and loss(t) <= min(loss(t * 1.001), loss(t / 1.001))
     assert model.fit_temperature(scores.filter("basket_id < 0"), labels) == 0.01
+
+
+def test_vocabulary_reads_its_baskets_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(items):
+        read.add(1)
+        return items
+
+    rows = [(i, names[i % 3], OWN[names[i % 3]] + ["fresh basil"] * (i % 5 == 0)) for names in [sorted(LABELS)] for i in range(60)]
+    train = spark.createDataFrame(rows, "id long, label string, items array<string>").withColumn("items", F.udf(seen, "array<string>")("items"))
+    lexicons = Lexicons(modifiers=Modifiers(tokens=frozenset({"fresh"})), variant_tokens=frozenset({"dark", "thai"}))
+    v = {r["id"]: r for r in builds.vocabulary_build(train, lexicons)[0].collect()}
+    assert read.value == 60
+    assert v["basil"]["train_mention_count"] == len([r for r in rows if {"basil", "fresh basil"} & set(r[2])]) and v["lime"]["train_mention_count"] == 40
+
+
+def test_sets_of_baskets_count_what_mentions_count(spark):
+    from basketry.operators import vocabulary
+    from basketry.sources import readers
+
+    rows = [(1, "x", ["a", "a", "b"]), (1, "y", ["c", None]), (2, "x", ["b", "d"]), (3, None, ["a", "d"]), (4, "y", []), (None, "x", ["a"]), (None, "y", ["c"]), (5, "x", None), (6, "y", ["e", "c", "b"])]
+    train = spark.createDataFrame(rows, "id long, label string, items array<string>")
+    members = spark.createDataFrame([("a", "A"), ("b", "A"), ("c", "C"), ("d", "new C"), ("e", "E")], "item string, group string")
+    mentions, baskets = readers.mentions_of(train), vocabulary.baskets_of(train)
+    seen, kin = vocabulary.item_counts_of(baskets), vocabulary.kin_of(members, vocabulary.families_of([("new C", "C")]))
+    sets = vocabulary.basket_sets(baskets, kin)
+    asdict = lambda df: {r[0]: r[1] for r in df.collect()}
+    assert asdict(seen) == {k: n for k, n in asdict(vocabulary.item_counts(mentions)).items() if k is not None}
+    assert asdict(vocabulary.counts_of(sets, kin, members, seen)) == asdict(vocabulary.group_counts(mentions, members))
+    merged = members.withColumn("group", F.when(F.col("group") == "new C", "C").otherwise(F.col("group")))
+    assert asdict(vocabulary.counts_of(sets, kin, merged, seen)) == asdict(vocabulary.group_counts(mentions, merged))
+    assert vocabulary.families_of([("b c", "c"), ("a b c", "c"), ("y", "z")]) == {"b c": "a b c", "c": "a b c", "a b c": "a b c", "y": "y", "z": "y"}
+    baskets.unpersist()
+
+
+def test_noun_baskets_meet_no_other_order(spark, tmp_path):
+    from basketry.plans import queries
+
+    keys = [i + far for far in (0, 10_000_000) for i in range(4)]
+    tables = {"lineitem": [(k, int(k >= 10_000_000), 1) for k in keys], "orders": [(k, "x") for k in keys], "part": [(0, "blue gear"), (1, "new gear")]}
+    for name, schema in (("lineitem", "l_orderkey long, l_partkey long, l_linenumber long"), ("orders", "o_orderkey long, o_orderpriority string"), ("part", "p_partkey long, p_name string")):
+        spark.createDataFrame(tables[name], schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = {r["id"]: (r["parent_id"], r["train_mention_count"]) for r in queries.QUERIES["vocabulary_build"](spark, str(tmp_path)).collect()}
+    assert found == {"gear": (None, 12), "blue_gear": ("gear", 4)}
